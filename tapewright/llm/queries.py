@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapewright.llm.decontaminate import find_contamination
 from tapewright.llm.exact_dedup import exact_groups
 from tapewright.llm.near_dup import near_duplicates
+from tapewright.llm.repeats import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_read(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end_byte"] - s["first_byte"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), n=10)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end_word"] - s["first_word"])
@@ -43,6 +50,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
         "op2_exact_dedup": op2_exact_dedup,
+        "op9_repeats": op9_repeats,
         "op10_decontamination": op10_decontamination,
     }
 
