@@ -13,6 +13,8 @@ from tapewright.llm.exact_dedup import exact_groups
 from tapewright.llm.near_dup import near_duplicates
 from tapewright.llm.packing import pack_documents
 from tapewright.llm.repeats import remove_repeats
+from tapewright.llm.toxicity import fit as fit_toxicity
+from tapewright.llm.toxicity import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +31,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = fit_toxicity(docs, _read(spark, sf_dir, "labels")).score(docs)
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
@@ -56,6 +64,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_toxicity": op3_toxicity,
         "op5_packing": op5_packing,
         "op9_repeats": op9_repeats,
         "op10_decontamination": op10_decontamination,
