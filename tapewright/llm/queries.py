@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tapewright.llm.chat import conversation_digests
 from tapewright.llm.decontaminate import find_contamination
 from tapewright.llm.exact_dedup import exact_groups
+from tapewright.llm.html_text import extract_text
 from tapewright.llm.near_dup import near_duplicates
 from tapewright.llm.packing import pack_documents
 from tapewright.llm.repeats import remove_repeats
@@ -49,6 +50,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_read(spark, sf_dir, "documents"), length=400)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end_byte"] - s["first_byte"])
@@ -75,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_chat_format": op4_chat_format,
         "op5_packing": op5_packing,
+        "op7_html_text": op7_html_text,
         "op9_repeats": op9_repeats,
         "op10_decontamination": op10_decontamination,
     }
