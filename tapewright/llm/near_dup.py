@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = placed.select(
         F.col("member").alias("id"), "centre", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).select("id", "centre", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    with_text = placed.join(rows, "id").select("centre", "i", "j", "own", "id", "text")
+    # A sort-merge join at every size: texts are the larger side, and members grow with them.
+    with_text = placed.join(rows.hint("merge"), "id").select("centre", "i", "j", "own", "id", "text")
     found = with_text.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j").mapInArrow(_verified(shingle, percent), "a bigint, b bigint")
     classes = connected_components(found.unionByName(split), scratch)
     scratch.drop("members")
