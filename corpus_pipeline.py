@@ -1,15 +1,66 @@
-"""Corpus pipeline; its stages follow as their operators are built."""
+"""Corpus pipeline: toxicity filter, exact dedup, near-duplicate removal, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame with
+the columns of ``documents``; the last returns packed pieces. SQL cannot express the stages (trained trees,
+similarity, tokens), so there is no ORACLE_SQL; tests compare a small run with a brute-force version.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapewright.llm.decontaminate import decontaminate
+from tapewright.llm.exact_dedup import exact_dedup
+from tapewright.llm.near_dup import near_duplicates
+from tapewright.llm.packing import pack_documents
+from tapewright.llm.scratch import Scratch
+from tapewright.llm.toxicity import fit
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose id is not among the ids of ``gone``; documents without an id stay."""
+    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, model.score(docs).where("score >= 0.5"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup(docs, keep="min")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, near_duplicates(docs, shingle=5, percent=80).where("component_id <> doc_id"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each stage keeps is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    scratch = Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,9 +12,11 @@ from tapewright.llm.chat import conversation_digests
 from tapewright.llm.decontaminate import find_contamination
 from tapewright.llm.exact_dedup import exact_groups
 from tapewright.llm.html_text import extract_text
+from tapewright.llm.licenses import license_scan
 from tapewright.llm.near_dup import near_duplicates
 from tapewright.llm.packing import pack_documents
 from tapewright.llm.repeats import remove_repeats
+from tapewright.llm.resample import resample
 from tapewright.llm.toxicity import fit as fit_toxicity
 from tapewright.llm.toxicity import fold
 
@@ -50,10 +52,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
+def op6_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), share=0.5)
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_read(spark, sf_dir, "documents"), length=400)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end_byte"] - s["first_byte"])
@@ -80,7 +90,9 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_chat_format": op4_chat_format,
         "op5_packing": op5_packing,
+        "op6_resample": op6_resample,
         "op7_html_text": op7_html_text,
+        "op8_license_scan": op8_license_scan,
         "op9_repeats": op9_repeats,
         "op10_decontamination": op10_decontamination,
     }
