@@ -19,9 +19,14 @@ def fmt8(x: Column) -> Column:
     return F.format_string("%.8f", x)
 
 
+def whole_division(x: Column, by: int) -> Column:
+    """Largest whole number not above x / by, exact for all 64-bit integers."""
+    return F.floor(x.cast("decimal(20,0)") / by).cast("bigint")
+
+
 def to_millis(x: Column) -> Column:
     """Milliseconds of a time in nanoseconds (above 1e15) or milliseconds."""
-    return F.when(x > 10**15, ((x - F.pmod(x, F.lit(1_000_000))) / 1_000_000).cast("bigint")).otherwise(x)
+    return F.when(x > 10**15, whole_division(x, 1_000_000)).otherwise(x)
 
 
 def pct_change(old: Column, new: Column) -> Column:

@@ -43,7 +43,7 @@ def newest_only_announcements(announcements: DataFrame, now_ms: int, *, longest_
 
 def _listed(text: Column) -> Column:
     parts = F.split(F.regexp_replace(text, "마켓|market", ""), ",")
-    return F.filter(F.transform(parts, F.trim), lambda m: m != "")
+    return F.filter(F.transform(parts, lambda m: F.trim(m)), lambda m: m != "")
 
 
 def parse_listings(announcements: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.functions.numbers import whole_division
 from tapewright.functions.symbols import normalize_side, normalize_symbol
 
 Decoder = Callable[[DataFrame], DataFrame]
@@ -34,17 +35,20 @@ def _parsed(raw: DataFrame, schema: str) -> DataFrame:
 
 def decode_binance(raw: DataFrame, *, taker_side: bool = False) -> DataFrame:
     """Object e, s, t, p, q, T, m with e = trade; m (buyer is maker) gives buy, or sell with ``taker_side``."""
-    df = _parsed(raw, "e string, E bigint, s string, t bigint, p string, q string, T bigint, m boolean")
-    df = df.withColumn("skip", F.when(F.col("m").isNull(), "not JSON").when(~F.col("m.e").eqNullSafe("trade"), "not a trade"))
+    # Keys that differ in case only need a map: field names of structs do not tell them apart.
+    df = _parsed(raw, "map<string,string>")
+    key = lambda k: F.col("m")[k]
+    df = df.withColumn("skip", F.when(F.col("m").isNull(), "not JSON").when(~key("e").eqNullSafe("trade"), "not a trade"))
     maker, taker = ("sell", "buy") if taker_side else ("buy", "sell")
-    return _trades(df, F.col("m.s"), F.col("m.t").cast("string"), F.col("m.p"), F.col("m.q"), F.when(F.col("m.m"), maker).otherwise(taker), F.col("m.T"))
+    return _trades(df, key("s"), key("t"), key("p"), key("q"), F.when(key("m") == "true", maker).otherwise(taker), key("T").try_cast("bigint"))
 
 
 def decode_bybit(raw: DataFrame) -> DataFrame:
-    df = _parsed(raw, "success boolean, op string, topic string, data array<struct<i:string,s:string,p:string,v:string,S:string,T:bigint>>")
+    df = _parsed(raw, "success boolean, op string, topic string, data array<map<string,string>>")
     other = F.coalesce(F.col("m.success"), F.lit(False)) | (F.coalesce(F.col("m.op"), F.lit("")) != "") | ~F.coalesce(F.col("m.topic").contains("publicTrade"), F.lit(False))
     df = df.withColumn("skip", F.when(F.col("m").isNull(), "not JSON").when(other, "not a trade")).withColumn("d", F.explode_outer("m.data"))
-    return _trades(df, F.col("d.s"), F.col("d.i"), F.col("d.p"), F.col("d.v"), F.col("d.S"), F.col("d.T"))
+    key = lambda k: F.col("d")[k]
+    return _trades(df, key("s"), key("i"), key("p"), key("v"), key("S"), key("T").try_cast("bigint"))
 
 
 def decode_okx(raw: DataFrame) -> DataFrame:
@@ -81,7 +85,7 @@ def decode_phemex(raw: DataFrame) -> DataFrame:
     df = df.withColumn("skip", F.coalesce("skip", F.when(F.size("d") < 4, "short item")))
     item = lambda k: F.get("d", k)
     ns = item(0).try_cast("bigint")
-    return _trades(df, F.col("m.symbol"), F.concat_ws("_", F.col("m.sequence").cast("string"), item(0)), item(2), item(3), item(1), ((ns - F.pmod(ns, F.lit(1_000_000))) / 1_000_000).cast("bigint"))
+    return _trades(df, F.col("m.symbol"), F.concat_ws("_", F.col("m.sequence").cast("string"), item(0)), item(2), item(3), item(1), whole_division(ns, 1_000_000))
 
 
 #: Decoder of each venue; add one to read another venue.
