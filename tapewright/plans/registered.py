@@ -17,6 +17,7 @@ from tapewright.operators import collect as J
 from tapewright.operators import monitoring as M
 from tapewright.operators import pumps as W
 from tapewright.plans import fixtures as X
+from tapewright.plans import stored as K
 from tapewright.sources import readers as R
 from tapewright.sources import venues as V
 
@@ -393,7 +394,7 @@ def _(s, d):
     """SELECT event_id, exchange, first_pump_ms, first_relative_ms, coalesce(pump_count, 0) AS pump_count, max_change, avg_change, coalesce(actor_count, 0) AS actor_count, coalesce(actor_volume, 0) AS actor_volume, fastest_actor, fastest_ms,
   round(CASE WHEN actor_count > 0 THEN coalesce(actor_volume, 0) / actor_count ELSE 0 END, 1) AS volume_per_actor
 FROM (SELECT event_id, exchange, min(start_ms) AS first_pump_ms, greatest(min(start_ms - trigger_ms), 0) AS first_relative_ms, count(*) AS pump_count, max(price_change) AS max_change, round(avg(price_change), 4) AS avg_change FROM ep GROUP BY ALL)
-FULL JOIN (SELECT event_id, exchange, count(*) AS actor_count, round(sum(notional), 2) AS actor_volume, arg_min(actor_id, (first_ms, actor_id)) AS fastest_actor, min(first_ms) AS fastest_ms FROM (SELECT *, unnest(exchanges) AS exchange FROM a) GROUP BY ALL) USING (event_id, exchange)""",
+FULL JOIN (SELECT event_id, exchange, count(*) AS actor_count, round(sum(notional), 3) AS actor_volume, arg_min(actor_id, (first_ms, actor_id)) AS fastest_actor, min(first_ms) AS fastest_ms FROM (SELECT *, unnest(exchanges) AS exchange FROM a) GROUP BY ALL) USING (event_id, exchange)""",
     *ACTORS,
 )
 def _(s, d):
@@ -417,7 +418,7 @@ def _(s, d):
   arg_max(exchange, (actor_count, exchange)) AS most_active, arg_max(exchange, (actor_volume, exchange)) AS highest_volume, max(first_pump_ms) - min(first_pump_ms) AS spread_ms,
   coalesce(string_agg(exchange, ',' ORDER BY first_pump_ms, exchange) FILTER (first_pump_ms IS NOT NULL), '') AS ranking
 FROM (SELECT event_id, exchange, first_pump_ms, coalesce(actor_count, 0) AS actor_count, coalesce(actor_volume, 0) AS actor_volume FROM (SELECT event_id, exchange, min(start_ms) AS first_pump_ms FROM ep GROUP BY ALL)
-FULL JOIN (SELECT event_id, exchange, count(*) AS actor_count, round(sum(notional), 2) AS actor_volume FROM (SELECT *, unnest(exchanges) AS exchange FROM a) GROUP BY ALL) USING (event_id, exchange)) GROUP BY 1""",
+FULL JOIN (SELECT event_id, exchange, count(*) AS actor_count, round(sum(notional), 3) AS actor_volume FROM (SELECT *, unnest(exchanges) AS exchange FROM a) GROUP BY ALL) USING (event_id, exchange)) GROUP BY 1""",
     *ACTORS,
 )
 def _(s, d):
@@ -750,3 +751,33 @@ def _(s, d):
         (F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")).cast("string").alias("price"), F.col("l_quantity").cast("string").alias("quantity"),
     )
     return W.pump_windows(rows, width_ms=86_400_000)
+
+
+# Stored tables and streams
+
+
+_STORED = "SELECT exchange, market_type, symbol, trade_id, px, qty, ts_ms FROM t"
+_query("k01_s08_write_and_read_trades", f"{_STORED} WHERE ts_ms BETWEEN 1704067240000 AND 1704067400000", T)(K.trades_round_trip)
+_query("k02_write_listings", "SELECT event_id, base AS symbol, '[\"KRW\"]' AS markets, trigger_ms FROM l", T, LD, L)(K.listings_round_trip)
+_query("k03_write_pump_analysis", "SELECT * FROM p", T, WIN, PUMPS)(K.pumps_round_trip)
+_query("k04_write_metrics", "SELECT node AS node_id, CAST(status AS VARCHAR) AS status, count(*) AS n, max(response_ms) AS longest FROM c GROUP BY ALL", CL)(K.metrics_round_trip)
+_query("k05_s09_event_archive", "SELECT event_id, exchange, market_type, count(*) AS trades, min(ts_ms) AS first_ms FROM lt GROUP BY ALL", T, LD, L, LT)(K.archive_round_trip)
+_query("k06_export_tables_csv", "SELECT 'trades' AS \"table\", count(*) AS rows, 'success' AS status, 'success' AS run_status FROM t UNION ALL SELECT 'listings', count(*), 'success', 'success' FROM l", T, LD, L)(K.csv_export)
+_query("k07_expired_partitions", "SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-31' - 20")(K.expired_days)
+_query("r01_stream_trades", f"SELECT {_DECODED} FROM t", T)(K.streamed_trades)
+_query(
+    "r02_r08_stream_pumps",
+    """SELECT exchange, market_type, symbol, start_ms, min_price AS start_price, max_price AS peak_price, round((max_price - min_price) / min_price * 100, 6) AS price_change, volume, trade_count FROM w
+WHERE trade_count >= 2 AND min_price > 0 AND (max_price - min_price) / min_price * 100 >= 3""",
+    T, WIN,
+)(K.streamed_pumps)
+_query("r03_stream_listing_trades", "SELECT event_id, exchange, market_type, symbol, trade_id, ts_ms, trigger_ms FROM lt", T, LD, L, LT)(K.streamed_listing_trades)
+_query("r04_stream_dedup_notices", "SELECT event_id AS id, title, trigger_ms AS announced_ms FROM listed", T, LD)(K.streamed_first_notices)
+_query("r05_stream_sink", _STORED, T)(K.streamed_sink)
+_query(
+    "r06_stream_rolling_success",
+    """SELECT node, start_ms, start_ms + 3600000 AS end_ms, count(*) AS calls, round(avg(CASE WHEN success THEN 100.0 ELSE 0 END), 4) AS success_percent
+FROM (SELECT *, unnest([ts_ms // 1800000 * 1800000, ts_ms // 1800000 * 1800000 - 1800000]) AS start_ms FROM c) GROUP BY ALL""",
+    CL,
+)(K.streamed_success)
+_query("r07_stream_venue_status", "SELECT exchange, market_type, max(ts_ms) AS last_ms, count(*) AS trades FROM t GROUP BY ALL", T)(K.streamed_venue_status)
