@@ -6,8 +6,8 @@ break it are formatted all the same and say so. Control strings inside a text ar
 character and the first character of every control string get the escape character before them, so no
 text can end its turn or start another one, and unescaping gives every text back.
 
-Defined results: a null text is empty; a null or unknown role is written as given (null as empty) and
-breaks the order; rows without a turn number come first; rows of equal turn are ordered by role and text;
+Defined results: a null text is empty; a role without a name is written after a question mark (null as
+empty) and breaks the order; rows without a turn number come first; rows of equal turn are ordered by role and text;
 rows without a conversation id form one conversation of id null; no rows give no result; only the named
 columns are read.
 """
@@ -42,16 +42,22 @@ class Template:
     )
     final: frozenset[str] = frozenset({"user", "assistant"})
 
-    def escaped(self, text: str) -> str:
-        return text.translate({ord(c): self.escape + c for c in self._inside()})
-
-    def _inside(self) -> set[str]:
+    def escaped(self, text: str, also: str = "") -> str:
         # The closing string begins with a blank; its first other character is guarded instead.
-        return {self.escape, self.opening[0], self.closing.lstrip()[0]}
+        inside = {self.escape, self.opening[0], self.closing.lstrip()[0], *also}
+        return text.translate({ord(c): self.escape + c for c in inside})
+
+    def shown(self, role: str) -> str:
+        """A role as it is written: by its name, or, without one, after a question mark."""
+        return self.names.get(role, f"?{role}")
+
+    def meant(self, shown: str) -> str:
+        return shown[1:] if shown.startswith("?") else {v: k for k, v in self.names.items()}[shown]
 
     def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
         """(string, learned) of one turn, in order."""
-        head = self.opening.format(role=self.escaped(self.names.get(role, role)))
+        after = self.opening.split("{role}")[1]
+        head = self.opening.format(role=self.escaped(self.shown(role), after[0]))
         return [(head, False), (self.escaped(text), role in self.learned), (self.closing, False)]
 
 
@@ -65,8 +71,7 @@ def read_turn(formatted: str, at: int, template: Template = DEFAULT) -> tuple[st
         raise ValueError(f"no turn at {at}")
     role, at = _read(formatted, at + len(before), after, template.escape)
     text, at = _read(formatted, at, template.closing, template.escape)
-    named = {v: k for k, v in template.names.items()}
-    return named.get(role, role), text, at
+    return template.meant(role), text, at
 
 
 def _read(formatted: str, at: int, stop: str, escape: str) -> tuple[str, int]:

@@ -51,7 +51,11 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The documents that stay, with all their columns; a row without an id stays if its group has no id."""
-    groups = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep)
-    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
+    """The documents that stay, with all their columns; a row without an id stays if its group has no id.
+
+    Rows go by id and text hash, so another text of the same id, or of no id, is not taken along.
+    """
+    gone = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep).where(~F.col("kept"))
+    gone = gone.select(F.col(id_col).alias("gone_id"), F.unhex("text_sha256").alias("gone_sha")).distinct()
+    sha = F.unhex(F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti")

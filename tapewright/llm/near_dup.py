@@ -186,8 +186,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "near-duplicates")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     sets = scratch.save(rows.mapInArrow(_measured(shingle), "id bigint, n_shingles bigint, content binary"), "sets")
-    same = sets.where("id is not null and content is not null").groupBy("content").agg(F.min("id").alias("node"))
-    nodes = scratch.save(sets.join(same, "content", "left").select("id", "n_shingles", F.coalesce("node", "id").alias("node")), "nodes")
+    same = sets.where("id is not null and content is not null").groupBy("content").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
+    # Written, so that the join has a shuffle of its own on either side, which adaptive execution can split at a hot set.
+    same = scratch.save(same.where("n > 1").drop("n"), "same")
+    nodes = scratch.save(sets.join(same, "content", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("node", "id")).alias("node")), "nodes")
     node_of = nodes.where("id is not null").groupBy("id").agg(F.min("node").alias("node"), F.max("n_shingles").alias("size"))
     split = nodes.where("n_shingles > 0").join(node_of.select("id", F.col("node").alias("b")), "id").where("node <> b").select(F.col("node").alias("a"), "b")
 
