@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tapewright.llm.cutting_stock import cutting_stock
 from tapewright.llm.scratch import Scratch
 
-BUCKET = 200_000
+BUCKET = 2_000
 #: How a byte-level BPE splits text (a fixed value of such models).
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Latin letters, their signs, and common dashes, quotation marks and the euro sign.
@@ -116,8 +116,9 @@ def pack(pieces: DataFrame, *, capacity: int = 1024) -> DataFrame:
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = spark.sparkContext.broadcast(_slots(cutting_stock(histogram, capacity)))
-    buckets = max(1, -(-sum(histogram.values()) // BUCKET))
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(buckets)))
+    # As many rows as a sequence has tokens: frequent lengths have many buckets, rare ones a single one.
+    buckets = spark.createDataFrame([(s, -(-n // BUCKET)) for s, n in histogram.items()], "length bigint, buckets bigint")
+    bucketed = pieces.join(F.broadcast(buckets), "length").select(*pieces.columns, F.pmod(F.xxhash64("id", "start"), "buckets").alias("bucket"))
     sizes = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     order = Window.partitionBy("length", "bucket").orderBy("id", "start", "ids_crc32")
