@@ -27,12 +27,11 @@ def split_fixed(symbols: DataFrame, size: int, most_chunks: int, *, keys: tuple[
 
 def catalogue_stats(catalogue: DataFrame, subscriptions: DataFrame, home: DataFrame) -> DataFrame:
     """One row: home symbols, and per market type the catalogue's and the subscribed symbols."""
-    count = lambda df, kind, name: df.agg(F.count_if(F.col("market_type") == kind).alias(name))
-    out = home.agg(F.count_distinct("base").alias("home_symbols"))
-    for df, what in ((catalogue, "listed"), (subscriptions, "subscribed")):
-        for kind in ("spot", "futures"):
-            out = out.crossJoin(F.broadcast(count(df, kind, f"{what}_{kind}")))  # one row each
-    return out
+    none = F.lit(None).cast("string")
+    rows = home.select(F.lit("home").alias("what"), none.alias("market_type"), "base").unionByName(catalogue.select(F.lit("listed").alias("what"), "market_type", none.alias("base")))
+    rows = rows.unionByName(subscriptions.select(F.lit("subscribed").alias("what"), "market_type", none.alias("base")))
+    count = lambda what, kind: F.count_if((F.col("what") == what) & (F.col("market_type") == kind)).alias(f"{what}_{kind}")
+    return rows.agg(F.count_distinct("base").alias("home_symbols"), *[count(what, kind) for what in ("listed", "subscribed") for kind in ("spot", "futures")])
 
 
 def new_symbols(today: DataFrame, yesterday: DataFrame) -> DataFrame:

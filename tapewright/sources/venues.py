@@ -1,9 +1,12 @@
-"""Venue decoders: raw JSON messages to trades, one column program for batch and stream."""
+"""Venue decoders: raw JSON messages to trades, one column program for batch and stream.
+
+A decoder builds a column: from the message and its market type an array of trades, each with ``reject``
+(null for a trade, else why the message is none). All venues are decoded in one pass over the messages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,81 +14,97 @@ from pyspark.sql import functions as F
 from tapewright.functions.numbers import whole_division
 from tapewright.functions.symbols import normalize_side, normalize_symbol
 
-Decoder = Callable[[DataFrame], DataFrame]
-_COLUMNS = ("exchange", "market_type", "symbol", "trade_id", "price", "quantity", "side", "ts_ms")
+Decoder = Callable[[Column, Column], Column]
 
 
-def _trades(df: DataFrame, symbol: Column, trade_id: Column, price: Column, quantity: Column, side: Column, ts_ms: Column) -> DataFrame:
-    """Trades of decoded rows, and ``reject``: why a row is none (null for trades)."""
-    reject = (
+def _item(symbol: Column, trade_id: Column, price: Column, quantity: Column, side: Column, ts_ms: Column, reject: Column | None = None) -> Column:
+    missing = (
         F.when(symbol.isNull() | (symbol == ""), "no symbol")
         .when(price.isNull() | (price == ""), "no price")
         .when(quantity.isNull() | (quantity == ""), "no quantity")
         .when(ts_ms.isNull(), "no time")
     )
-    return df.select(
-        "exchange", "market_type", symbol.alias("symbol"), trade_id.alias("trade_id"), price.alias("price"), quantity.alias("quantity"),
-        normalize_side(side).alias("side"), ts_ms.alias("ts_ms"), "raw", F.coalesce(F.col("skip"), reject).alias("reject"),
+    return F.struct(
+        symbol.alias("symbol"), trade_id.alias("trade_id"), price.alias("price"), quantity.alias("quantity"), normalize_side(side).alias("side"), ts_ms.alias("ts_ms"),
+        (missing if reject is None else reject).alias("reject"),
     )
 
 
-def _parsed(raw: DataFrame, schema: str) -> DataFrame:
-    return raw.withColumn("m", F.from_json("raw", schema))
+def _rejected(why: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return _item(none, none, none, none, none, F.lit(None).cast("bigint"), why)
+
+
+def _decoded(message: Column, other: Callable[[Column], Column], items: Callable[[Column], Column]) -> Column:
+    """Items of a parsed message, which is parsed once; ``other`` says whether a message is no trade message."""
 
+    def of(m: Column) -> Column:
+        why = F.when(m.isNull(), "not JSON").when(F.coalesce(other(m), F.lit(True)), "not a trade")
+        return F.when(why.isNotNull(), F.array(_rejected(why))).otherwise(F.coalesce(items(m), F.array(_rejected(F.lit("no data")))))
 
-def decode_binance(raw: DataFrame, *, taker_side: bool = False) -> DataFrame:
-    """Object e, s, t, p, q, T, m with e = trade; m (buyer is maker) gives buy, or sell with ``taker_side``."""
-    # Keys that differ in case only need a map: field names of structs do not tell them apart.
-    df = _parsed(raw, "map<string,string>")
-    key = lambda k: F.col("m")[k]
-    df = df.withColumn("skip", F.when(F.col("m").isNull(), "not JSON").when(~key("e").eqNullSafe("trade"), "not a trade"))
+    return F.flatten(F.transform(F.array(message), of))
+
+
+def decode_binance(raw: Column, market_type: Column, *, taker_side: bool = False) -> Column:
+    """Object e, s, t, p, q, T, m with e = trade; m (buyer is maker) gives buy, or sell with ``taker_side``.
+
+    Keys that differ in case only need a map: field names of structs do not tell them apart.
+    """
     maker, taker = ("sell", "buy") if taker_side else ("buy", "sell")
-    return _trades(df, key("s"), key("t"), key("p"), key("q"), F.when(key("m") == "true", maker).otherwise(taker), key("T").try_cast("bigint"))
+    trade = lambda m: F.array(_item(m["s"], m["t"], m["p"], m["q"], F.when(m["m"] == "true", maker).otherwise(taker), m["T"].try_cast("bigint")))
+    return _decoded(F.from_json(raw, "map<string,string>"), lambda m: m["e"] != "trade", trade)
+
 
+def decode_bybit(raw: Column, market_type: Column) -> Column:
+    message = F.from_json(raw, "success boolean, op string, topic string, data array<map<string,string>>")
+    other = lambda m: F.coalesce(m["success"], F.lit(False)) | (F.coalesce(m["op"], F.lit("")) != "") | ~m["topic"].contains("publicTrade")
+    return _decoded(message, other, lambda m: F.transform(m["data"], lambda d: _item(d["s"], d["i"], d["p"], d["v"], d["S"], d["T"].try_cast("bigint"))))
 
-def decode_bybit(raw: DataFrame) -> DataFrame:
-    df = _parsed(raw, "success boolean, op string, topic string, data array<map<string,string>>")
-    other = F.coalesce(F.col("m.success"), F.lit(False)) | (F.coalesce(F.col("m.op"), F.lit("")) != "") | ~F.coalesce(F.col("m.topic").contains("publicTrade"), F.lit(False))
-    df = df.withColumn("skip", F.when(F.col("m").isNull(), "not JSON").when(other, "not a trade")).withColumn("d", F.explode_outer("m.data"))
-    key = lambda k: F.col("d")[k]
-    return _trades(df, key("s"), key("i"), key("p"), key("v"), key("S"), key("T").try_cast("bigint"))
 
+def decode_okx(raw: Column, market_type: Column) -> Column:
+    message = F.from_json(raw, "arg struct<channel:string>, data array<struct<instId:string,tradeId:string,px:string,sz:string,side:string,ts:string>>")
+    items = lambda m: F.transform(m["data"], lambda d: _item(d["instId"], d["tradeId"], d["px"], d["sz"], d["side"], d["ts"].try_cast("bigint")))
+    return _decoded(message, lambda m: m["arg"]["channel"] != "trades", items)
 
-def decode_okx(raw: DataFrame) -> DataFrame:
-    df = _parsed(raw, "arg struct<channel:string>, data array<struct<instId:string,tradeId:string,px:string,sz:string,side:string,ts:string>>")
-    df = df.withColumn("skip", F.when(F.col("m").isNull(), "not JSON").when(~F.col("m.arg.channel").eqNullSafe("trades"), "not a trade")).withColumn("d", F.explode_outer("m.data"))
-    return _trades(df, F.col("d.instId"), F.col("d.tradeId"), F.col("d.px"), F.col("d.sz"), F.col("d.side"), F.col("d.ts").try_cast("bigint"))
 
+def decode_kucoin(raw: Column, market_type: Column) -> Column:
+    message = F.from_json(raw, "type string, topic string, subject string, data struct<symbol:string,price:string,size:string,side:string,tradeId:string,time:string,ts:string>")
 
-def decode_kucoin(raw: DataFrame) -> DataFrame:
-    df = _parsed(raw, "type string, topic string, subject string, data struct<symbol:string,price:string,size:string,side:string,tradeId:string,time:string,ts:string>")
-    spot = F.col("m.topic").contains("/market/match:") & F.col("m.subject").contains("trade")
-    futures = F.col("m.topic").contains("/contractMarket/execution:") & F.col("m.subject").contains("match")
-    wanted = (F.col("m.type") == "message") & F.when(F.col("market_type") == "spot", spot).otherwise(futures)
-    df = df.withColumn("skip", F.when(F.col("m").isNull(), "not JSON").when(~F.coalesce(wanted, F.lit(False)), "not a trade"))
-    time = F.coalesce(F.col("m.data.time"), F.col("m.data.ts"))
-    return _trades(df, F.col("m.data.symbol"), F.col("m.data.tradeId"), F.col("m.data.price"), F.col("m.data.size"), F.col("m.data.side"), F.substring(time, 1, 13).try_cast("bigint"))
+    def other(m: Column) -> Column:
+        spot = m["topic"].contains("/market/match:") & m["subject"].contains("trade")
+        futures = m["topic"].contains("/contractMarket/execution:") & m["subject"].contains("match")
+        return ~((m["type"] == "message") & F.when(market_type == "spot", spot).otherwise(futures))
 
+    def items(m: Column) -> Column:
+        d = m["data"]
+        return F.array(_item(d["symbol"], d["tradeId"], d["price"], d["size"], d["side"], F.substring(F.coalesce(d["time"], d["ts"]), 1, 13).try_cast("bigint")))
 
-def decode_gate(raw: DataFrame) -> DataFrame:
-    df = _parsed(raw, "event string, channel string, result struct<id:bigint,create_time:bigint,create_time_ms:string,side:string,currency_pair:string,amount:string,contract:string,size:string,price:string>")
-    wanted = (F.col("m.event") == "update") & F.col("m.channel").contains("trades")
-    df = df.withColumn("skip", F.when(F.col("m").isNull(), "not JSON").when(~F.coalesce(wanted, F.lit(False)), "not a trade"))
-    spot = F.col("market_type") == "spot"
-    ms = F.coalesce(F.substring_index("m.result.create_time_ms", ".", 1).try_cast("bigint"), F.col("m.result.create_time") * 1000)
-    symbol = F.when(spot, F.col("m.result.currency_pair")).otherwise(F.col("m.result.contract"))
-    size = F.when(spot, F.col("m.result.amount")).otherwise(F.col("m.result.size"))
-    return _trades(df, symbol, F.col("m.result.id").cast("string"), F.col("m.result.price"), size, F.col("m.result.side"), ms)
+    return _decoded(message, other, items)
 
 
-def decode_phemex(raw: DataFrame) -> DataFrame:
-    df = _parsed(raw, "id bigint, symbol string, sequence bigint, trades_p array<array<string>>")
-    other = F.col("m.id").isNotNull() & (F.col("m.id") != 0)
-    df = df.withColumn("skip", F.when(F.col("m").isNull(), "not JSON").when(other | F.col("m.trades_p").isNull(), "not a trade")).withColumn("d", F.explode_outer("m.trades_p"))
-    df = df.withColumn("skip", F.coalesce("skip", F.when(F.size("d") < 4, "short item")))
-    item = lambda k: F.get("d", k)
-    ns = item(0).try_cast("bigint")
-    return _trades(df, F.col("m.symbol"), F.concat_ws("_", F.col("m.sequence").cast("string"), item(0)), item(2), item(3), item(1), whole_division(ns, 1_000_000))
+def decode_gate(raw: Column, market_type: Column) -> Column:
+    message = F.from_json(raw, "event string, channel string, result struct<id:bigint,create_time:bigint,create_time_ms:string,side:string,currency_pair:string,amount:string,contract:string,size:string,price:string>")
+
+    def items(m: Column) -> Column:
+        r, spot = m["result"], market_type == "spot"
+        ms = F.coalesce(F.substring_index(r["create_time_ms"], ".", 1).try_cast("bigint"), r["create_time"] * 1000)
+        return F.array(_item(F.when(spot, r["currency_pair"]).otherwise(r["contract"]), r["id"].cast("string"), r["price"], F.when(spot, r["amount"]).otherwise(r["size"]), r["side"], ms))
+
+    return _decoded(message, lambda m: ~((m["event"] == "update") & m["channel"].contains("trades")), items)
+
+
+def decode_phemex(raw: Column, market_type: Column) -> Column:
+    message = F.from_json(raw, "id bigint, symbol string, sequence bigint, trades_p array<array<string>>")
+
+    def items(m: Column) -> Column:
+        def one(d: Column) -> Column:
+            at = whole_division(F.get(d, 0).try_cast("bigint"), 1_000_000)
+            trade_id = F.concat_ws("_", m["sequence"].cast("string"), F.get(d, 0))
+            return F.when(F.size(d) < 4, _rejected(F.lit("short item"))).otherwise(_item(m["symbol"], trade_id, F.get(d, 2), F.get(d, 3), F.get(d, 1), at))
+
+        return F.transform(m["trades_p"], one)
+
+    return _decoded(message, lambda m: (F.coalesce(m["id"], F.lit(0)) != 0) | m["trades_p"].isNull(), items)
 
 
 #: Decoder of each venue; add one to read another venue.
@@ -100,13 +119,12 @@ DECODERS: dict[str, Decoder] = {
 
 
 def decode_all(raw_messages: DataFrame, decoders: dict[str, Decoder] | None = None) -> DataFrame:
-    """All venues' messages as trades with ``reject`` (null for trades); an unknown venue's messages are rejected."""
-    decoders = decoders or DECODERS
-    parts = [decode(raw_messages.where(F.col("exchange") == venue)) for venue, decode in decoders.items()]
-    unknown = raw_messages.where(~F.coalesce(F.col("exchange").isin(*decoders), F.lit(False)))
-    none = F.lit(None).cast("string")
-    parts.append(unknown.select("exchange", "market_type", *[none.alias(c) for c in _COLUMNS[2:-1]], F.lit(None).cast("bigint").alias("ts_ms"), "raw", F.lit("unknown venue").alias("reject")))
-    return reduce(DataFrame.unionByName, parts)
+    """All venues' messages as trades with ``raw`` and ``reject`` (null for trades); an unknown venue's messages are rejected."""
+    items = F.when(F.col("exchange").isNull(), F.array(_rejected(F.lit("unknown venue"))))
+    for venue, decode in (decoders or DECODERS).items():
+        items = items.when(F.col("exchange") == venue, decode(F.col("raw"), F.col("market_type")))
+    rows = raw_messages.select("exchange", "market_type", "raw", F.explode(items.otherwise(F.array(_rejected(F.lit("unknown venue"))))).alias("d"))
+    return rows.select("exchange", "market_type", "d.symbol", "d.trade_id", "d.price", "d.quantity", "d.side", "d.ts_ms", "raw", "d.reject")
 
 
 def ingest_trades(raw_messages: DataFrame, *, normalizer: Callable[[Column, Column], Column] | None = None, decoders: dict[str, Decoder] | None = None) -> DataFrame:

@@ -81,7 +81,8 @@ def test_decoders(spark, venue, raw, want):
 
 def test_decoder_options(spark):
     raw = spark.createDataFrame([("binance", "spot", '{"e":"trade","s":"A","t":1,"p":"1","q":"1","T":1,"m":true}', 0), ("moon", "spot", "{}", 0), ("phemex", "spot", '{"symbol":"A","sequence":1,"trades_p":[["1","Buy","2"]]}', 0)], RAW_MESSAGES)
-    assert V.decode_binance(raw.where("exchange = 'binance'"), taker_side=True).first()["side"] == "sell"
+    taker = {"binance": lambda m, kind: V.decode_binance(m, kind, taker_side=True)}
+    assert [r["side"] for r in V.ingest_trades(raw, decoders=taker).collect()] == ["sell"]
     assert {(r["exchange"], r["reject"]) for r in V.rejected_messages(raw).collect()} == {("moon", "unknown venue"), ("phemex", "short item")}
 
 
@@ -196,7 +197,7 @@ def test_stored(spark, tmp_path):
 def test_registry(spark):
     registry.register_analyzer("count", lambda t, least=0: t.groupBy("exchange").count().where(F.col("count") >= least))
     assert registry.analyze(trades(spark, burst(["1", "2"])), "count", least=2).first()["count"] == 2
-    registry.register_decoder("moon", lambda raw: V.decode_okx(raw))
+    registry.register_decoder("moon", V.decode_okx)
     assert "moon" in V.DECODERS
     del V.DECODERS["moon"]
 
