@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     sets = scratch.save(rows.mapInArrow(_measured(shingle), "id bigint, n_shingles bigint, content binary"), "sets")
     same = sets.where("id is not null and content is not null").groupBy("content").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
-    # Written, so that the join has a shuffle of its own on either side, which adaptive execution can split at a hot set.
+    # Written, here and for groups below, so that the join has a shuffle of its own on either side, which adaptive execution can split at a hot key.
     same = scratch.save(same.where("n > 1").drop("n"), "same")
     nodes = scratch.save(sets.join(same, "content", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("node", "id")).alias("node")), "nodes")
     node_of = nodes.where("id is not null").groupBy("id").agg(F.min("node").alias("node"), F.max("n_shingles").alias("size"))
@@ -207,10 +207,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = scratch.save(members, "members")
     groups = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"), F.max("centre_size").alias("centre_size"))
     groups = groups.select(
-        "centre", "centre_size", F.greatest(F.ceil((F.col("n") + 1) / BLOCK), F.ceil((F.col("elements") + F.col("centre_size")) / BLOCK_ELEMENTS)).cast("int").alias("blocks")
+        "centre", F.greatest(F.ceil((F.col("n") + 1) / BLOCK), F.ceil((F.col("elements") + F.col("centre_size")) / BLOCK_ELEMENTS)).cast("int").alias("blocks")
     )
+    groups = scratch.save(groups.select("centre", "blocks"), "groups")
     all_members = members.select("centre", "member").unionByName(groups.select("centre", F.col("centre").alias("member")))
-    placed = all_members.join(groups.select("centre", "blocks"), "centre").withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    placed = all_members.join(groups, "centre").withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     placed = placed.select(
         F.col("member").alias("id"), "centre", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).select("id", "centre", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
