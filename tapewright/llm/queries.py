@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.llm import oracles
 from tapewright.llm.chat import conversation_digests
 from tapewright.llm.decontaminate import find_contamination
 from tapewright.llm.exact_dedup import exact_groups
@@ -98,15 +99,11 @@ def queries() -> dict[str, Query]:
     }
 
 
-_OP2 = """
-WITH t AS (
-  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
-  FROM documents)
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
-FROM t WINDOW w AS (PARTITION BY text)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2}
+    return {
+        "op1_jaccard_join": oracles.OP1,
+        "op2_exact_dedup": oracles.OP2,
+        "op4_chat_format": oracles.OP4,
+        "op8_license_scan": oracles.OP8,
+        "op10_decontamination": oracles.OP10,
+    }

@@ -437,10 +437,17 @@ def test_native_queries_run_no_python(spark, data):
         assert not re.search("Python|Pandas|InArrow", plan)
 
 
-def test_exact_dedup_sql(spark, data):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, data, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
-    got = sorted(tuple(r) for r in queries.queries()["op2_exact_dedup"](spark, data).collect())
-    assert got == sorted(con.execute(queries.oracle_sql()["op2_exact_dedup"]).fetchall())
+    for table in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
+    result = queries.queries()[name](spark, data)
+    columns = sorted(result.columns)
+    cursor = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in cursor.description]
+    assert sorted(names) == columns
+    want = sorted(tuple(str(row[names.index(c)]) for c in columns) for row in cursor.fetchall())
+    assert sorted(tuple(str(row[c]) for c in columns) for row in result.collect()) == want
