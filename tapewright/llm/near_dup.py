@@ -190,7 +190,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Written, here and for groups below, so that the join has a shuffle of its own on either side, which adaptive execution can split at a hot key.
     same = scratch.save(same.where("n > 1").drop("n"), "same")
     nodes = scratch.save(sets.join(same, "content", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("node", "id")).alias("node")), "nodes")
-    node_of = nodes.where("id is not null").groupBy("id").agg(F.min("node").alias("node"), F.max("n_shingles").alias("size"))
+    # An id with texts of several nodes stands for itself, so that all its texts are compared.
+    node = F.when(F.min("node") == F.max("node"), F.min("node")).otherwise(F.col("id"))
+    node_of = nodes.where("id is not null").groupBy("id").agg(node.alias("node"), F.max("n_shingles").alias("size"))
     split = nodes.where("n_shingles > 0").join(node_of.select("id", F.col("node").alias("b")), "id").where("node <> b").select(F.col("node").alias("a"), "b")
 
     signed = rows.where("id is not null").mapInArrow(_signed(shingle, percent), "sig bigint, id bigint")

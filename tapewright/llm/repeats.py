@@ -154,7 +154,6 @@ def _sorted_parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _settle(batch: pa.RecordBatch, before: tuple, earlier: bool, end: bool):
     parse, cover, place = (batch.column(c).to_numpy() for c in ("parse", "cover", "place"))
-    n = len(parse)
     kind = place & 15
     real = kind != _KNOWN
     # A known row sits at a random place of the order; it must not part two equal rows, so neighbours are among real rows.
