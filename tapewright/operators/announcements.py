@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.numbers import parse_notice_time
 
-# Forms of listing titles, in the order in which they are tried, with the group of the symbols and that of the markets.
+# Fixed values, down to NOTICE_URL: forms of listing titles, in the order in which they are tried, with the group of the symbols and that of the markets.
 TITLE_FORMS = (
     ("multiple_coin_market", r"([^(]+)\(([A-Z0-9]+)\)\s*\(([^)]+)\s*마켓\)", 2, 3),
     ("coins_with_parenthesis_markets", r"([^(]+)\(([A-Z0-9]+)\)[^(]*\(([^)]+)\s*마켓\)", 2, 3),
@@ -15,6 +15,14 @@ TITLE_FORMS = (
     ("single_coin_single_market", r"([^(]+)\(([A-Z0-9]+)\)\s*([A-Z]+)\s*마켓", 2, 3),
     ("coin_list_in_parenthesis", r"([A-Z]+)\s*마켓[^(]*\(([^)]+)\)", 2, 1),
 )
+MULTI_FORMS = {
+    "coin_and_markets": r"([가-힣A-Za-z0-9]+)\(([A-Z0-9]+)\)\(([^)]+) 마켓\)",
+    "coin": r"([가-힣A-Za-z0-9]+)\(([A-Z0-9]+)\)",
+    "markets_in_parenthesis": r"\(([A-Z, ]+) 마켓\)",
+    "markets_outside": r"([A-Z, ]+) 마켓",
+    "coin_and_market": r"([가-힣A-Za-z0-9]+)\(([A-Z0-9]+)\) ([A-Z, ]+) 마켓",
+    "coin_list": r"(KRW|BTC|USDT) 마켓 디지털 자산 추가 \(([^)]+)\)",
+}
 LISTING_WORDS = ("디지털 자산 추가", "거래 지원", "신규 거래지원", "마켓 추가", "상장")
 UPDATE_WORDS = ("krw", "신규 거래지원", "마켓")
 NOTICE_URL = "https://upbit.com/service_center/notice?id="
@@ -61,10 +69,7 @@ def parse_listings(announcements: DataFrame) -> DataFrame:
 def parse_listings_multi(announcements: DataFrame) -> DataFrame:
     """All symbols of a title, one row per symbol, with the title's markets."""
     t = F.col("title")
-    names = r"([가-힣A-Za-z0-9]+)\(([A-Z0-9]+)\)"
-    multi, paren, out_, single, coins = (
-        r"([가-힣A-Za-z0-9]+)\(([A-Z0-9]+)\)\(([^)]+) 마켓\)", r"\(([A-Z, ]+) 마켓\)", r"([A-Z, ]+) 마켓", r"([가-힣A-Za-z0-9]+)\(([A-Z0-9]+)\) ([A-Z, ]+) 마켓", r"(KRW|BTC|USDT) 마켓 디지털 자산 추가 \(([^)]+)\)",
-    )
+    multi, names, paren, out_, single, coins = (MULTI_FORMS[k] for k in ("coin_and_markets", "coin", "markets_in_parenthesis", "markets_outside", "coin_and_market", "coin_list"))
     every = lambda form, group: F.regexp_extract_all(t, F.lit(form), F.lit(group))
     same = lambda symbols, markets: F.transform(symbols, lambda s: F.struct(F.trim(s).alias("symbol"), _listed(markets).alias("markets")))
     found = (

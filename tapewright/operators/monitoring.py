@@ -159,19 +159,20 @@ def feed_stats(pools: DataFrame) -> DataFrame:
     )
 
 
-#: Cause, metric, limit, likelihood: the cause is possible when the metric passes the limit.
-CAUSES = (
-    ("high response time", "avg_ms", 3000.0, 85.0),
-    ("network connectivity", "streak", 3.0, 70.0),
-    ("high memory usage", "memory_mb", 6000.0, 60.0),
-    ("memory near its end", "memory_mb", 7000.0, 65.0),
-    ("high cpu usage", "cpu", 80.0, 55.0),
+# Kind, name, metric, bound that the metric must pass, likelihood of a cause, what counts as full use for a bottleneck.
+RULES = (
+    ("cause", "High API Response Time", "avg_ms", 3000.0, 85.0, None),
+    ("cause", "Network Connectivity Issues", "streak", 3.0, 70.0, None),
+    ("cause", "High Memory Usage", "memory_mb", 6000.0, 60.0, None),
+    ("bottleneck", "Memory", "memory_mb", 7000.0, None, 8000.0),
+    ("bottleneck", "CPU", "cpu", 80.0, None, 100.0),
 )
 
 
 def bottlenecks_and_causes(state: DataFrame, *, key: str = "node") -> DataFrame:
-    """Rules that apply to each key, most likely first."""
-    rules = state.sparkSession.createDataFrame(CAUSES, "cause string, metric string, bound double, likelihood double")
+    """Rules that apply to each key: causes, most likely first, then bottlenecks with their utilization in per cent."""
+    rules = state.sparkSession.createDataFrame(RULES, "kind string, name string, metric string, bound double, likelihood double, full double")
     long = state.select(key, F.explode(F.create_map(*[x for m in ("avg_ms", "streak", "memory_mb", "cpu") for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value"))
     met = long.join(F.broadcast(rules), "metric").where("value > bound")
-    return met.select(key, "cause", "metric", F.round("value", 4).alias("value"), "likelihood").orderBy(key, F.desc("likelihood"))
+    out = met.select(key, "kind", "name", F.round("value", 4).alias("value"), "likelihood", F.round(F.col("value") / F.col("full") * 100, 4).alias("utilization"))
+    return out.orderBy(key, F.desc("kind"), F.desc("likelihood"))

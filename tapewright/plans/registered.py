@@ -625,8 +625,10 @@ def _(s, d):
 
 @_query(
     "a28_bottlenecks",
-    """SELECT node, cause, metric, round(value, 4) AS value, likelihood FROM (SELECT node, unnest(['avg_ms', 'streak', 'memory_mb', 'cpu']) AS metric, unnest([avg_ms, CAST(streak AS DOUBLE), CAST(memory_mb AS DOUBLE), cpu]) AS value FROM st)
-JOIN (VALUES ('high response time', 'avg_ms', 3000.0::DOUBLE, 85.0::DOUBLE), ('network connectivity', 'streak', 3.0, 70.0), ('high memory usage', 'memory_mb', 6000.0, 60.0), ('memory near its end', 'memory_mb', 7000.0, 65.0), ('high cpu usage', 'cpu', 80.0, 55.0)) v(cause, metric, bound, likelihood) USING (metric) WHERE value > bound""",
+    """SELECT node, kind, name, round(value, 4) AS value, likelihood, round(value / full_use * 100, 4) AS utilization
+FROM (SELECT node, unnest(['avg_ms', 'streak', 'memory_mb', 'cpu']) AS metric, unnest([avg_ms, CAST(streak AS DOUBLE), CAST(memory_mb AS DOUBLE), cpu]) AS value FROM st)
+JOIN (VALUES ('cause', 'High API Response Time', 'avg_ms', 3000::DOUBLE, 85::DOUBLE, NULL::DOUBLE), ('cause', 'Network Connectivity Issues', 'streak', 3, 70, NULL), ('cause', 'High Memory Usage', 'memory_mb', 6000, 60, NULL),
+  ('bottleneck', 'Memory', 'memory_mb', 7000, NULL, 8000), ('bottleneck', 'CPU', 'cpu', 80, NULL, 100)) v(kind, name, metric, bound, likelihood, full_use) USING (metric) WHERE value > bound""",
     *_CALLS,
 )
 def _(s, d):
