@@ -25,27 +25,75 @@ from pyspark.sql import functions as F
 from tapewright.llm.exact_dedup import ascii_lower
 
 SHINGLE, BANDS, CONTAINED = 5, 32, 0.8
-#: Notices as licences ask for them to be written (fixed texts).
+#: What Creative Commons licences are called: conditions, and the spellings of the long name.
+_CC = {
+    "BY": ("Attribution",),
+    "BY-SA": ("Attribution-ShareAlike", "Attribution-Share Alike"),
+    "BY-NC": ("Attribution-NonCommercial", "Attribution-Non-Commercial"),
+    "BY-ND": ("Attribution-NoDerivatives", "Attribution-No Derivatives", "Attribution-NoDerivs", "Attribution-No Derivative Works"),
+    "BY-NC-SA": ("Attribution-NonCommercial-ShareAlike", "Attribution-Non-Commercial-Share Alike", "Attribution-Noncommercial-Share Alike"),
+    "BY-NC-ND": ("Attribution-NonCommercial-NoDerivatives", "Attribution-Non-Commercial-No Derivatives", "Attribution-NonCommercial-NoDerivs", "Attribution-Noncommercial-No Derivative Works"),
+}
+
+
+def _creative_commons() -> dict[str, tuple[str, ...]]:
+    """The long and the short name with a version. "CC BY 4.0" is shorter than a shingle, so it takes a word beside it."""
+    out = {}
+    for kind, spellings in _CC.items():
+        for version in ("4.0", "3.0", "2.5", "2.0"):
+            short = f"CC {kind} {version}"
+            shorts = [f"{word} {short}" for word in ("under", "a", "the", "license", "licence", "identifier")] + [f"{short} {word}" for word in ("license", "licence", "international")] if kind == "BY" else [short]
+            out[f"CC-{kind}-{version}"] = (*(f"{'Commons' if long.startswith('Attribution-Non') and ' ' in long else 'Creative Commons'} {long} {version}" for long in spellings), *shorts)
+    return out
+
+
+def _gnu(name: str, short: str, version: str) -> tuple[str, ...]:
+    """Notices of a GNU licence, cut to where 0.8 of the shingles tells its name and version from the others'."""
+    return (
+        f"terms of the {name} as published by the Free Software Foundation, either version {version} of the License",
+        *(f"the {name}{by}{version}" for by in (", version ", " v. ", " v")),
+        *(f"{lead} {short} {by}{version}" for lead in ("under the", "under the GNU") for by in ("version ", "v. ")),
+        *(f"{lead} {short} v{version}" for lead in ("Licensed under the", "Released under the", "under the GNU")),
+        f"SPDX-License-Identifier: {short}-{version if '.' in version else version + '.0'}",
+    )
+
+
+def _notices(name: str) -> tuple[str, ...]:
+    return tuple(f"{verb} under the {name}" for verb in ("Licensed", "Released", "Distributed", "Available", "Is", "Provided")) + (f"under the terms of the {name}",)
+
+
+_GPL, _LGPL, _AGPL = (f"GNU {kind}General Public License" for kind in ("", "Lesser ", "Affero "))
+#: Notices as licences ask for them to be written, and how they are named (fixed texts). What has fewer words than a shingle is not looked for.
 TEMPLATES = {
+    "AGPL-3.0": _gnu(_AGPL, "AGPL", "3"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "under the Apache License 2.0",
+        "under the Apache 2.0 License",
+        "SPDX-License-Identifier: Apache-2.0",
     ),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
-    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
-    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-2-Clause": ("under the BSD 2-Clause License", "under the 2-Clause BSD License", "under the Simplified BSD License", "SPDX-License-Identifier: BSD-2-Clause"),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "under the BSD 3-Clause License",
+        "under the 3-Clause BSD License",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
+    **_creative_commons(),
+    "CC0-1.0": ("Creative Commons CC0 1.0", "Creative Commons Zero v1.0", "under CC0 1.0 Universal", "Licensed under CC0 1.0", "Released under CC0 1.0", "the CC0 1.0 Universal", "CC0 1.0 Universal Public Domain Dedication", "SPDX-License-Identifier: CC0-1.0"),
+    "GPL-2.0": _gnu(_GPL, "GPL", "2"),
+    "GPL-3.0": _gnu(_GPL, "GPL", "3"),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", *_notices("ISC License")),
+    "LGPL-2.1": _gnu(_LGPL, "LGPL", "2.1"),
+    "LGPL-3.0": _gnu(_LGPL, "LGPL", "3"),
     "MIT": (
-        "Released under the MIT License.",
+        *_notices("MIT License"),
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "under the Mozilla Public License 2.0", "under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", *_notices("Unlicense License")),
 }
 
 
@@ -83,9 +131,21 @@ def _minima(hashes: Column) -> Column:
     return _let(hashes, lambda hs: F.array(*[_minimum(hs, k) for k in range(BANDS)]))
 
 
-def _window_starts(words: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)), F.lit(max(1, size // 2)))
-    return F.transform(starts, lambda at: F.struct(F.lit(size).alias("size"), at.alias("at")))
+def _windows(words: Column, hashes: Column, lowest: Column, sizes: list[int]) -> Column:
+    """(size, at) of the windows that hold a shingle of ``lowest``."""
+
+    def around(places: Column) -> Column:
+        return F.flatten(F.array(*[_starts_around(words, places, size) for size in sizes]))
+
+    places = _let(F.array_intersect(hashes, lowest), lambda met: F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(met, h), i)), lambda i: i.isNotNull()))
+    return _let(places, around)
+
+
+def _starts_around(words: Column, places: Column, size: int) -> Column:
+    step = max(1, size // 2)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)), F.lit(step))
+    held = F.filter(starts, lambda at: F.exists(places, lambda i: (i >= at) & (i + SHINGLE <= at + size + step)))
+    return F.transform(held, lambda at: F.struct(F.lit(size).alias("size"), at.alias("at")))
 
 
 def templates(spark: SparkSession, texts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -105,11 +165,10 @@ def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rare = sorted({h for r in known.select("lowest").collect() for h in r["lowest"]})
     sizes = sorted({r["size"] for r in known.select("size").collect()})
     rows = docs.select(F.col(id_col).alias("id"), _words(F.col(text_col)).alias("words"))
-    lowest = F.array(*[F.lit(h) for h in rare]).cast("array<bigint>")
-    some = rows.where(F.coalesce(F.arrays_overlap(_shingles(F.col("words")), lowest), F.lit(False)))
-    starts = F.flatten(F.array(*[_window_starts(F.col("words"), size) for size in sizes]))
-    windows = some.select("id", "words", F.explode(starts).alias("w")).select("id", "w.size", "w.at", F.slice("words", F.col("w.at") + 1, (F.col("w.size") + F.floor(F.col("w.size") / 2)).cast("int")).alias("words"))
-    windows = windows.where(F.coalesce(F.arrays_overlap(_shingles(F.col("words")), lowest), F.lit(False)))
+    lowest = F.split(F.lit(",".join(map(str, rare))), ",").cast("array<bigint>")
+    some = rows.where(F.coalesce(F.arrays_overlap(_shingles(F.col("words")), lowest), F.lit(False))).select("id", "words", _shingles(F.col("words")).alias("hashes"))
+    windows = some.select("id", "words", F.explode(_windows(F.col("words"), F.col("hashes"), lowest, sizes)).alias("w"))
+    windows = windows.select("id", "w.size", "w.at", F.slice("words", F.col("w.at") + 1, (F.col("w.size") + F.floor(F.col("w.size") / 2)).cast("int")).alias("words"))
     banded = windows.select("id", "size", "at", "words", F.posexplode(_minima(_shingles(F.col("words")))).alias("band", "value"))
     bands = known.select("license", "template", F.col("size").alias("its_size"), "shingles", F.posexplode("minima").alias("its_band", "its_value"))
     met = banded.join(F.broadcast(bands), (F.col("band") == F.col("its_band")) & (F.col("value") == F.col("its_value")) & (F.col("size") == F.col("its_size")))

@@ -16,7 +16,7 @@ from tapewright.llm import words as W
 from tapewright.llm.decontaminate import decontaminate, find_contamination
 from tapewright.llm.exact_dedup import exact_dedup, exact_groups
 from tapewright.llm.html_text import LABELLED, extract_text, main_text, train
-from tapewright.llm.licenses import license_matches, license_scan
+from tapewright.llm.licenses import CONTAINED, SHINGLE, TEMPLATES, license_matches, license_scan
 from tapewright.llm.near_dup import near_duplicates
 from tapewright.llm.packing import Encoder, pack_documents
 from tapewright.llm.repeats import remove_repeats
@@ -357,6 +357,35 @@ def test_licenses(spark):
     assert found[7, "BSD-3-Clause"] == 1.0
 
 
+def test_creative_commons_and_gnu_licenses(spark):
+    texts = {
+        "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+        "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        "CC-BY-SA-4.0": ("This page is available under a CC BY-SA 4.0 license.",),
+        "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
+        "CC-BY-NC-SA-3.0": ("licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License",),
+        "CC-BY-NC-ND-2.5": ("the Creative Commons Attribution-Noncommercial-No Derivative Works 2.5 License",),
+        "CC0-1.0": ("SPDX-License-Identifier: CC0-1.0",),
+        "LGPL-2.1": ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version",),
+        "AGPL-3.0": ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",),
+        "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+        "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+        "BSD-2-Clause": ("Released under the BSD 2-Clause License.",),
+    }
+    cases = [(name, text) for name, found in texts.items() for text in found]
+    rows = [(i, f"{prose(200, i)}\n{text}\n{prose(90, 50 + i)}") for i, (_, text) in enumerate(cases)]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan(frame(spark, rows)).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(cases)}
+
+
+def test_license_templates_tell_licences_apart():
+    shingled = lambda text: {tuple(w[i : i + SHINGLE]) for w in [re.findall("[a-z0-9]+", lower(text))] for i in range(len(w) - SHINGLE + 1)}
+    known = [(name, shingled(text)) for name, texts in TEMPLATES.items() for text in texts]
+    assert all(shingles for _, shingles in known)
+    for name, shingles in known:
+        assert {other for other, its in known if len(its & shingles) >= CONTAINED * len(its)} == {name}
+
+
 # 9
 
 
