@@ -12,6 +12,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Start tags that end an open element: the elements they end, and where the search for them stops.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("html body table ul ol dl select article section main aside nav div td th form fieldset".split())
+#: All that may stand in a head: whatever else starts ends it, as text does.
+_IN_HEAD = frozenset("head title base basefont bgsound link meta style script noscript noframes template".split())
+#: Foreign content, the elements within that hold HTML again, and the start tags that end foreign content.
+_FOREIGN = frozenset(("svg", "math"))
+_HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+_LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 _TOKEN = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -23,7 +29,7 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.tokens, self.text, self.mark = [-1], ["#page"], [()], [""], [None]
         self.linked = [False]
-        self.open, self.hidden = [0], 0
+        self.open, self.hidden, self.foreign = [0], 0, 0
         #: Grows whenever a block begins or ends: leaves of one number belong to one block.
         self.block, self.blocks = [0], 0
         self.feed(page)
@@ -45,9 +51,30 @@ class Dom(HTMLParser):
                 self.blocks += 1
             if self.tag[node] in UNSEEN:
                 self.hidden -= 1
+            if self.tag[node] in _FOREIGN:
+                self.foreign -= 1
         del self.open[depth:]
 
+    def _foreign_depth(self) -> int:
+        """Depth of the outermost element of the foreign content that is open here, 0 outside of any."""
+        found = 0
+        for depth in range(len(self.open) - 1, 0, -1) if self.foreign else ():
+            name = self.tag[self.open[depth]]
+            if name in _HTML_AGAIN:
+                break
+            if name in _FOREIGN:
+                found = depth
+        return found
+
+    def _end_head(self) -> None:
+        if self.tag[self.open[-1]] == "head":
+            self._close(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in _IN_HEAD:
+            self._end_head()
+        if tag in _LEAVES and (depth := self._foreign_depth()):
+            self._close(depth)
         if tag not in INLINE:
             self.blocks += 1
             for ended in (_ENDS.get(tag, ()), ("p",) if tag != "br" else ()):
@@ -67,10 +94,14 @@ class Dom(HTMLParser):
             tokens += ("hidden",)
         self.open.append(self._add(tag, tokens, "", found.get("data-main")))
         self.hidden += tag in UNSEEN
+        self.foreign += tag in _FOREIGN
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        # As browsers do, "/>" ends only elements that have no end tag.
+        # As in browsers, "/>" ends foreign elements and those that have no end tag. Beyond that it ends elements
+        # whose text is never shown, as XHTML means it: else they would hide all that follows.
+        if tag not in VOID and (tag in UNSEEN or self._foreign_depth()):
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, 0, -1):
@@ -79,5 +110,7 @@ class Dom(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and not data.isspace():
+            self._end_head()
         if not self.hidden and data:
             self._add("#text", (), data, None)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tapewright.llm import chat, cutting_stock, partenum, queries
 from tapewright.llm import words as W
 from tapewright.llm.decontaminate import decontaminate, find_contamination
+from tapewright.llm.dom import Dom
 from tapewright.llm.exact_dedup import exact_dedup, exact_groups
 from tapewright.llm.html_text import LABELLED, extract_text, main_text, train
 from tapewright.llm.licenses import CONTAINED, SHINGLE, TEMPLATES, license_matches, license_scan
@@ -331,6 +332,24 @@ def test_html():
         assert isinstance(main_text(odd, model), str)
 
 
+def test_html_that_leaves_out_end_tags():
+    model = train()
+    text = "Rain fell on the hills for nine days, and the river rose until it reached the mill."
+    article = f"<article><h1>High water</h1><p>{text}</article>"
+    pages = (
+        f"<html><head><title>T</title><body>{article}</html>",
+        f"<head><meta charset=utf-8><style>p {{}}</style>\n{article}",
+        f"<html><head><title>T</title><noscript><p>Turn scripts on.</p></noscript><script>x()</script>\n<body>{article}",
+        f"<html><head><title>T</title></head><body>{article}",
+        f"<article><h1>High <svg/>water</h1><svg viewBox='0 0 1 1'><path d='M0'/><g/></svg><svg><path d='M0'><p>{text}</article>",
+        f"<article><h1>High water</h1><iframe src='a'/><iframe src='b'></iframe><object data='c'/><p>{text}</article>",
+        f"<article><h1>High water</h1><svg><foreignObject><p>not shown</p></foreignObject><title>nor this</title></svg><p>{text}</article>",
+    )
+    for page in pages:
+        assert main_text(page, model) == f"High water {text}", page
+    assert Dom(f"<head><title>no</title>{text}").text[-1] == text
+
+
 def test_extract(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     import html
