@@ -22,7 +22,7 @@ strings (128 bits wherever equality decides about bytes) in place of ranks; no p
 held as a suffix array by one task, and equal strings within a batch meet before the shuffle.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; a row's identity is
-its id and its text, rows that repeat both are repeats of each other; null ids are an id of their own;
+its id and its text (by md5), rows that repeat both are repeats of each other; null ids are an id of their own;
 an empty table gives an empty result; only the two named columns are read.
 """
 
@@ -315,10 +315,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("mark"), text.alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    parsed = rows.mapInArrow(_parsed(length), f"parse bigint, cover bigint, id {kind}, mark int, place bigint")
-    ranges = parsed.repartition("parse").sortWithinPartitions("parse", "cover").mapInArrow(_sorted_parse, f"id {kind}, mark int, lo bigint, hi bigint, kind int")
+    parsed = rows.mapInArrow(_parsed(length), f"parse bigint, cover bigint, id {kind}, mark binary, place bigint")
+    ranges = parsed.repartition("parse").sortWithinPartitions("parse", "cover").mapInArrow(_sorted_parse, f"id {kind}, mark binary, lo bigint, hi bigint, kind int")
     marked = ranges.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("ranges"))
 
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -327,10 +327,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     some = scratch.save(joined(rows, marked, "inner").select("id", "mark", "text", "ranges"), "some")
     edges = some.where(F.exists("ranges", lambda r: r["kind"] != REPEATED))
-    opened = edges.mapInArrow(_combined(length), f"w bigint, v int, id {kind}, mark int, place bigint")
-    starts = opened.repartition("w").sortWithinPartitions("w", "v").mapInArrow(_sorted_starts, f"id {kind}, mark int, start bigint")
+    opened = edges.mapInArrow(_combined(length), f"w bigint, v int, id {kind}, mark binary, place bigint")
+    starts = opened.repartition("w").sortWithinPartitions("w", "v").mapInArrow(_sorted_starts, f"id {kind}, mark binary, start bigint")
     starts = starts.groupBy("id", "mark").agg(F.collect_set("start").alias("starts"))
-    schema = f"id {kind}, mark int, spans array<struct<first_byte:bigint,end_byte:bigint>>, kept_sha256 string" + ", kept binary" * with_kept
+    schema = f"id {kind}, mark binary, spans array<struct<first_byte:bigint,end_byte:bigint>>, kept_sha256 string" + ", kept binary" * with_kept
     cut = joined(some, starts, "left").select("id", "mark", "text", "ranges", "starts").mapInArrow(_cut(length, with_kept), schema).dropDuplicates(["id", "mark"])
     whole = rows.select("id", "mark", F.octet_length("text").cast("bigint").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha"), *[F.encode("text", "utf-8").alias("bytes")] * with_kept)
     out = joined(whole, cut, "left")

@@ -438,6 +438,16 @@ def test_repeats(spark, awkward, seed):
         assert all(sha(bytes(r["kept"])) == r["kept_sha256"] for r in got.collect())
 
 
+def test_repeats_of_texts_whose_32_bit_hashes_are_equal(spark):
+    shared, own = prose(80, 7001), prose(110, 7002)
+    rows = [(None, f"a4949 {shared}"), (None, f"b65682 {own}"), (1, f"{shared} end")]
+    docs = frame(spark, rows)
+    assert docs.where("doc_id is null").select(F.hash("text")).distinct().count() == 1
+    spans = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end_byte"] - s["first_byte"])
+    got = remove_repeats(docs, length=150).withColumn("removed", spans).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["removed"], len(r["spans"]), r["kept_sha256"]) for r in got), key=repr) == removed(rows, 150)
+
+
 # 10
 
 
