@@ -21,15 +21,11 @@ from tapewright.llm.toxicity import fit
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose id is not among the ids of ``gone``; documents without an id stay."""
-    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored below 0.5. Each row goes along with its score, so that ids play no part."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, model.score(docs).where("score >= 0.5"))
+    scored = model.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), id_col="row")
+    return scored.where(~F.coalesce(F.col("score") >= 0.5, F.lit(False))).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +33,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs, shingle=5, percent=80).where("component_id <> doc_id"))
+    """Of rows that are linked, the one with the least id stays; rows without an id come last. Rows are told apart by a key of their own."""
+    keyed = Scratch(spark, "near-copies").save(docs.withColumn("row_key_", F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed, id_col="row_key_", shingle=5, percent=80).join(keyed.select("row_key_", "doc_id"), "row_key_")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key_"))["row_key_"]
+    linked = found.groupBy("component_id").agg(least.alias("kept_key"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = found.join(linked, "component_id").where("row_key_ <> kept_key").select("row_key_")
+    return keyed.join(gone, "row_key_", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

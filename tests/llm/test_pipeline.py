@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
-from tests.llm.test_ops import check_packing, components, contaminated, lower
+from tests.llm.test_ops import check_packing, components, contaminated, frame, lower, prose, toxic_docs  # noqa: F401
 
 
 def test_pipeline(spark, data, tmp_path):
@@ -40,3 +40,26 @@ def test_pipeline(spark, data, tmp_path):
 def test_run(spark, data):
     rows = corpus_pipeline.run(spark, data).collect()
     assert rows and all(re.fullmatch(r"\d+", str(r["sequence_id"])) for r in rows)
+
+
+def test_toxic_rows_without_an_id_or_with_a_shared_id(spark, toxic_docs, tmp_path):  # noqa: F811
+    rows, labels = toxic_docs
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    insult, clean = "idiot moron scum trash", prose(40, 1)
+    docs = frame(spark, [*rows, (None, insult), (None, clean), (5000, insult), (5000, clean)])
+    out = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert [x for x in kept if x[1] in (insult, clean) and x[0] in (None, 5000)].count((5000, clean)) == kept.count((None, clean)) == 1
+    assert (None, insult) not in kept and (5000, insult) not in kept
+
+
+def test_near_copies_without_an_id_or_with_a_shared_id(spark):
+    base, other = prose(120, 1), prose(120, 2)
+    rows = [(None, base + " a"), (7, base + " b"), (3, base + " c"), (None, other + " a"), (None, other + " b"), (None, None), (None, None), (9, prose(90, 3)), (9, prose(90, 4)), (None, "short")]
+    docs = frame(spark, rows)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    assert [x for x in kept if x[1] and x[1].startswith(other)] in ([rows[3]], [rows[4]])
+    assert [x for x in kept if not (x[1] and x[1].startswith(other))] == sorted([rows[2], *rows[5:]], key=repr)
