@@ -1,11 +1,14 @@
 """Cutting stock over a histogram of lengths: which lengths share a sequence, and how often.
 
-Lengths are grouped in ``CLASSES`` classes, each as long as its longest length. A linear program over
-patterns (multisets of classes that fit a sequence) is solved by column generation: a knapsack dynamic
-program over the dual prices finds the pattern that would lower the cost most, until none does. Pattern
-counts are rounded down and made of lengths, the last of a pattern being the longest that still fit.
-What remains is filled sequence by sequence, the longest length first and then the subset of the rest
-that fills it best. Work and memory depend on the sequence length, never on how many pieces there are.
+A linear program over patterns (multisets of lengths that fit a sequence) covers every length of the
+histogram as often as it occurs. It is solved by column generation over all lengths: a knapsack dynamic
+program over the dual prices, which may take a length as often as it fits, finds the pattern that would
+lower the cost most, until none does or the cost is within ``gap`` of the bound that the prices prove.
+The first basis is a greedy filling: every pattern of it uses up one length, so its columns are triangular
+and their counts are a feasible solution. Prices are stabilised by drawing them towards the best ones so far.
+Pattern counts are rounded down; what remains is filled sequence by sequence, the longest length first and
+then the subset of the rest that fills it best. Work and memory depend on the sequence length, never on how
+many pieces there are.
 """
 
 from __future__ import annotations
@@ -14,52 +17,84 @@ from collections import Counter
 
 import numpy as np
 
-CLASSES = 64
-
-
-def _best_pattern(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """The pattern of the highest total price, each length at most once (twice at half a sequence), by dynamic programming over filled length."""
-    items = [k for k in np.argsort(-sizes, kind="stable").tolist() if price[k] > 0 for _ in range(2 if 2 * sizes[k] == capacity else 1)]
-    best, taken = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), dtype=bool)
-    for row, k in enumerate(items):
-        size = int(sizes[k])
-        with_it = best[: capacity + 1 - size] + price[k]
-        np.greater(with_it, best[size:], out=taken[row, size:])
-        np.maximum(best[size:], with_it, out=best[size:])
-    pattern, room = np.zeros(len(sizes)), capacity
-    for row in range(len(items) - 1, -1, -1):
-        if taken[row, room]:
-            pattern[items[row]] += 1
-            room -= int(sizes[items[row]])
+#: Share of the optimum within which the linear program may stop.
+GAP = 1e-4
+
+
+def best_pattern(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """The multiset of lengths (ascending ``sizes``) of the highest total price that fits, and that price."""
+    worth = price > 0
+    items, gain = sizes[worth], price[worth]
+    pattern = np.zeros(len(sizes))
+    if not len(items):
+        return pattern, 0.0
+    place = np.flatnonzero(worth)
+    best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for room in range(int(items[0]), capacity + 1):
+        fit = np.searchsorted(items, room, side="right")
+        with_it = gain[:fit] + best[room - items[:fit]]
+        k = int(with_it.argmax())
+        best[room], taken[room] = best[room - 1], -1
+        if with_it[k] > best[room]:
+            best[room], taken[room] = with_it[k], k
+    room = capacity
+    while room > 0:
+        k = int(taken[room])
+        if k < 0:
+            room -= 1
+        else:
+            pattern[place[k]] += 1
+            room -= int(items[k])
     return pattern, float(best[capacity])
 
 
-def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, gap: float = 0.0, centre: float = 0.9, most_columns: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (one column each) and their counts of the linear program, within a share ``gap`` of its optimum.
-
-    Prices are drawn towards the lengths' share of a sequence by ``centre``, which is where they end if
-    nothing has to be wasted; where that finds no better pattern, the plain dual prices are used.
+def _greedy(sizes: list[int], demand: list[float], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns, as many as lengths and linearly independent, and counts that meet the demand exactly."""
+    place = {s: k for k, s in enumerate(sizes)}
+    left = dict(zip(sizes, demand, strict=True))
+    columns, counts = [], []
+    while left:
+        once = Counter({s: capacity // s for s in left})
+        lengths = Counter(_fill(sorted(left, reverse=True), once, capacity))
+        n = min(left[s] / k for s, k in lengths.items())
+        used_up = min(lengths, key=lambda s: (left[s] / lengths[s], s))
+        column = np.zeros(len(sizes))
+        for s, k in lengths.items():
+            column[place[s]] = k
+            left[s] = max(left[s] - n * k, 0.0)
+        del left[used_up]
+        columns.append(column), counts.append(n)
+    return np.array(columns).T, np.array(counts)
+
+
+def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, gap: float = GAP, most_columns: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (one column each) and their counts of the linear program, and a proven lower bound of its optimum.
+
+    It stops within a share ``gap`` or one sequence of the bound, or after ``most_columns`` new patterns (a few
+    seconds); the counts are feasible at any point.
     """
-    m = len(sizes)
-    basis = np.diag((capacity // sizes).astype(float))
-    inverse = np.diag(1 / np.diag(basis))
-    count = demand / np.diag(basis)
-    share = sizes / capacity
-    least = float(share @ demand)
+    basis, count = _greedy(sizes.tolist(), demand.tolist(), capacity)
+    inverse = np.linalg.inv(basis)
+    steady = sizes / capacity  # prices that are feasible: no pattern is worth more than one sequence
+    least = float(steady @ demand)
     for k in range(most_columns):
-        dual = inverse.sum(axis=0)
         cost = float(count.sum())
-        if cost <= (1 + gap) * least:
+        if cost - least <= (max(gap * least, 1.0) if gap else 0.0):
             break
-        price = centre * share + (1 - centre) * dual
-        pattern, value = _best_pattern(sizes, price, capacity)
-        least = max(least, float(price @ demand) / max(value, 1e-12))
-        if dual @ pattern <= 1 + 1e-7:
-            pattern, value = _best_pattern(sizes, dual, capacity)
+        dual = inverse.sum(axis=0)
+        pattern = None
+        for centre in (0.8, 0.0):
+            price = centre * steady + (1 - centre) * dual
+            found, value = best_pattern(sizes, price, capacity)
             # Prices divided by the best value are feasible, which bounds the optimum from below.
-            least = max(least, float(dual @ demand) / max(value, 1e-12))
-            if value <= 1 + 1e-7:
+            bound = float(price @ demand) / max(value, 1e-12)
+            if bound > least and price.min() >= 0:
+                least, steady = bound, price / value
+            if dual @ found > 1 + 1e-9:
+                pattern = found
                 break
+        if pattern is None:
+            break
         step = inverse @ pattern
         ratio = np.where(step > 1e-9, count / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
@@ -69,28 +104,33 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, gap: float
         pivot = inverse[out] / step[out]
         inverse -= np.outer(step, pivot)
         inverse[out] = pivot
-        count = count - ratio[out] * step
+        count = np.maximum(count - ratio[out] * step, 0)
         count[out] = ratio[out]
-        if k % 200 == 199:
+        if k % 500 == 499:
             inverse = np.linalg.inv(basis)
-            count = inverse @ demand
-    return basis, np.maximum(count, 0)
+            count = np.maximum(inverse @ demand, 0)
+    return basis, count, least
 
 
 def _fill(sizes: list[int], left: Counter, capacity: int) -> tuple[int, ...]:
     """One sequence from what is left: its longest length, then the subset of others that fills it best."""
-    first = max(left)
+    first = sizes[0]
     room = capacity - first
-    items = [s for s in sizes if s <= room for _ in range(min(left[s] - (s == first), room // s))] if room else []
-    reach, steps = 1, []
+    reach, steps, items = 1, [], []
     mask = (1 << (room + 1)) - 1
-    for s in items:
-        steps.append(reach)
-        reach |= (reach << s) & mask
+    for s in sizes:
+        if s > room:
+            continue
+        for _ in range(min(left[s] - (s == first), room // s)):
+            items.append(s)
+            steps.append(reach)
+            reach |= (reach << s) & mask
+            if reach >> room & 1:
+                break
         if reach >> room & 1:
             break
     total, chosen = reach.bit_length() - 1, [first]
-    for s, before in zip(reversed(items[: len(steps)]), reversed(steps), strict=True):
+    for s, before in zip(reversed(items), reversed(steps), strict=True):
         if not before >> total & 1:
             chosen.append(s)
             total -= s
@@ -99,28 +139,15 @@ def _fill(sizes: list[int], left: Counter, capacity: int) -> tuple[int, ...]:
 
 def _guided(left: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """What the rounded patterns of the linear program place; it is taken out of ``left``."""
-    grain = -(-capacity // CLASSES)
-    demand: Counter = Counter()
-    for size, n in left.items():
-        demand[min(-(-size // grain) * grain, capacity)] += n
-    sizes = np.array(sorted(demand))
-    basis, count = relaxed(sizes, np.array([demand[s] for s in sizes.tolist()], dtype=float), capacity)
+    sizes = np.array(sorted(left))
+    basis, count, _ = relaxed(sizes, np.array([left[s] for s in sizes.tolist()], dtype=float), capacity)
     plan = []
     for column, n in zip(basis.T, np.floor(count + 1e-6).astype(int).tolist(), strict=True):
-        classes = [s for s, k in zip(sizes[::-1].tolist(), column[::-1].astype(int).tolist(), strict=True) for _ in range(k)]
-        while n > 0:
-            need, room = Counter(), capacity
-            for top in [*classes[:-1], *[capacity] * len(classes)]:
-                best = next((s for s in range(min(room, top), 0, -1) if left[s] > need[s]), 0)
-                need[best] += 1
-                room -= best
-            del need[0]
-            if not need:
-                break
-            times = min([n, *(left[s] // k for s, k in need.items())])
-            plan.append((tuple(sorted(need.elements(), reverse=True)), times))
+        need = {s: k for s, k in zip(sizes.tolist(), column.astype(int).tolist(), strict=True) if k}
+        times = min([n, *(left[s] // k for s, k in need.items())])
+        if times > 0:
+            plan.append((tuple(sorted(Counter(need).elements(), reverse=True)), times))
             left.subtract({s: k * times for s, k in need.items()})
-            n -= times
     for size in [s for s, n in left.items() if n <= 0]:
         del left[size]
     return plan

@@ -42,8 +42,9 @@ class Encoder:
 
     The file's vocabulary is also given to ``tiktoken``, which merges by rank and gives the same ids several
     times faster where both libraries are known to agree about character classes; texts with a character of
-    ``_RARE`` are left to ``tokenizers`` itself. Texts without two white space characters in a row, where the
-    model's look-ahead decides nothing, take a split without it. Strings of special tokens are ordinary text.
+    ``_RARE``, or with the string of a token that was added to the vocabulary, are left to ``tokenizers``
+    itself. Texts without two white space characters in a row, where the model's look-ahead decides nothing,
+    take a split without it.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,9 +52,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            known = json.load(file)
+        model, added = known["model"], [re.escape(t["content"]) for t in known.get("added_tokens", ())]
+        self.own = re.compile("|".join([_RARE.pattern, *added]))
         vocabulary = model["vocab"]
         joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         ranks = [vocabulary[m] for m in joined]
@@ -64,7 +66,7 @@ class Encoder:
         self.full, self.plain = (tiktoken.Encoding(name, pat_str=split, mergeable_ranks=tokens, special_tokens={}) for name, split in (("full", _SPLIT), ("plain", _SPLIT.replace(r"\s+(?!\S)|", ""))))
 
     def encode(self, text: str) -> np.ndarray:
-        if _RARE.search(text):
+        if self.own.search(text):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return (self.full if _BLANKS.search(text) else self.plain).encode_to_numpy(text, disallowed_special=())
 

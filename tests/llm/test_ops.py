@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and held-out accuracy, on small and awkward inputs."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tapewright.llm import chat, cutting_stock, partenum, queries
 from tapewright.llm import words as W
@@ -248,16 +250,17 @@ def test_encoder():
     encoder = Encoder(TOKENIZER)
     rng = random.Random(4)
     letters = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2027), 0x20AC, 0x6F22, 0x2603, 0x1F600]]
-    texts = ["", "<|endoftext|>", "a  b", "don't  \n\n stop", "x   y"] + ["".join(rng.choice(letters) if rng.random() < 0.5 else rng.choice(" \n\ta1'") for _ in range(rng.randrange(1, 15))) for _ in range(3000)]
-    for text, want in zip(texts, encoder.model.encode_batch(texts, add_special_tokens=False), strict=True):
+    plain = Tokenizer.from_file(TOKENIZER)
+    texts = ["", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "<|endoftext| >", "a  b", "don't  \n\n stop", "x   y"] + ["".join(rng.choice(letters) if rng.random() < 0.5 else rng.choice(" \n\ta1'") for _ in range(rng.randrange(1, 15))) for _ in range(3000)]
+    for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
         assert encoder.encode(text).tolist() == want.ids
 
 
 def check_packing(rows, got, capacity):
-    encoder = Encoder(TOKENIZER)
+    plain = Tokenizer.from_file(TOKENIZER)
     want = Counter()
     for i, text in rows:
-        ids = np.append(encoder.encode(text or ""), np.uint32(0)).astype("<u4")
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 0]).astype("<u4")
         for at in range(0, len(ids), capacity):
             want[i, at, len(ids[at : at + capacity]), zlib.crc32(ids[at : at + capacity].tobytes()), len(ids)] += 1
     assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
@@ -274,7 +277,7 @@ def check_packing(rows, got, capacity):
 
 
 def test_packing(spark, awkward):
-    rows = [*awkward, *((1000 + i, prose(random.Random(i).randrange(1, 400), i)) for i in range(300))]
+    rows = [*awkward, *((1000 + i, prose(random.Random(i).randrange(1, 400), i)) for i in range(300)), (2000, "a <|endoftext|> b"), (2001, prose(60_000, 9))]
     got = pack_documents(frame(spark, rows), TOKENIZER, with_ids=True).collect()
     assert check_packing(rows, got, 1024) < 0.03
     assert all(len(r["ids"]) == r["length"] for r in got)
@@ -292,6 +295,28 @@ def test_cutting_stock():
         assert placed == Counter(h)
 
 
+def test_cutting_stock_reaches_the_optimum():
+    # Two lengths that fill sequences only in pairs of two, one length three times, lengths that cannot be combined.
+    for h, best in (({300: 2000, 212: 2000}, 1000), ({341: 3000}, 1000), ({700: 90, 600: 40}, 130), ({600: 100, 424: 100, 212: 200}, 150)):
+        assert sum(n for _, n in cutting_stock.cutting_stock(h, 1024)) == best
+
+
+def test_column_generation_against_all_patterns():
+    """The linear program over every pattern there is, by its dual: no prices that all patterns accept are worth more than the bound."""
+    rng = random.Random(3)
+    for capacity in (9, 12, 17):
+        for _ in range(10):
+            sizes = sorted(rng.sample(range(2, capacity), rng.randrange(1, 5)))
+            demand = np.array([rng.randrange(1, 40) for _ in sizes], dtype=float)
+            price = np.array([rng.random() for _ in sizes])
+            patterns = [p for p in itertools.product(*(range(capacity // s + 1) for s in sizes)) if sum(a * b for a, b in zip(p, sizes)) <= capacity]
+            found, value = cutting_stock.best_pattern(np.array(sizes), price, capacity)
+            assert abs(value - max(np.dot(p, price) for p in patterns)) < 1e-9 and abs(found @ price - value) < 1e-9 and found @ sizes <= capacity
+            basis, count, least = cutting_stock.relaxed(np.array(sizes), demand, capacity, gap=0.0)
+            assert np.allclose(basis @ count, demand) and (count >= 0).all()
+            assert abs(count.sum() - least) < 1e-6 * least
+
+
 # 6
 
 
