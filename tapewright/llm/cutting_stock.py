@@ -48,11 +48,11 @@ def best_pattern(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[n
     return pattern, float(best[capacity])
 
 
-def _greedy(sizes: list[int], demand: list[float], capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns, as many as lengths and linearly independent, and counts that meet the demand exactly."""
+def _greedy(sizes: list[int], demand: list[float], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns, as many as lengths and linearly independent, the inverse of their matrix, and counts that meet the demand exactly."""
     place = {s: k for k, s in enumerate(sizes)}
     left = dict(zip(sizes, demand, strict=True))
-    columns, counts = [], []
+    columns, counts, inverse = [], [], np.zeros((len(sizes), len(sizes)))
     while left:
         once = Counter({s: capacity // s for s in left})
         lengths = Counter(_fill(sorted(left, reverse=True), once, capacity))
@@ -63,8 +63,15 @@ def _greedy(sizes: list[int], demand: list[float], capacity: int) -> tuple[np.nd
             column[place[s]] = k
             left[s] = max(left[s] - n * k, 0.0)
         del left[used_up]
+        # A length that is used up stands in no later column, so the inverse follows row by row.
+        row = np.zeros(len(sizes))
+        row[place[used_up]] = 1
+        for j, earlier in enumerate(columns):
+            if earlier[place[used_up]]:
+                row -= earlier[place[used_up]] * inverse[j]
+        inverse[len(columns)] = row / column[place[used_up]]
         columns.append(column), counts.append(n)
-    return np.array(columns).T, np.array(counts)
+    return np.array(columns).T, inverse, np.array(counts)
 
 
 def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, gap: float = GAP, most_columns: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
@@ -73,11 +80,10 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, gap: float
     It stops within a share ``gap`` or one sequence of the bound, or after ``most_columns`` new patterns (a few
     seconds); the counts are feasible at any point.
     """
-    basis, count = _greedy(sizes.tolist(), demand.tolist(), capacity)
-    inverse = np.linalg.inv(basis)
+    basis, inverse, count = _greedy(sizes.tolist(), demand.tolist(), capacity)
     steady = sizes / capacity  # prices that are feasible: no pattern is worth more than one sequence
     least = float(steady @ demand)
-    for k in range(most_columns):
+    for _ in range(most_columns):
         cost = float(count.sum())
         if cost - least <= (max(gap * least, 1.0) if gap else 0.0):
             break
@@ -95,7 +101,8 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, gap: float
                 break
         if pattern is None:
             break
-        step = inverse @ pattern
+        held = np.flatnonzero(pattern)
+        step = (inverse[:, held] * pattern[held]).sum(axis=1)
         ratio = np.where(step > 1e-9, count / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -106,9 +113,6 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, gap: float
         inverse[out] = pivot
         count = np.maximum(count - ratio[out] * step, 0)
         count[out] = ratio[out]
-        if k % 500 == 499:
-            inverse = np.linalg.inv(basis)
-            count = np.maximum(inverse @ demand, 0)
     return basis, count, least
 
 
