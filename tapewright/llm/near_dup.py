@@ -5,13 +5,15 @@ Steps, each a Spark stage over all rows:
    128-bit hash of the set), so exact copies take no part in what follows;
 2. every set gives its PartEnum signatures (see ``partenum``); rows of one signature meet in sorted
    order and name the smallest document among them as their centre;
-3. two documents that share a signature share its centre. Documents are gathered by centre, in blocks
-   of at most ``BLOCK`` members (by ``BLOCK_ELEMENTS`` elements if they are long) and pairs of blocks;
-   a task compares all sets of its blocks exactly and gives a spanning forest of the links found, never
-   the pairs;
-4. the forests' connected components carry each document's class.
+3. two documents that share a signature share its centre. Each is compared exactly with its centre, in
+   blocks of at most ``BLOCK`` documents (by ``BLOCK_ELEMENTS`` elements if they are long) that each get a
+   copy of the centre: work and rows grow with the number of documents, however large a group is;
+4. what is linked so far forms classes. Only centres whose documents lie in several classes go on: their
+   documents are dealt into blocks, large classes into blocks of their own, and pairs of blocks are compared
+   exactly unless both hold one class. A task gives a spanning forest of the links found, never the pairs;
+5. the connected components of all links carry each document's class.
 
-Similarity is judged on 64-bit shingle hashes, in integers: ``100 * intersection >= percent * union``.
+Similarity is judged on 64-bit hashes of shingles, not on their words, in integers: ``100 * intersection >= percent * union``.
 
 Defined results:
 * a null or empty text, or one without words, has an empty set and is linked with nothing;
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm import words as W
@@ -39,6 +41,8 @@ from tapewright.llm.scratch import Scratch
 BLOCK = 512
 BLOCK_ELEMENTS = 1 << 20
 _COLUMNS = 2048
+#: Sets that a task remembers to leave out copies of them before the shuffle.
+_REMEMBERED = 1 << 17
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -75,6 +79,8 @@ def _signed(n: int, percent: int):
                 for i in np.flatnonzero(np.diff(offsets)).tolist():
                     key = _content(elements[offsets[i] : offsets[i + 1]])
                     new[i] = key not in seen
+                    if len(seen) == _REMEMBERED:
+                        seen.clear()
                     seen.add(key)
                 sigs, who = signatures(elements, offsets, percent, 100)
                 use = new[who]
@@ -149,6 +155,41 @@ def _forest(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _as_edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    table = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_pydict({"a": table[:, 0], "b": table[:, 1]})
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _against_centre(n: int, percent: int):
+    """From rows (centre, block, member, id, text) sorted by the first three, the centre's texts first: edges to the centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, centres = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True))
+            member, ids = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for lo, elements, offsets in _sets(batch.column(4), n):
+                for i in range(len(offsets) - 1):
+                    own = elements[offsets[i] : offsets[i + 1]]
+                    if keys[lo + i] != key:
+                        key, centres = keys[lo + i], []
+                    if not member[lo + i]:
+                        centres.append(own.copy())
+                    elif any(_similar(centre, own, percent) for centre in centres):
+                        found.append((key[0], ids[lo + i]))
+            yield _as_edges(found)
+
+    return run
+
+
 def _verified(n: int, percent: int):
     """From rows (centre, i, j, own, id, text) sorted by the first three: edges."""
 
@@ -173,13 +214,53 @@ def _verified(n: int, percent: int):
             yield _as_edges(found)
         yield _as_edges(edges(members))
 
-    def _as_edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        table = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_pydict({"a": table[:, 0], "b": table[:, 1]})
-
     return run
 
 
+def _blocks(n: Column, elements: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(elements / BLOCK_ELEMENTS)).cast("int")
+
+
+def _linked_to_centres(members: DataFrame, rows: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """Edges between members and their centres."""
+    groups = members.groupBy("centre").agg(_blocks(F.count(F.lit(1)), F.sum(F.col("size") + F.col("centre_size") / BLOCK)).alias("blocks"))
+    groups = scratch.save(groups, "groups")
+    dealt = members.join(groups, "centre").select(F.col("member").alias("id"), "centre", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("is_member"))
+    leads = groups.select(F.col("centre").alias("id"), "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("is_member"))
+    # A sort-merge join at every size: texts are the larger side, and members grow with them.
+    texts = dealt.unionByName(leads).join(rows.hint("merge"), "id").select("centre", "block", "is_member", "id", "text")
+    return texts.repartition("centre", "block").sortWithinPartitions("centre", "block", "is_member").mapInArrow(_against_centre(shingle, percent), "a bigint, b bigint")
+
+
+def _linked_across_classes(members: DataFrame, classes: DataFrame, rows: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame | None:
+    """Edges between documents of one centre that lie in different classes so far; None if there are none to compare."""
+    own = members.select("centre", "member", "size").unionByName(members.select("centre", F.col("centre").alias("member"), F.col("centre_size").alias("size")).distinct())
+    tagged = own.join(classes, F.col("member") == F.col("node"), "left").select("centre", "member", "size", F.coalesce("component", "member").alias("class"))
+    tagged = scratch.save(tagged, "tagged")
+    parts = tagged.groupBy("centre", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+    parts = scratch.save(parts, "parts")
+    several = parts.groupBy("centre").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("centre")
+    several = scratch.save(several, "several")
+    if several.isEmpty():
+        return None
+    parts = parts.join(several, "centre").withColumn("blocks", _blocks(F.col("n"), F.col("elements")))
+    # Large classes have blocks of their own, numbered behind those that the small ones share.
+    is_large = F.col("blocks") > 1
+    shared = parts.groupBy("centre").agg(_blocks(F.sum(F.when(~is_large, F.col("n")).otherwise(0)), F.sum(F.when(~is_large, F.col("elements")).otherwise(0))).alias("shared"), F.sum(F.when(is_large, F.col("blocks")).otherwise(0)).cast("int").alias("others"))
+    shared = scratch.save(shared.select("centre", "shared", (F.col("shared") + F.col("others")).alias("all_blocks")), "shared")
+    before = Window.partitionBy("centre").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    large = parts.where(is_large).select("centre", "class", "blocks", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int").alias("first"))
+    large = scratch.save(large, "large")
+    placed = tagged.join(shared, "centre").join(large, ["centre", "class"], "left")
+    first = F.col("shared") + F.col("first")
+    block = F.when(F.col("first").isNotNull(), first + F.pmod(F.xxhash64("member"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("member"), F.col("shared"))).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda b: F.col("first").isNull() | (b < first) | (b >= first + F.col("blocks")))
+    placed = placed.select(F.col("member").alias("id"), "centre", block.alias("own"), F.explode(others).alias("other"))
+    placed = placed.select("id", "centre", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    texts = placed.join(rows.hint("merge"), "id").select("centre", "i", "j", "own", "id", "text")
+    return texts.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j").mapInArrow(_verified(shingle, percent), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id that links lead to, its own included)."""
     spark = docs.sparkSession
@@ -207,19 +288,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .distinct()
     )
     members = scratch.save(members, "members")
-    groups = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"), F.max("centre_size").alias("centre_size"))
-    groups = groups.select(
-        "centre", F.greatest(F.ceil((F.col("n") + 1) / BLOCK), F.ceil((F.col("elements") + F.col("centre_size")) / BLOCK_ELEMENTS)).cast("int").alias("blocks")
-    )
-    groups = scratch.save(groups.select("centre", "blocks"), "groups")
-    all_members = members.select("centre", "member").unionByName(groups.select("centre", F.col("centre").alias("member")))
-    placed = all_members.join(groups, "centre").withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    placed = placed.select(
-        F.col("member").alias("id"), "centre", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("id", "centre", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    # A sort-merge join at every size: texts are the larger side, and members grow with them.
-    with_text = placed.join(rows.hint("merge"), "id").select("centre", "i", "j", "own", "id", "text")
-    found = with_text.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j").mapInArrow(_verified(shingle, percent), "a bigint, b bigint")
-    classes = connected_components(found.unionByName(split), scratch)
+    linked = scratch.save(_linked_to_centres(members, rows, scratch, shingle, percent), "linked")
+    classes = scratch.save(connected_components(linked.unionByName(split), Scratch(spark, "components")), "classes")
+    more = _linked_across_classes(members, classes, rows, scratch, shingle, percent)
+    if more is not None:
+        known = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        classes = connected_components(known.unionByName(more), Scratch(spark, "components"))
     scratch.drop("members")
     return nodes.join(classes, "node", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "node").alias("component_id"))

@@ -2,11 +2,13 @@
 
 Sizes are cut into bands that grow by 1 / threshold. Two sets whose Jaccard similarity reaches the
 threshold differ in at most ``k`` elements, where ``k`` follows from the upper end of the larger set's
-band. The band partitions the feature domain by hash into ``k + 1 + slack`` parts; a signature is a
-subset of parts left after the ``k`` that may differ, here one part with what the set holds of it
-(the enumeration with no second level, which gives the fewest signatures per set). Of two similar
-sets at least ``slack + 1`` parts are equal. A set that leaves at most ``slack`` parts empty needs no
-signature for its empty parts; a set with more empty parts adds them, so nothing is lost.
+band. The band partitions the feature domain by hash, in two levels: into ``k // 2 + 1 + slack``
+partitions of ``PARTS`` parts each. At most ``k // 2`` partitions hold two differing elements or more, so
+``slack + 1`` of them hold one at most, and of such a partition all parts but one are equal. A signature is
+one of the subsets of ``PARTS - 1`` parts of a partition, enumerated, with what the set holds of it. So two
+similar sets share a signature in each of ``slack + 1`` partitions. A set with at most ``slack`` partitions
+in which a subset is empty needs no signatures for empty subsets; a set with more of them adds these, so
+nothing is lost.
 
 Each set takes the signatures of its own band and of the next one.
 """
@@ -21,6 +23,9 @@ import numpy as np
 from tapewright.llm import words as W
 
 _U = np.uint64
+#: Parts of a partition; a signature leaves one of them out.
+PARTS = 3
+_SUBSETS = [[p for p in range(PARTS) if p != out] for out in range(PARTS)]
 
 
 def largest_difference(sizes: int, p: int, q: int) -> int:
@@ -30,21 +35,22 @@ def largest_difference(sizes: int, p: int, q: int) -> int:
 
 @lru_cache
 def bands(p: int, q: int, up_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower ends of the size bands, their k, and their number of parts; they reach beyond ``up_to`` by two bands."""
-    low, k, parts = [1], [], []
+    """Lower ends of the size bands, their k, and their slack; they reach beyond ``up_to`` by two bands."""
+    low, k, slacks = [1], [], []
     while len(low) < 3 or low[-3] <= up_to:
         high = low[-1] * q // p
         k.append(largest_difference(2 * high, p, q))
         slack = 1
         smallest = low[-1] * p / q
         while True:
-            empty = (k[-1] + 1 + slack) * math.exp(-smallest / (k[-1] + 1 + slack))
+            many = k[-1] // 2 + 1 + slack
+            empty = PARTS * many * math.exp(-smallest * (PARTS - 1) / (PARTS * many))
             if slack >= empty + 4 * math.sqrt(empty) or slack > smallest:
                 break
             slack += 1
-        parts.append(k[-1] + 1 + slack)
+        slacks.append(slack)
         low.append(high + 1)
-    return np.array(low[:-1]), np.array(k), np.array(parts)
+    return np.array(low[:-1]), np.array(k), np.array(slacks)
 
 
 def shingle_sets(words: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +77,7 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, p: int, q: int) -> tup
     sizes = np.diff(offsets)
     if not len(elements):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low, k, parts = bands(p, q, 1 << int(sizes.max()).bit_length())
+    low, k, slack = bands(p, q, 1 << int(sizes.max()).bit_length())
     own = np.searchsorted(low, sizes, side="right") - 1
     spread, value = W.mix(elements ^ _U(0xA24BAED4963EE407)), W.mix(elements + _U(0x9FB21C651E98DF25))
     halves = (value & _U(0xFFFFFFFF)).astype(np.float64), (value >> _U(32)).astype(np.float64)
@@ -79,19 +85,23 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, p: int, q: int) -> tup
     found, who = [], []
     for step in (0, 1):
         band = own + step
-        count = np.where((sizes > 0) & (k[band] > 0), parts[band], 0)
-        at = np.concatenate([[0], np.cumsum(count)])
-        use = count[row] > 0
-        cell = at[row[use]] + (((spread[use] >> _U(32)) * count[row[use]].astype(np.uint64)) >> _U(32)).astype(np.int64)
-        total = int(at[-1])
-        held = np.bincount(cell, minlength=total)
-        lo, hi = (np.bincount(cell, weights=h[use], minlength=total).astype(np.uint64) for h in halves)
-        cell_row = W.rows_of(count)
-        part = np.arange(total) - at[cell_row]
-        empties = np.bincount(cell_row[held == 0], minlength=len(sizes))
-        keep = (held > 0) | (empties > parts[band] - k[band] - 1)[cell_row]
-        place = (band[cell_row].astype(np.uint64) << _U(40)) | part.astype(np.uint64)
-        sig = W.mix(W.mix(lo + hi * _U(0x9E3779B97F4A7C15)) ^ W.mix(place))
-        found.append(sig[keep])
-        who.append(cell_row[keep])
+        many = np.where((sizes > 0) & (k[band] > 0), k[band] // 2 + 1 + slack[band], 0)
+        at = np.concatenate([[0], np.cumsum(many)])
+        use = many[row] > 0
+        cells = (many[row[use]] * PARTS).astype(np.uint64)
+        cell = at[row[use]] * PARTS + (((spread[use] >> _U(32)) * cells) >> _U(32)).astype(np.int64)
+        total = int(at[-1]) * PARTS
+        held = np.bincount(cell, minlength=total).reshape(-1, PARTS)
+        lo, hi = (np.bincount(cell, weights=h[use], minlength=total).astype(np.uint64).reshape(-1, PARTS) for h in halves)
+        set_of = W.rows_of(many)
+        partition = np.arange(len(set_of)) - at[set_of]
+        filled = np.stack([held[:, s].sum(axis=1) > 0 for s in _SUBSETS], axis=1)
+        gaps = np.bincount(set_of[~filled.all(axis=1)], minlength=len(sizes))
+        also_empty = (gaps > slack[band])[set_of]
+        for out, subset in enumerate(_SUBSETS):
+            keep = filled[:, out] | also_empty
+            place = (band[set_of[keep]].astype(np.uint64) << _U(40)) | (partition[keep] * PARTS + out).astype(np.uint64)
+            low_sum, high_sum = (x[keep][:, subset].sum(axis=1, dtype=np.uint64) for x in (lo, hi))
+            found.append(W.mix(W.mix(low_sum + high_sum * _U(0x9E3779B97F4A7C15)) ^ W.mix(place)))
+            who.append(set_of[keep])
     return np.concatenate(found), np.concatenate(who)
