@@ -1,10 +1,12 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's word windows, scanned over every text.
 
-The windows of a block of benchmark items, at most ``block_bytes`` of text, are broadcast as sorted
-64-bit hashes with their words. Each task computes the hashes of all word windows of its texts as
-arrays, looks them up, and compares the words of each hit, so a colliding hash marks nothing. A
-benchmark larger than a block is taken block by block: each pass reads the written result of the one
-before and adds to it, and no shuffle is needed for any size.
+Executors cut the benchmark into windows: rows of at most ``PIECE`` windows as flat arrays, so that no item
+has to fit anywhere whole. The rows of a block, about ``block_bytes`` of text, are broadcast: hashes in order,
+with the words behind them. Each task computes the hashes of all word windows of its texts as arrays, looks
+them up, and compares the words of each hit, so a colliding hash marks nothing. A window takes 24 bytes and
+its words once, which for the default block is about 90 MB in the driver and in each Python worker. A
+benchmark larger than a block is taken block by block: each pass reads the written result of the one before
+and adds to it, and no shuffle is needed for any size.
 
 Defined results:
 * a null or empty text has no words and no hits, an item without words has no windows;
@@ -18,45 +20,88 @@ Defined results:
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tapewright.llm import words as W
 from tapewright.llm.scratch import Scratch
 
+#: Windows of an item in one row.
+PIECE = 1 << 15
 _TABLE_BITS = 20
 
 
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words in lower case with a blank between them, and where each begins and ends in that."""
+    length = ends - starts
+    end = np.cumsum(length + 1) - 1
+    begin = end - length
+    out = np.full(int(end[-1]) if len(end) else 0, 0x20, dtype=np.uint8)
+    word = W.rows_of(length)
+    inside = np.arange(len(word)) - (np.cumsum(length) - length)[word]
+    out[begin[word] + inside] = W.LOWER[data[starts[word] + inside]]
+    return out, begin, end
+
+
+def _windowed(n: int):
+    """From (item, text): rows of at most ``PIECE`` windows of an item: their words, and hash, first and end byte of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                for _, data, offsets in W.slices(batch.column(1).slice(i, 1)):
+                    starts, ends, _ = W.spans(data, offsets, W.LETTERS)
+                    size = min(n, len(starts))
+                    keys = W.runs(W.hashes(data, starts, ends), size) if size else np.zeros(0, np.uint64)
+                    for a in range(0, len(keys), PIECE):
+                        z = min(a + PIECE, len(keys))
+                        words, begin, end = _joined(data, starts[a : z + size - 1], ends[a : z + size - 1])
+                        row = {"item": batch.column(0).slice(i, 1), "size": pa.array([size], pa.int32())}
+                        arrays = (words, keys[a:z], begin[: z - a].astype(np.int32), end[size - 1 :].astype(np.int32))
+                        row |= {name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("words", "keys", "first", "end"), arrays, strict=True)}
+                        yield pa.RecordBatch.from_pydict(row)
+
+    return run
+
+
+_PIECES = "item string, size int, words binary, keys binary, first binary, end binary"
+
+
 class Windows:
-    """Word windows of some benchmark items, by length: sorted hashes, and each window's words and items."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], n: int) -> None:
-        self.by_length: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            for _, data, offsets in W.slices(pa.array([text], pa.large_string())):
-                starts, ends, _ = W.spans(data, offsets, W.LETTERS)
-                found = [W.LOWER[data[s:e]].tobytes() for s, e in zip(starts, ends, strict=True)]
-                size = min(n, len(found))
-                for i in range(len(found) - size + 1 if size else 0):
-                    self.by_length[size][b" ".join(found[i : i + size])].update([item] if item is not None else [])
-        self.by_length = {k: dict(v) for k, v in self.by_length.items()}
-        self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size, windows in self.by_length.items():
-            keys = np.unique(np.array([self._key(w) for w in windows], dtype=np.uint64))
+    """Word windows of some benchmark items: by length the hashes in order, and the place of each window's words."""
+
+    def __init__(self, rows: Iterable[Row]) -> None:
+        by_size: dict[int, list[Row]] = {}
+        for row in rows:
+            by_size.setdefault(row["size"], []).append(row)
+        self.of: dict[int, tuple] = {}
+        for size, found in by_size.items():
+            texts, keys = [bytes(r["words"]) for r in found], [np.frombuffer(bytes(r["keys"]), np.uint64) for r in found]
+            base = np.cumsum([0, *map(len, texts)])
+            owner = W.rows_of(np.array([len(k) for k in keys]))
+            first, end = (np.concatenate([np.frombuffer(bytes(r[c]), np.int32) for r in found]) + base[owner] for c in ("first", "end"))
+            all_keys = np.concatenate(keys)
+            order = np.argsort(all_keys, kind="stable")
             table = np.zeros(1 << _TABLE_BITS, dtype=bool)
-            table[keys >> np.uint64(64 - _TABLE_BITS)] = True
-            self.sorted[size] = keys, table
-
-    @staticmethod
-    def _key(window: bytes) -> int:
-        data = np.frombuffer(window, dtype=np.uint8)
-        starts, ends, _ = W.spans(data, np.array([0, len(data)]), W.LETTERS)
-        return int(W.runs(W.hashes(data, starts, ends), len(starts))[0])
+            table[all_keys >> np.uint64(64 - _TABLE_BITS)] = True
+            self.of[size] = table, all_keys[order], first[order], end[order], owner[order].astype(np.int32), b"".join(texts), [r["item"] for r in found]
+        self.met: dict[tuple[int, int], dict[bytes, frozenset[str]]] = {}
+
+    def items(self, size: int, at: int, words: bytes) -> frozenset[str] | None:
+        """The items with a window of these words; ``at`` is where its hash stands first. What has been met once is kept."""
+        known = self.met.get((size, at))
+        if known is None:
+            _, keys, first, end, owner, text, names = self.of[size]
+            found: dict[bytes, set] = {}
+            for k in range(at, int(np.searchsorted(keys, keys[at], side="right"))):
+                name = names[owner[k]]
+                found.setdefault(text[first[k] : end[k]], set()).update([name] if name is not None else [])
+            known = self.met[size, at] = {w: frozenset(x) for w, x in found.items()}
+        return known.get(words)
 
 
 def _scan(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int, int, int]], set[str]]]]:
@@ -65,16 +110,16 @@ def _scan(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> tuple[np.n
     words = W.hashes(data, starts, ends)
     text_of = W.rows_of(np.diff(before))
     hits: dict[int, tuple[list, set]] = {}
-    for size, (keys, table) in windows.sorted.items():
+    for size, (table, keys, *_) in windows.of.items():
         found = W.runs(words, size)
         maybe = np.flatnonzero(table[found >> np.uint64(64 - _TABLE_BITS)])
         maybe = maybe[text_of[maybe] == text_of[maybe + size - 1]]
         at = np.searchsorted(keys, found[maybe])
         at[at == len(keys)] = 0
-        known = windows.by_length[size]
-        for i in maybe[keys[at] == found[maybe]].tolist():
+        equal = keys[at] == found[maybe]
+        for i, key in zip(maybe[equal].tolist(), at[equal].tolist(), strict=True):
             here = b" ".join(W.LOWER[data[starts[k] : ends[k]]].tobytes() for k in range(i, i + size))
-            if (items := known.get(here)) is not None:
+            if (items := windows.items(size, key, here)) is not None:
                 text = int(text_of[i])
                 spans, ids = hits.setdefault(text, ([], set()))
                 spans.append((i - int(before[text]), i - int(before[text]) + size, int(starts[i] - offsets[text]), int(ends[i + size - 1] - offsets[text])))
@@ -104,17 +149,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.length("text") > 0)
-    total, longest = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0]
     blocks = max(1, math.ceil((total or 0) / block_bytes))
-    if (longest or 0) > block_bytes:
-        raise ValueError(f"an item of {longest} bytes is longer than a block; raise block_bytes")
+    pieces = items.mapInArrow(_windowed(n), _PIECES)
     key = docs.select(F.col(id_col).alias("id")).schema["id"]
     empty = F.array().cast("array<struct<first_word:bigint,end_word:bigint,first_byte:bigint,end_byte:bigint>>")
     state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"), empty.alias("spans"), F.array().cast("array<string>").alias("items"))
     scratch = Scratch(spark, "contamination")
+    if blocks > 1:
+        pieces = scratch.save(pieces, "pieces")
     for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(Windows([(r.item, r.text) for r in block.collect()], n))
+        block = pieces if blocks == 1 else pieces.where(F.pmod(F.xxhash64("item", "keys"), F.lit(blocks)) == k)
+        # One block, of a documented size.
+        shared = spark.sparkContext.broadcast(Windows(block.collect()))
 
         keep_text = with_text or k < blocks - 1
 

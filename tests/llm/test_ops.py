@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from tapewright.llm import chat, cutting_stock, partenum, queries
 from tapewright.llm import words as W
-from tapewright.llm.decontaminate import decontaminate, find_contamination
+from tapewright.llm.decontaminate import PIECE, decontaminate, find_contamination
 from tapewright.llm.dom import Dom
 from tapewright.llm.exact_dedup import exact_dedup, exact_groups
 from tapewright.llm.html_text import LABELLED, extract_text, main_text, train
@@ -511,6 +511,18 @@ def test_decontamination(spark, awkward, block):
     assert cut[50] == "a,  z" and cut[51] == "x  y" and cut[54].startswith("é") and cut[54].endswith("tail") and cut[11] is None
 
 
+def test_long_benchmark_items(spark):
+    """An item of many pieces, larger than a block, whose windows cross the borders of pieces."""
+    long = prose(150_000, 31, vocabulary=10**6)
+    words = long.split()
+    items = [(1, long), (2, prose(40, 32))]
+    rows = [(1, " ".join(words[PIECE - 6 : PIECE + 7])), (2, " ".join(words[140_000:140_009])), (3, prose(40, 32)), (4, "x " + " ".join(words[2 * PIECE : 2 * PIECE + 10]))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for block in (16 << 20, 300_000):
+        got = find_contamination(frame(spark, rows), bench, block_bytes=block).collect()
+        assert sorted((r["doc_id"], sum(s["end_word"] - s["first_word"] for s in r["spans"]), r["items"]) for r in got) == [(1, 13, ["1"]), (2, 0, []), (3, 40, ["2"]), (4, 10, ["1"])]
+
+
 # Queries
 
 
