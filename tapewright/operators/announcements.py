@@ -51,7 +51,7 @@ def newest_only_announcements(announcements: DataFrame, now_ms: int, *, longest_
 
 def _listed(text: Column) -> Column:
     parts = F.split(F.regexp_replace(text, "마켓|market", ""), ",")
-    return F.filter(F.transform(parts, lambda m: F.trim(m)), lambda m: m != "")
+    return F.filter(F.transform(parts, lambda m: F.upper(F.trim(m))), lambda m: m != "")
 
 
 def parse_listings(announcements: DataFrame) -> DataFrame:
@@ -67,17 +67,18 @@ def parse_listings(announcements: DataFrame) -> DataFrame:
 
 
 def parse_listings_multi(announcements: DataFrame) -> DataFrame:
-    """All symbols of a title, one row per symbol, with the title's markets."""
+    """All symbols of a title, one row per symbol, with the title's markets; empty items and "..." of a list are no symbols."""
     t = F.col("title")
     multi, names, paren, out_, single, coins = (MULTI_FORMS[k] for k in ("coin_and_markets", "coin", "markets_in_parenthesis", "markets_outside", "coin_and_market", "coin_list"))
     every = lambda form, group: F.regexp_extract_all(t, F.lit(form), F.lit(group))
     same = lambda symbols, markets: F.transform(symbols, lambda s: F.struct(F.trim(s).alias("symbol"), _listed(markets).alias("markets")))
+    listed = F.filter(F.split(F.regexp_extract(t, coins, 2), ","), lambda s: ~F.trim(s).isin("", "..."))
     found = (
         F.when(t.rlike(multi), F.zip_with(every(multi, 2), every(multi, 3), lambda s, m: F.struct(s.alias("symbol"), _listed(m).alias("markets"))))
         .when(t.rlike(names) & t.rlike(paren), same(every(names, 2), F.regexp_extract(t, paren, 1)))
         .when(t.rlike(names) & t.rlike(out_), same(every(names, 2), F.regexp_extract(t, out_, 1)))
         .when(t.rlike(single), same(every(single, 2), F.regexp_extract(t, single, 3)))
-        .when(t.rlike(coins), same(F.split(F.regexp_extract(t, coins, 2), ","), F.regexp_extract(t, coins, 1)))
+        .when(t.rlike(coins), same(listed, F.regexp_extract(t, coins, 1)))
     )
     return announcements.withColumn("found", F.explode(found)).select("*", "found.symbol", "found.markets").drop("found")
 
@@ -106,21 +107,27 @@ def detection_delay_stats(notices: DataFrame, *, key: str = "node", slow_ms: int
         F.count(F.lit(1)).alias("notices"), F.count_if(slow).alias("slow"), F.count_if(very).alias("very_slow"), F.round(F.avg(F.when(slow, delay)), 3).alias("avg_slow_ms"), F.max(F.when(slow, delay)).alias("max_slow_ms")
     )
     out = out.withColumn("slow_percent", F.round(F.col("slow") * 100.0 / F.col("notices"), 4))
-    return out.withColumn("likely_cause", F.when(F.col("slow") == 0, "none").when(part >= share, "systematic").otherwise("sporadic"))
+    return out.withColumn("likely_cause", F.when(F.col("slow") == 0, "none").when(part > share, "systematic").otherwise("sporadic"))
+
+
+#: Delays that the running mean takes in: what lies before them weighs less than 2**-80.
+_RECENT = 80
 
 
 def ewma_delay(notices: DataFrame, *, key: str = "node") -> DataFrame:
-    """Running mean avg <- (avg + x) / 2 in order of processing, the first delay as seed; keys hold a bounded log."""
-    steps = F.array_sort(F.collect_list(F.struct("processed_ms", "id", (F.col("detected_ms") - F.col("announced_ms")).cast("double").alias("x"))))
-    out = notices.groupBy(key).agg(steps.alias("steps"))
-    mean = F.aggregate(F.slice("steps", 2, F.size("steps")), F.col("steps")[0]["x"], lambda a, s: (a + s["x"]) / 2)
-    return out.select(key, F.round(mean, 4).alias("ewma_ms"), F.size("steps").cast("bigint").alias("n"))
+    """Running mean avg <- (avg + x) / 2 in order of processing, the first delay as seed, to four places.
+
+    A delay that n newer ones follow weighs 2**-(n + 1), so the newest ``_RECENT`` of a key give the mean. They are
+    found by a ranking that every task cuts before the shuffle, and no key gathers its log.
+    """
+    newest = Window.partitionBy(key).orderBy(F.desc("processed_ms"), F.desc("id"))
+    delay = (F.col("detected_ms") - F.col("announced_ms")).cast("double")
+    recent = notices.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= _RECENT)
+    share = F.pow(F.lit(2.0), -F.col("nth"))
+    mean = F.sum(delay * share) + F.max_by(delay * share, F.col("nth"))  # the oldest one is the seed and weighs twice
+    counts = notices.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return recent.groupBy(key).agg(F.round(mean, 4).alias("ewma_ms")).join(counts, key)
 
 
 def announced_ms(listed_at: Column) -> Column:
     return F.unix_millis(parse_notice_time(listed_at))
-
-
-def first_per_id(announcements: DataFrame) -> DataFrame:
-    w = Window.partitionBy("id").orderBy("announced_ms")
-    return announcements.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tapewright.functions.numbers import strict_double
 from tapewright.functions.symbols import is_valid_exchange, is_valid_market, match_bases
 
-#: Rows of listings up to which they are broadcast; beyond, listings and trades meet by base and time bucket.
-BROADCAST_LISTINGS = 100_000
+#: Rows of listings, and bytes of their names, up to which they are broadcast; beyond, both sides are shuffled.
+BROADCAST_LISTINGS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def trades_between(trades: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
@@ -30,20 +30,21 @@ def valid_trades(trades: DataFrame) -> DataFrame:
 def listing_trades(listings: DataFrame, trades: DataFrame, *, pre_ms: int = 20_000, post_ms: int = 20_000, trigger: Column | None = None, leading_s: bool = True, broadcast: bool | None = None) -> DataFrame:
     """Trades of each listing's coin within [trigger - pre, trigger + post], with event_id and trigger_ms.
 
-    A trade joins by its base names, so the join is an equi-join. Few listings (counted, unless
-    ``broadcast`` says so) are broadcast; many meet the trades by base and time bucket, each listing in
-    the buckets that its interval touches.
+    A trade joins by base name and time bucket, each listing in the buckets that its interval touches, so the
+    join is an equi-join and no coin gathers all its listings. Few listings (rows and bytes are counted, unless
+    ``broadcast`` says so) are broadcast.
     """
     wanted = listings.select("event_id", F.col("symbol").alias("base"), (trigger if trigger is not None else F.col("trigger_ms")).alias("trigger_ms"))
     named = trades.withColumn("base", F.explode(match_bases(F.col("symbol"), leading_s=leading_s)))
     near = F.col("ts_ms").between(F.col("trigger_ms") - pre_ms, F.col("trigger_ms") + post_ms)
     if broadcast is None:
-        broadcast = wanted.limit(BROADCAST_LISTINGS + 1).count() <= BROADCAST_LISTINGS
-    if broadcast:
-        return named.join(F.broadcast(wanted), "base").where(near).drop("base")
-    width = pre_ms + post_ms
+        size = F.coalesce(F.sum(F.octet_length("base") + F.octet_length("event_id")), F.lit(0))
+        rows, names = wanted.limit(BROADCAST_LISTINGS + 1).agg(F.count(F.lit(1)), size).first()
+        broadcast = rows <= BROADCAST_LISTINGS and names <= BROADCAST_BYTES
+    width = max(pre_ms + post_ms, 1)
     bucket = lambda t: F.floor(t / width)
     spread = wanted.withColumn("bucket", F.explode(F.sequence(bucket(F.col("trigger_ms") - pre_ms), bucket(F.col("trigger_ms") + post_ms))))
+    spread = F.broadcast(spread) if broadcast else spread
     return named.withColumn("bucket", bucket(F.col("ts_ms"))).join(spread, ["base", "bucket"]).where(near).drop("base", "bucket")
 
 

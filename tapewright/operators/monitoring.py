@@ -85,23 +85,44 @@ def api_hourly(calls: DataFrame, *, key: str = "node", hours: int = 168) -> Data
     return out.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("hour_ms")))).where(F.col("nth") <= hours).drop("nth")
 
 
+_HOUR_MS = 3_600_000
+
+
 def rolling_success(calls: DataFrame, *, key: str = "node", include_current: bool = True) -> DataFrame:
-    """Success in per cent over the last minute, five minutes and hour of each call (bound excluded); 100 without calls."""
-    out = calls
-    for name, ms in (("success_1m", 60_000), ("success_5m", 300_000), ("success_1h", 3_600_000)):
-        w = Window.partitionBy(key).orderBy("ts_ms").rangeBetween(-ms + 1, 0 if include_current else -1)
+    """Success in per cent over the last minute, five minutes and hour of each call (bound excluded); 100 without calls.
+
+    Windows are kept within hours: each call is also seen by the hour after its own, so no key is sorted whole.
+    """
+    hour = F.floor(F.col("ts_ms") / _HOUR_MS)
+    out = calls.withColumn("seen_by", F.explode(F.array(F.struct(hour.alias("hour"), F.lit(True).alias("own")), F.struct((hour + 1).alias("hour"), F.lit(False).alias("own"))))).withColumn("seen_hour", F.col("seen_by.hour"))
+    for name, ms in (("success_1m", 60_000), ("success_5m", 300_000), ("success_1h", _HOUR_MS)):
+        w = Window.partitionBy(key, "seen_hour").orderBy("ts_ms").rangeBetween(-ms + 1, 0 if include_current else -1)
         rate = F.avg(F.when(F.col("success"), 100.0).otherwise(0.0)).over(w)
         out = out.withColumn(name, F.round(F.coalesce(rate, F.lit(100.0)), 4))
-    return out
+    return out.where("seen_by.own").drop("seen_by", "seen_hour")
 
 
 def failure_streak(calls: DataFrame, *, key: str = "node") -> DataFrame:
-    """Failures in a row up to each call, 0 at a success."""
-    w = Window.partitionBy(key).orderBy("ts_ms", "call_id")
-    marked = calls.withColumn("streak_group", F.sum(F.col("success").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(key, "streak_group").orderBy("ts_ms", "call_id")
-    failed = F.sum((~F.col("success")).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("streak", failed.cast("bigint")).drop("streak_group")
+    """Failures in a row up to each call, 0 at a success.
+
+    Streaks are counted within hours; an hour hands on the failures at its end, one row per key and hour, and
+    calls before the first success of an hour add what the hours before hand on.
+    """
+    rows = calls.withColumn("streak_hour", F.floor(F.col("ts_ms") / _HOUR_MS))
+    ok, failed = F.col("success").cast("int"), (~F.col("success")).cast("int")
+    w = Window.partitionBy(key, "streak_hour").orderBy("ts_ms", "call_id")
+    rows = rows.withColumn("streak_group", F.sum(ok).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy(key, "streak_hour", "streak_group").orderBy("ts_ms", "call_id")
+    rows = rows.withColumn("streak", F.sum(failed).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.struct("ts_ms", "call_id")
+    hours = rows.groupBy(key, "streak_hour").agg(F.max(ok).alias("any_ok"), F.max_by("streak", last).alias("at_end"))
+    before = Window.partitionBy(key).orderBy("streak_hour")
+    hours = hours.withColumn("run", F.sum("any_ok").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    handed = F.sum("at_end").over(Window.partitionBy(key, "run").orderBy("streak_hour").rowsBetween(Window.unboundedPreceding, 0))
+    hours = hours.withColumn("handed", handed).withColumn("carried", F.coalesce(F.lag("handed").over(before), F.lit(0)))
+    rows = rows.join(hours.select(key, "streak_hour", "carried"), [key, "streak_hour"])
+    streak = F.col("streak") + F.when(F.col("streak_group") == 0, F.col("carried")).otherwise(0)
+    return rows.withColumn("streak", streak.cast("bigint")).drop("streak_group", "streak_hour", "carried")
 
 
 def service_state(calls: DataFrame, *, key: str = "node") -> DataFrame:

@@ -29,13 +29,15 @@ def detect_pumps(trades: DataFrame, *, keys: Sequence[str] = MARKET, pct: float
     """
     windows = pump_windows(trades, keys=keys, width_ms=width_ms)
     least = min_trades if market_trades is None else market_trades
-    windows = windows.withColumn("market_count", F.sum("trade_count").over(Window.partitionBy(*keys)))
+    if least > min_trades:  # else a window of enough trades makes its market large enough
+        enough = windows.groupBy(*keys).agg(F.sum("trade_count").alias("market_count")).where(F.col("market_count") >= least)
+        windows = windows.join(enough, list(keys), "left_semi")
     if directional:
         t = trades.select(*keys, floor_window(F.col("ts_ms"), width_ms).alias("start_ms"), strict_double(F.col("price")).alias("px"), "ts_ms").where("px is not null")
         turns = t.groupBy(*keys, "start_ms").agg(F.min_by("ts_ms", F.struct("px", "ts_ms")).alias("low_ms"), F.max_by("ts_ms", F.struct(F.col("px"), -F.col("ts_ms"))).alias("high_ms"))
         windows = windows.join(turns, [*keys, "start_ms"]).where("high_ms > low_ms").drop("high_ms", "low_ms")
     change = (F.col("max_price") - F.col("min_price")) / F.when(F.col("min_price") > 0, F.col("min_price")) * 100
-    found = windows.where((F.col("trade_count") >= min_trades) & (F.col("market_count") >= least) & (F.col("min_price") > 0)).withColumn("change", change).where(F.col("change") >= pct)
+    found = windows.where((F.col("trade_count") >= min_trades) & (F.col("min_price") > 0)).withColumn("change", change).where(F.col("change") >= pct)
     return found.select(
         *keys, "start_ms", (F.col("start_ms") + width_ms).alias("end_ms"), F.lit(width_ms).cast("bigint").alias("duration_ms"), F.col("min_price").alias("start_price"),
         F.col("max_price").alias("peak_price"), F.round("change", 6).alias("price_change"), "volume", "trade_count",

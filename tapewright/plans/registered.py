@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright import registry
 from tapewright.functions import errors as E
 from tapewright.functions import numbers as N
 from tapewright.functions import symbols as S
@@ -84,9 +85,15 @@ def _ep(s: SparkSession, d: str) -> DataFrame:
     return W.detect_pumps(_lt(s, d), keys=_EKEYS)
 
 
+def _ep_act(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pumps and actors of the listings; both come from one interval join, whose result is written once."""
+    found = K.saved(s, _lt(s, d), "listing-trades")
+    pumps = K.saved(s, W.detect_pumps(found, keys=_EKEYS), "listing-pumps")
+    return pumps, A.actors(A.actor_window_trades(found, pumps))
+
+
 def _act(s: SparkSession, d: str) -> DataFrame:
-    found = _lt(s, d)
-    return A.actors(A.actor_window_trades(found, W.detect_pumps(found, keys=_EKEYS)))
+    return _ep_act(s, d)[1]
 
 
 # Sources
@@ -116,9 +123,12 @@ def _(s, d):
     return V.rejected_messages(X.raw_messages(s, d)).groupBy("exchange").agg(F.count(F.lit(1)).alias("rejected"))
 
 
-@_query("s10_read_announcements", "SELECT event_id AS id, title, trigger_ms AS announced_ms, user_id % 2 = 0 AS need_new_badge, user_id % 2 = 1 AS need_update_badge FROM listed", T, LD)
+@_query("s10_read_announcements", "SELECT event_id AS id, title, trigger_ms // [1, 1000, 1000, 60000, 86400000][(event_id // 200) % 5 + 1] * [1, 1000, 1000, 60000, 86400000][(event_id // 200) % 5 + 1] AS announced_ms, user_id % 2 = 0 AS need_new_badge, user_id % 2 = 1 AS need_update_badge FROM listed", T, LD)
 def _(s, d):
-    rows = X.announcements(s, d).select("id", "title", F.date_format(F.timestamp_millis("announced_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("listed_at"), "need_new_badge", "need_update_badge")
+    at = F.timestamp_millis("announced_ms")
+    forms = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+    listed_at = F.element_at(F.array(*[F.date_format(at, form) for form in forms]), (F.pmod((F.col("id") / 200).cast("bigint"), F.lit(5)) + 1).cast("int"))
+    rows = X.announcements(s, d).select("id", "title", listed_at.alias("listed_at"), "need_new_badge", "need_update_badge")
     json = rows.select(F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.array(F.struct(*rows.columns)).alias("notices")).alias("data"))).alias("value"))
     return R.parse_announcements(json).select("id", "title", "announced_ms", "need_new_badge", "need_update_badge")
 
@@ -147,6 +157,29 @@ def _(s, d):
     return R.parse_instruments(c.select("exchange", "market_type", item.alias("value")))
 
 
+@_query("s13_stored_catalogue", "SELECT exchange, market_type, symbol FROM cat", T, CAT)
+def _(s, d):
+    kinds = X.catalogue(s, d).groupBy("exchange", "market_type").agg(F.sort_array(F.collect_list("symbol")).alias("symbols"))
+    stored = kinds.groupBy("exchange").agg(F.map_from_entries(F.collect_list(F.struct("market_type", "symbols"))).alias("kinds"))
+    return R.parse_symbol_lists(stored.select(F.to_json(F.create_map("exchange", "kinds")).alias("value")))
+
+
+@_query("x01_analyzer_by_name", "SELECT * FROM p", T, WIN, PUMPS)
+def _(s, d):
+    registry.register_analyzer("strong pumps", lambda trades, **options: registry.analyze(trades, "pumps", **options))
+    return registry.analyze(X.trades(s, d), "strong pumps", min_trades=5)
+
+
+@_query("x02_decoder_by_name", f"SELECT 'mirror' AS exchange, {_DECODED.removeprefix('exchange, ')} FROM t WHERE exchange = 'okx'", T)
+def _(s, d):
+    registry.register_decoder("mirror", V.decode_okx)
+    try:
+        mirrored = X.raw_messages(s, d).where("exchange = 'okx'").withColumn("exchange", F.lit("mirror"))
+        return V.ingest_trades(mirrored)
+    finally:
+        del V.DECODERS["mirror"]
+
+
 # Functions, applied to whole columns
 
 
@@ -311,7 +344,7 @@ def _(s, d):
 
 @_query("j05_actor_window_trades", "SELECT event_id, exchange, trade_id, ts_ms, first_pump_ms FROM aw", *ACTORS)
 def _(s, d):
-    found = _lt(s, d)
+    found = K.saved(s, _lt(s, d), "listing-trades")
     return A.actor_window_trades(found, W.detect_pumps(found, keys=_EKEYS)).select("event_id", "exchange", "trade_id", "ts_ms", "first_pump_ms")
 
 
@@ -398,7 +431,7 @@ FULL JOIN (SELECT event_id, exchange, count(*) AS actor_count, round(sum(notiona
     *ACTORS,
 )
 def _(s, d):
-    return A.exchange_insights(_ep(s, d), _act(s, d))
+    return A.exchange_insights(*_ep_act(s, d))
 
 
 @_query(
@@ -422,7 +455,7 @@ FULL JOIN (SELECT event_id, exchange, count(*) AS actor_count, round(sum(notiona
     *ACTORS,
 )
 def _(s, d):
-    return A.exchange_comparison(A.exchange_insights(_ep(s, d), _act(s, d)))
+    return A.exchange_comparison(A.exchange_insights(*_ep_act(s, d)))
 
 
 @_query(
@@ -433,7 +466,7 @@ FULL JOIN (SELECT event_id, exchange, count(*) AS actor_count, string_agg(actor_
     *ACTORS,
 )
 def _(s, d):
-    return A.per_exchange_report(_ep(s, d), _act(s, d))
+    return A.per_exchange_report(*_ep_act(s, d))
 
 
 @_query(
@@ -532,7 +565,7 @@ def _(s, d):
 @_query(
     "a20_detection_delay_stats",
     """SELECT node, count(*) AS notices, count(*) FILTER (x > 300000) AS slow, count(*) FILTER (x > 600000) AS very_slow, round(avg(x) FILTER (x > 300000), 3) AS avg_slow_ms, max(x) FILTER (x > 300000) AS max_slow_ms, round(count(*) FILTER (x > 300000) * 100.0 / count(*), 4) AS slow_percent,
-  CASE WHEN count(*) FILTER (x > 300000) = 0 THEN 'none' WHEN count(*) FILTER (x > 600000) / count(*) FILTER (x > 300000) >= 0.7 THEN 'systematic' ELSE 'sporadic' END AS likely_cause FROM (SELECT *, detected_ms - announced_ms AS x FROM n) GROUP BY 1""",
+  CASE WHEN count(*) FILTER (x > 300000) = 0 THEN 'none' WHEN count(*) FILTER (x > 600000) / count(*) FILTER (x > 300000) > 0.7 THEN 'systematic' ELSE 'sporadic' END AS likely_cause FROM (SELECT *, detected_ms - announced_ms AS x FROM n) GROUP BY 1""",
     T, LD, NT,
 )
 def _(s, d):
@@ -662,9 +695,9 @@ def _(s, d):
     return J.latest_per_market(X.trades(s, d), ["exchange", "market_type", "symbol"])
 
 
-@_query("w04_trade_at", "SELECT trade_id, ts_ms FROM t WHERE ts_ms = 1704067250000", T)
+@_query("w04_trade_at", "SELECT trade_id, ts_ms FROM t WHERE ts_ms = 1704067221772", T)
 def _(s, d):
-    return J.trade_at(X.trades(s, d), 1704067250000).select("trade_id", "ts_ms")
+    return J.trade_at(X.trades(s, d), 1704067221772).select("trade_id", "ts_ms")
 
 
 @_query("w05_split_even", "SELECT exchange, market_type, symbol, ntile(2) OVER (PARTITION BY exchange, market_type ORDER BY symbol) AS chunk FROM cat", T, CAT)
@@ -761,9 +794,24 @@ def _(s, d):
 _STORED = "SELECT exchange, market_type, symbol, trade_id, px, qty, ts_ms FROM t"
 _query("k01_s08_write_and_read_trades", f"{_STORED} WHERE ts_ms BETWEEN 1704067240000 AND 1704067400000", T)(K.trades_round_trip)
 _query("k02_write_listings", "SELECT event_id, base AS symbol, '[\"KRW\"]' AS markets, trigger_ms FROM l", T, LD, L)(K.listings_round_trip)
-_query("k03_write_pump_analysis", "SELECT * FROM p", T, WIN, PUMPS)(K.pumps_round_trip)
+_query(
+    "k03_write_pump_analysis",
+    """SELECT CAST(NULL AS BIGINT) AS listing_id, symbol, exchange, market_type, epoch_us(make_timestamp(start_ms * 1000)) AS start_us, epoch_us(make_timestamp(end_ms * 1000)) AS end_us, CAST(duration_ms AS INTEGER) AS duration_ms, start_price, peak_price, end_price,
+  price_change AS price_change_percent, volume AS total_volume, round(CASE WHEN mean_v > 0 THEN v / mean_v ELSE 0 END, 5) AS volume_spike_ratio, CAST(trade_count AS INTEGER) AS trade_count, round(avg_size, 5) AS avg_trade_size, max_size AS max_trade_size,
+  round(CASE WHEN sells > 0 THEN buys / sells ELSE 0 END, 5) AS buy_sell_ratio, 1704067459200000 AS analyzed_us, '2024-01-01' AS day
+FROM p JOIN (SELECT *, avg(v) OVER (PARTITION BY exchange, market_type, symbol) AS mean_v FROM (SELECT exchange, market_type, symbol, ts_ms // 1000 * 1000 AS start_ms, arg_max(px, (ts_ms, trade_id)) AS end_price, sum(qty) AS v, avg(qty) AS avg_size, max(qty) AS max_size,
+  count(*) FILTER (side = 'buy') AS buys, count(*) FILTER (side = 'sell') AS sells FROM t GROUP BY ALL)) USING (exchange, market_type, symbol, start_ms)""",
+    T, WIN, PUMPS,
+)(K.pumps_round_trip)
 _query("k04_write_metrics", "SELECT node AS node_id, CAST(status AS VARCHAR) AS status, count(*) AS n, max(response_ms) AS longest FROM c GROUP BY ALL", CL)(K.metrics_round_trip)
 _query("k05_s09_event_archive", "SELECT event_id, exchange, market_type, count(*) AS trades, min(ts_ms) AS first_ms FROM lt GROUP BY ALL", T, LD, L, LT)(K.archive_round_trip)
+_query(
+    "k05_archive_reports",
+    """SELECT event_id, exchanges, CAST(trades AS BIGINT) AS trades, coalesce(pumps, 0) AS pumps, max_change, coalesce(top_actors, 0) AS top_actors
+FROM (SELECT event_id, count(DISTINCT exchange) AS exchanges, count(*) AS trades FROM lt GROUP BY 1) LEFT JOIN (SELECT event_id, count(*) AS pumps, max(price_change) AS max_change FROM ep GROUP BY 1) USING (event_id)
+LEFT JOIN (SELECT event_id, least(count(*), 10) AS top_actors FROM a GROUP BY 1) USING (event_id)""",
+    *ACTORS,
+)(K.archive_reports)
 _query("k06_export_tables_csv", "SELECT 'trades' AS \"table\", count(*) AS rows, 'success' AS status, 'success' AS run_status FROM t UNION ALL SELECT 'listings', count(*), 'success', 'success' FROM l", T, LD, L)(K.csv_export)
 _query("k07_expired_partitions", "SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-31' - 20")(K.expired_days)
 _query("r01_stream_trades", f"SELECT {_DECODED} FROM t", T)(K.streamed_trades)
@@ -778,8 +826,9 @@ _query("r04_stream_dedup_notices", "SELECT event_id AS id, title, trigger_ms AS
 _query("r05_stream_sink", _STORED, T)(K.streamed_sink)
 _query(
     "r06_stream_rolling_success",
-    """SELECT node, start_ms, start_ms + 3600000 AS end_ms, count(*) AS calls, round(avg(CASE WHEN success THEN 100.0 ELSE 0 END), 4) AS success_percent
-FROM (SELECT *, unnest([ts_ms // 1800000 * 1800000, ts_ms // 1800000 * 1800000 - 1800000]) AS start_ms FROM c) GROUP BY ALL""",
+    """SELECT horizon, node, start_ms, start_ms + width AS end_ms, count(*) AS calls, round(avg(CASE WHEN success THEN 100.0 ELSE 0 END), 4) AS success_percent
+FROM (SELECT c.*, horizon, width, ts_ms // slide * slide - slide * k AS start_ms FROM c, (VALUES ('1m', 60000, 30000), ('5m', 300000, 60000), ('1h', 3600000, 1800000)) h(horizon, width, slide), range(5) r(k) WHERE k < width // slide) GROUP BY ALL""",
     CL,
 )(K.streamed_success)
+_query("x03_stream_progress", "SELECT exchange, count(*) AS trades, (SELECT count(*) + count(*) FILTER (CAST(trade_id AS BIGINT) % 100 = 0) FROM t) AS read_by_stream FROM t GROUP BY 1", T)(K.streamed_progress)
 _query("r07_stream_venue_status", "SELECT exchange, market_type, max(ts_ms) AS last_ms, count(*) AS trades FROM t GROUP BY ALL", T)(K.streamed_venue_status)

@@ -79,6 +79,13 @@ def parse_instruments(json_rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def parse_symbol_lists(json_rows: DataFrame, column: str = "value") -> DataFrame:
+    """(exchange, market_type, symbol) of stored catalogues {exchange: {market type: symbols}}; broken JSON gives nothing."""
+    rows = json_rows.select(F.explode(F.from_json(column, "map<string,map<string,array<string>>>")).alias("exchange", "kinds"))
+    rows = rows.select("exchange", F.explode("kinds").alias("market_type", "symbols"))
+    return rows.select("exchange", "market_type", F.explode("symbols").alias("symbol"))
+
+
 def read_symbol_lists(spark: SparkSession, lists: dict[str, dict[str, list[str]]]) -> DataFrame:
     """A stored catalogue {exchange: {market type: symbols}} as rows (exchange, market_type, symbol); a small file by nature."""
     rows = [(venue, kind, symbol) for venue, kinds in lists.items() for kind, symbols in kinds.items() for symbol in symbols]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.functions.numbers import event_key, strict_double
+from tapewright.operators.pumps import MARKET
 
 
 def _day(ms: Column) -> Column:
@@ -29,8 +32,20 @@ def write_listings(listings: DataFrame, path: str, stored_ms: int, *, mode: str
     rows.write.mode(mode).partitionBy("dt").parquet(path)
 
 
-def write_pump_analysis(pumps: DataFrame, path: str, *, mode: str = "append") -> None:
-    pumps.withColumn("dt", _day(F.col("start_ms"))).write.mode(mode).partitionBy("dt").parquet(path)
+def pump_analysis_rows(pumps: DataFrame, metrics: DataFrame, analyzed_ms: int, *, keys: Sequence[str] = MARKET) -> DataFrame:
+    """What ``write_pump_analysis`` stores: pumps with the metrics of ``pump_metrics``, an id, times as timestamps and the day of analysis."""
+    rows = pumps.join(metrics.drop("price_change"), [*keys, "start_ms"])
+    listing = F.col("event_id") if "event_id" in keys else F.lit(None)
+    return rows.select(
+        F.xxhash64(*keys, "start_ms").alias("id"), listing.cast("bigint").alias("listing_id"), "symbol", "exchange", "market_type", F.timestamp_millis("start_ms").alias("pump_start_time"), F.timestamp_millis("end_ms").alias("pump_end_time"),
+        F.col("duration_ms").cast("int").alias("duration_ms"), "start_price", "peak_price", "end_price", F.col("price_change").alias("price_change_percent"), F.col("volume").alias("total_volume"), F.col("volume_spike").alias("volume_spike_ratio"),
+        F.col("trade_count").cast("int").alias("trade_count"), F.col("avg_size").alias("avg_trade_size"), F.col("max_size").alias("max_trade_size"), "buy_sell_ratio", F.timestamp_millis(F.lit(analyzed_ms)).alias("analyzed_at"), _day(F.lit(analyzed_ms)).alias("dt"),
+    )
+
+
+def write_pump_analysis(rows: DataFrame, path: str, *, mode: str = "append") -> None:
+    """Rows of ``pump_analysis_rows``, in partitions by day of analysis."""
+    rows.write.mode(mode).partitionBy("dt").parquet(path)
 
 
 def write_metrics(metrics: DataFrame, path: str, *, mode: str = "append") -> None:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tapewright.functions.numbers import strict_double
 from tapewright.functions.symbols import match_bases
@@ -57,6 +60,45 @@ def stream_rolling_success(calls: DataFrame, *, width: str = "5 minutes", slide:
     return out.select("node", F.unix_millis("window.start").alias("start_ms"), F.unix_millis("window.end").alias("end_ms"), "calls", "success_percent")
 
 
+#: Horizons of the success rate: name, width and slide of the window.
+HORIZONS = (("1m", "1 minute", "30 seconds"), ("5m", "5 minutes", "1 minute"), ("1h", "1 hour", "30 minutes"))
+
+
+def stream_success_horizons(calls: DataFrame, *, horizons: Sequence[tuple[str, str, str]] = HORIZONS, late: str = HISTORY) -> DataFrame:
+    """Success rates over the last minute, five minutes and hour, each window once its watermark has passed."""
+    parts = [stream_rolling_success(calls, width=width, slide=slide, late=late).withColumn("horizon", F.lit(name)) for name, width, slide in horizons]
+    return reduce(DataFrame.unionByName, parts)
+
+
+class FeedListener(StreamingQueryListener):
+    """Counts what streams have read and calls back on each batch; ``ended`` is set when a stream ends."""
+
+    def __init__(self, on_progress: Callable[[str, int, int], None] | None = None) -> None:
+        self.rows: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+        self.failures: dict[str, str] = {}
+        self.ended, self._on_progress = threading.Event(), on_progress
+
+    def onQueryStarted(self, event) -> None:
+        self.rows[str(event.id)] = self.batches[str(event.id)] = 0
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        key = str(progress.id)
+        self.rows[key] = self.rows.get(key, 0) + progress.numInputRows
+        self.batches[key] = self.batches.get(key, 0) + 1
+        if self._on_progress is not None:
+            self._on_progress(key, progress.batchId, progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.failures[str(event.id)] = str(event.exception)
+        self.ended.set()
+
+
 def stream_venue_status(trades: DataFrame) -> DataFrame:
     """Last trade and count per exchange and market type (update or complete mode)."""
     return trades.groupBy("exchange", "market_type").agg(F.max("ts_ms").alias("last_ms"), F.count(F.lit(1)).alias("trades"))
@@ -66,9 +108,12 @@ def stream_sink(trades: DataFrame, path: str, checkpoint: str, *, interval: str
     """Day-partitioned writes by micro-batch. A batch that is repeated after a failure replaces its own folder, so no trade is stored twice."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if on_batch is not None:
+            batch = batch.persist()  # two readers
         trade_rows(batch).write.mode("overwrite").partitionBy("dt").parquet(f"{path}/batch={batch_id}")
         if on_batch is not None:
             on_batch(batch, batch_id)
+            batch.unpersist()
 
     writer = trades.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)

@@ -27,3 +27,9 @@ def spark():
 @pytest.fixture(scope="session")
 def data():
     return DATA
+
+
+@pytest.fixture(scope="session")
+def larger():
+    """Tables on which every query gives rows."""
+    return os.environ.get("TEST_QUERY_SF_DIR", "/root/testdata/sf0.01")

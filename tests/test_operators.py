@@ -92,6 +92,8 @@ TITLES = {
     "썬더코어(TT), 카바(KAVA) KRW 마켓": ("KAVA", ["KRW"], True, ["TT", "KAVA"]),
     "봉크(BONK) KRW 마켓": ("BONK", ["KRW"], True, ["BONK"]),
     "KRW 마켓 디지털 자산 추가 (WAXP, CARV)": ("WAXP", ["KRW"], True, ["WAXP", "CARV"]),
+    "USDT 마켓 디지털 자산 추가 (AGLD, AHT, , ...)": ("AGLD", ["USDT"], False, ["AGLD", "AHT"]),
+    "셀레스티아(TIA)(krw, Btc 마켓)": ("TIA", ["KRW", "BTC"], True, ["TIA"]),
 }
 
 
@@ -172,11 +174,36 @@ def test_monitoring(spark):
     calls = spark.createDataFrame(rows, "node string, call_id bigint, ts_ms bigint, response_ms double, status int, success boolean, cpu double, memory_mb bigint, new_listing boolean")
     assert [r["streak"] for r in M.failure_streak(calls).orderBy("call_id").collect()] == [0, 1, 2, 0, 1]
     assert [r["success_1m"] for r in M.rolling_success(calls).orderBy("call_id").collect()] == [100.0, 50.0, 33.3333, 50.0, 40.0]
+    # Streaks and rates go on across hours, also over hours without a success or without a call.
+    late = [(0, True), (1, False), (3_599_999, False), (3_600_000, False), (3_700_000, False), (7_300_000, False), (18_000_000, False), (18_000_001, True), (18_000_002, False)]
+    hours = spark.createDataFrame([("n", k, at, 1.0, 200, ok, 1.0, 1, False) for k, (at, ok) in enumerate(late)], calls.schema)
+    assert [r["streak"] for r in M.failure_streak(hours).orderBy("call_id").collect()] == [0, 1, 2, 3, 4, 5, 6, 0, 1]
+    want = [round(100.0 * sum(o for a, o in late if at - 3_600_000 < a <= at) / sum(at - 3_600_000 < a <= at for a, _ in late), 4) for at, _ in late]
+    assert [r["success_1h"] for r in M.rolling_success(hours).orderBy("call_id").collect()] == want
     assert M.rolling_success(calls, include_current=False).orderBy("call_id").first()["success_1m"] == 100.0
     assert M.performance_score(M.service_state(calls)).first()["score"] == 70
     assert M.recent_trades(trades(spark, burst(["1"] * 3)), 0).count() == 3
 
 
+def test_delays(spark):
+    rows = [("n", i, 0, 1000 * ((7 * i) % 13), i) for i in range(300)] + [("m", 0, 0, 301_000, 0), ("m", 1, 0, 700_000, 1), ("m", 2, 0, 700_000, 2), ("m", 3, 0, 1, 3)]
+    notices = spark.createDataFrame(rows, "node string, id bigint, announced_ms bigint, detected_ms bigint, processed_ms bigint")
+    want = {}
+    for node, _, _, x, _ in rows:
+        want[node] = x if node not in want else (want[node] + x) / 2
+    assert {r["node"]: (r["ewma_ms"], r["n"]) for r in P.ewma_delay(notices).collect()} == {"n": (round(want["n"], 4), 300), "m": (round(want["m"], 4), 4)}
+    # Two of three slow notices are very slow: 0.67. Seven of ten are not over 0.7, eight are.
+    assert {r["node"]: r["likely_cause"] for r in P.detection_delay_stats(notices).collect()} == {"n": "none", "m": "sporadic"}
+    for very, cause in ((7, "sporadic"), (8, "systematic")):
+        ten = spark.createDataFrame([("n", i, 0, 700_000 if i < very else 400_000, i) for i in range(10)], notices.schema)
+        assert P.detection_delay_stats(ten).first()["likely_cause"] == cause
+
+
+def test_symbol_lists(spark):
+    rows = spark.createDataFrame([('{"okx":{"spot":["A-USDT","B-USDT"],"futures":[]}}',), ("{broken",), (None,)], "value string")
+    assert {tuple(r) for r in R.parse_symbol_lists(rows).collect()} == {("okx", "spot", "A-USDT"), ("okx", "spot", "B-USDT")}
+
+
 def test_stored(spark, tmp_path):
     rows = trades(spark, burst(["1", "x", "2"]) + burst(["5"], at=86_400_000 * 40)).drop("event_id")
     K.write_trades(rows, str(tmp_path / "t"))

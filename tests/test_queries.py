@@ -1,4 +1,4 @@
-"""Every registered query against its SQL in DuckDB, on the smallest tables."""
+"""Every registered query against its SQL in DuckDB, on tables where none of them is empty."""
 
 import decimal
 import math
@@ -12,10 +12,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 @pytest.fixture(scope="module")
-def duck(data):
+def duck(larger):
     con = duckdb.connect()
     for table in TABLES:
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{larger}/{table}.parquet'")
     return con
 
 
@@ -31,15 +31,15 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(registered.queries()))
-def test_against_sql(spark, data, duck, name):
-    result = registered.queries()[name](spark, data)
+def test_against_sql(spark, larger, duck, name):
+    result = registered.queries()[name](spark, larger)
     columns = sorted(result.columns)
     got = sorted((tuple(plain(row[c]) for c in columns) for row in result.collect()), key=repr)
     cursor = duck.execute(registered.oracle_sql()[name])
     names = [c[0] for c in cursor.description]
     assert sorted(names) == columns
     want = sorted((tuple(plain(row[names.index(c)]) for c in columns) for row in cursor.fetchall()), key=repr)
-    assert got == want
+    assert want and got == want
 
 
 def test_flagship(spark, data):
