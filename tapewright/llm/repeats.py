@@ -21,6 +21,9 @@ Only equality over ``length`` bytes is asked for, so the sort keys are xxHash fi
 strings (128 bits wherever equality decides about bytes) in place of ranks; no part of the corpus is
 held as a suffix array by one task, and equal strings within a batch meet before the shuffle.
 
+*Passages.* A second, shorter length can be asked about at the same time. Texts without a repeat of the
+shorter length hold none of the longer one, so the longer is only looked for in what is left.
+
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; a row's identity is
 its id and its text (by md5), rows that repeat both are repeats of each other; null ids are an id of their own;
 an empty table gives an empty result; only the two named columns are read.
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.llm import words as W
@@ -86,10 +89,10 @@ def _hashed(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _hashed_twice(data: np.ndarray, lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits of fingerprint for the strings of ``length`` bytes at ``lo``."""
+    """128 bits of fingerprint for the strings of ``length`` bytes at ``lo``."""
     view, f = memoryview(data), xxhash.xxh3_128_digest
     both = np.frombuffer(b"".join([f(view[a : a + length]) for a in lo.tolist()]), dtype=np.int64).reshape(-1, 2)
-    return both[:, 0].copy(), both[:, 1].astype(np.int32)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _where(start: np.ndarray, width: np.ndarray | int, kind: np.ndarray | int) -> np.ndarray:
@@ -211,30 +214,30 @@ def _merge(ranges: np.ndarray) -> np.ndarray:
 
 
 def _combined(length: int):
-    """From (id, mark, text, lo, hi, kind as lists): rows (w, v, id, mark, place) of the open and witness starts."""
+    """From (row, text, ranges): rows (w, v, row, place) of the open and witness starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(2)
             bounds = np.asarray(lists.offsets)
             flat = lists.values
             lo_, hi_, kind_ = (flat.field(k).to_numpy() for k in ("lo", "hi", "kind"))
             w, v, row, place = [], [], [], []
-            for base, data, offsets in W.slices(batch.column(2)):
+            for base, data, offsets in W.slices(batch.column(1)):
                 text = W.rows_of(np.diff(bounds[base : base + len(offsets)]))
                 a, z = bounds[base], bounds[base + len(offsets) - 1]
                 use = kind_[a:z] != REPEATED
                 lo, width, kind, text = lo_[a:z][use], (hi_ - lo_)[a:z][use] + 1, kind_[a:z][use], text[use]
                 each = W.rows_of(width)
                 start = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(width) - width, width)
-                x, y = _hashed_twice(data, start + offsets[text[each]], length) if len(each) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+                x, y = _hashed_twice(data, start + offsets[text[each]], length) if len(each) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 w.append(x), v.append(y), row.append(text[each] + base), place.append(_where(start, 0, kind[each]))
             if not w:
                 continue
             take = pa.array(np.concatenate(row))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(w)), pa.array(np.concatenate(v)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(place))],
-                ["w", "v", "id", "mark", "place"],
+                [pa.array(np.concatenate(w)), pa.array(np.concatenate(v)), batch.column(0).take(take), pa.array(np.concatenate(place))],
+                ["w", "v", "row", "place"],
             )
 
     return run
@@ -263,7 +266,7 @@ def _equal(batch: pa.RecordBatch, before: bool | None, end: bool):
     if not end:
         go[-1] = False
     take = pa.array(np.flatnonzero(go))
-    out = pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("mark").take(take), pa.array(place[go] >> 20)], ["id", "mark", "start"])
+    out = pa.RecordBatch.from_arrays([batch.column("row").take(take), pa.array(place[go] >> 20)], ["row", "start"])
     return (None if end else pa.concat_batches([batch.slice(n - 1, 1)])), bool(same[n - 1]), out
 
 
@@ -304,40 +307,64 @@ def _cut(length: int, with_kept: bool):
 _SPAN = pa.struct([("first_byte", pa.int64()), ("end_byte", pa.int64())])
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_kept: bool = False) -> DataFrame:
-    """One row per document: id, n_bytes, spans removed, kept_sha256, and the bytes kept if asked for.
+def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    right = right.withColumnsRenamed({"id": "its_id", "mark": "its_mark"})
+    return left.join(right, (left["mark"] == right["its_mark"]) & left["id"].eqNullSafe(right["its_id"]), how).drop("its_id", "its_mark")
 
-    A byte is removed if a string of ``length`` bytes covers it that also starts anywhere else. Kept
-    bytes may end within a code point, so they come as binary.
-    """
-    if not GAP + _ROLL < length < 1 << 16:
-        raise ValueError(f"length must be over {GAP + _ROLL}")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "repeats")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("mark"), text.alias("text"))
+
+def _candidates(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """Of (id, mark, text), the texts that may hold a repeat, with ranges of their starts and a number for each row."""
     kind = rows.schema["id"].dataType.simpleString()
     parsed = rows.mapInArrow(_parsed(length), f"parse bigint, cover bigint, id {kind}, mark binary, place bigint")
     ranges = parsed.repartition("parse").sortWithinPartitions("parse", "cover").mapInArrow(_sorted_parse, f"id {kind}, mark binary, lo bigint, hi bigint, kind int")
     marked = ranges.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("ranges"))
+    found = _joined(rows, marked, "inner").select(F.monotonically_increasing_id().alias("row"), "id", "mark", "text", "ranges")
+    return scratch.save(found, f"candidates-{length}")
+
+
+def _removed(some: DataFrame, length: int, with_kept: bool) -> DataFrame:
+    """(id, mark, spans, kept_sha256) of the candidates, and the bytes kept if asked for."""
+    edges = some.where(F.exists("ranges", lambda r: r["kind"] != REPEATED)).select("row", "text", "ranges")
+    opened = edges.mapInArrow(_combined(length), "w bigint, v bigint, row bigint, place bigint")
+    starts = opened.repartition("w").sortWithinPartitions("w", "v").mapInArrow(_sorted_starts, "row bigint, start bigint")
+    starts = starts.groupBy("row").agg(F.collect_set("start").alias("starts"))
+    schema = f"id {some.schema['id'].dataType.simpleString()}, mark binary, spans array<struct<first_byte:bigint,end_byte:bigint>>, kept_sha256 string" + ", kept binary" * with_kept
+    return some.join(starts, "row", "left").select("id", "mark", "text", "ranges", "starts").mapInArrow(_cut(length, with_kept), schema).dropDuplicates(["id", "mark"])
 
-    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        right = right.withColumnsRenamed({"id": "its_id", "mark": "its_mark"})
-        return left.join(right, (left["mark"] == right["its_mark"]) & left["id"].eqNullSafe(right["its_id"]), how).drop("its_id", "its_mark")
-
-    some = scratch.save(joined(rows, marked, "inner").select("id", "mark", "text", "ranges"), "some")
-    edges = some.where(F.exists("ranges", lambda r: r["kind"] != REPEATED))
-    opened = edges.mapInArrow(_combined(length), f"w bigint, v int, id {kind}, mark binary, place bigint")
-    starts = opened.repartition("w").sortWithinPartitions("w", "v").mapInArrow(_sorted_starts, f"id {kind}, mark binary, start bigint")
-    starts = starts.groupBy("id", "mark").agg(F.collect_set("start").alias("starts"))
-    schema = f"id {kind}, mark binary, spans array<struct<first_byte:bigint,end_byte:bigint>>, kept_sha256 string" + ", kept binary" * with_kept
-    cut = joined(some, starts, "left").select("id", "mark", "text", "ranges", "starts").mapInArrow(_cut(length, with_kept), schema).dropDuplicates(["id", "mark"])
+
+def covered_bytes(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end_byte"] - s["first_byte"])
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage: int | None = None, with_kept: bool = False) -> DataFrame:
+    """One row per document: id, n_bytes, spans removed, kept_sha256, and the bytes kept if asked for.
+
+    A byte is removed if a string of ``length`` bytes covers it that also starts anywhere else. Kept
+    bytes may end within a code point, so they come as binary. With ``passage``, a length below ``length``,
+    a column passage_bytes counts the bytes that strings of that length cover which start elsewhere too;
+    these are reported, not removed.
+    """
+    if not GAP + _ROLL < (passage or length) <= length < 1 << 16:
+        raise ValueError(f"lengths must be over {GAP + _ROLL}, and that of passages not above that of what is removed")
+    scratch = Scratch(docs.sparkSession, "repeats")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("mark"), text.alias("text"))
+    searched, passages = rows, None
+    if passage:
+        some = _candidates(rows, passage, scratch)
+        # Written, so that it is done, and its shuffles can go, before the next length begins.
+        passages = scratch.save(_removed(some, passage, False).select("id", "mark", covered_bytes(F.col("spans")).alias("passage_bytes")), "passages")
+        searched = some.select("id", "mark", "text")
+    cut = _removed(_candidates(searched, length, scratch), length, with_kept)
     whole = rows.select("id", "mark", F.octet_length("text").cast("bigint").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha"), *[F.encode("text", "utf-8").alias("bytes")] * with_kept)
-    out = joined(whole, cut, "left")
+    if passages is not None:
+        cut = _joined(passages, cut, "left")
+    out = _joined(whole, cut, "left")
     return out.select(
         F.col("id").alias(id_col),
         "n_bytes",
         F.coalesce("spans", F.array().cast("array<struct<first_byte:bigint,end_byte:bigint>>")).alias("spans"),
         F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"),
         *[F.coalesce("kept", "bytes").alias("kept")] * with_kept,
+        *([F.coalesce("passage_bytes", F.lit(0)).alias("passage_bytes")] if passage else []),
     )

@@ -22,7 +22,7 @@ from tapewright.llm.html_text import LABELLED, extract_text, main_text, train
 from tapewright.llm.licenses import CONTAINED, SHINGLE, TEMPLATES, license_matches, license_scan
 from tapewright.llm.near_dup import near_duplicates
 from tapewright.llm.packing import Encoder, pack_documents
-from tapewright.llm.repeats import remove_repeats
+from tapewright.llm.repeats import covered_bytes, remove_repeats
 from tapewright.llm.resample import importance, largest, resample
 from tapewright.llm.toxicity import fit, fold
 
@@ -463,6 +463,34 @@ def test_repeats(spark, awkward, seed):
         assert all(sha(bytes(r["kept"])) == r["kept_sha256"] for r in got.collect())
 
 
+def test_passages_shorter_than_what_is_removed(spark, awkward):
+    rng = random.Random(4)
+    passages = [prose(rng.randrange(40, 70), 300 + k) for k in range(4)]
+    rows = [*awkward] + [(400 + k, " ".join([prose(30, 4000 + k), rng.choice(passages), prose(40, 5000 + k)])) for k in range(40)]
+    for rows_ in (rows, []):
+        docs = frame(spark, rows_).repartition(4)
+        got = remove_repeats(docs, length=300, passage=200).withColumn("removed", covered_bytes(F.col("spans"))).collect()
+        assert sorted(((r["doc_id"], r["n_bytes"], r["removed"], len(r["spans"]), r["kept_sha256"]) for r in got), key=repr) == removed(rows_, 300)
+        assert sorted(((r["doc_id"], r["n_bytes"], r["passage_bytes"]) for r in got), key=repr) == sorted((r[:3] for r in removed(rows_, 200)), key=repr)
+
+
+def test_repeats_in_many_batches(spark):
+    """A family of near copies over several Arrow batches of a task, and a text much longer than a slice of words."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rng, base = random.Random(6), prose(150, 6).split()
+        rows = [(k, " ".join(w if rng.random() > 0.01 else f"z{rng.randrange(999)}" for w in base)) for k in range(60)]
+        rows += [(100, prose(250_000, 7)), (101, prose(250_000, 7)[700_000:703_000]), (102, prose(100, 8))]
+        got = remove_repeats(frame(spark, rows).repartition(3), length=400).withColumn("removed", covered_bytes(F.col("spans"))).collect()
+        mine = {r["doc_id"]: (r["removed"], len(r["spans"]), r["kept_sha256"]) for r in got}
+        small = [r for r in rows if r[0] != 100]
+        want = {i: x for i, _, *x in removed(small, 400)}
+        assert mine[100][:2] == (3000, 1) and mine[101][:2] == (3000, 1) and mine[102][0] == 0
+        assert {i: list(x) for i, x in mine.items() if i < 100} == {i: x for i, x in want.items() if i < 100}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_repeats_of_texts_whose_32_bit_hashes_are_equal(spark):
     shared, own = prose(80, 7001), prose(110, 7002)
     rows = [(None, f"a4949 {shared}"), (None, f"b65682 {own}"), (1, f"{shared} end")]
