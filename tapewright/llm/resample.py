@@ -1,6 +1,7 @@
 """Quality by importance resampling: which documents look like a target, sampled in proportion.
 
-Texts are bags of hashed word unigrams and bigrams. Two generative models, one of the target texts and
+Texts are bags of hashed word unigrams and bigrams. The number of buckets grows with the corpus, as its
+vocabulary does (see ``buckets_for``). Two generative models, one of the target texts and
 one of all raw texts, give each text a log importance weight: the mean over its n-grams of
 ``log p_target - log p_raw``, times ``unit``, so that texts of all lengths compare. Adding Gumbel noise
 and taking the ``k`` largest keys samples without replacement in proportion to the weights. The k-th
@@ -16,6 +17,7 @@ ids are scored and may be kept; an empty table gives an empty result; only named
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,26 +50,38 @@ def _counted(buckets: int):
                 bucket, text = _grams(data, offsets, buckets)
                 raw += np.bincount(bucket, minlength=buckets)
                 target += np.bincount(bucket[wanted[lo + text]], minlength=buckets)
-        yield pa.RecordBatch.from_pydict({"bucket": np.arange(buckets), "raw": raw, "target": target})
+        some = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_pydict({"bucket": some, "raw": raw[some], "target": target[some]})
 
     return run
 
 
-def importance(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 10_000, unit: float = 100.0, smoothing: float = 1.0, fit_rows: int = 200_000, seed: int = 1) -> DataFrame:
+def buckets_for(n_bytes: int) -> int:
+    """Buckets of the models: a power of two of about 16 times the square root of the bytes of text.
+
+    Vocabularies grow about as the square root of their corpus. Counts and ratios are arrays of that length in
+    the driver and in each task, so it ends at 2**24 (64 MB of ratios), which a terabyte of text reaches.
+    """
+    return min(max(1 << math.ceil(math.log2(16 * math.sqrt(max(n_bytes, 1)))), 1 << 14), 1 << 24)
+
+
+def importance(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int | None = None, unit: float = 100.0, smoothing: float = 1.0, fit_rows: int = 200_000, seed: int = 1) -> DataFrame:
     """(id, log_weight, gumbel_key) of every row."""
     spark = docs.sparkSession
     wanted = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id")).distinct()
     wanted = wanted.where(fold(F.col("label_id")) != 0).orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows)
     wanted = Scratch(spark, "importance").save(wanted.withColumn("wanted", F.lit(True)), "target")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if buckets is None:
+        buckets = buckets_for(rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0)
     flagged = rows.join(F.broadcast(wanted), F.col("id") == F.col("label_id"), "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    counts = flagged.mapInArrow(_counted(buckets), "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    counts = flagged.mapInArrow(_counted(buckets), "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(buckets), np.zeros(buckets)
-    for r in counts:
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+    bucket = counts.column("bucket").to_numpy()
+    raw[bucket], target[bucket] = counts.column("raw").to_numpy(), counts.column("target").to_numpy()
     rate = lambda x: (x + smoothing) / (x.sum() + smoothing * buckets)
     ratio = np.log(rate(target) / rate(raw)) if target.sum() else np.zeros(buckets)
-    shared = spark.sparkContext.broadcast(ratio)
+    shared = spark.sparkContext.broadcast(ratio.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tapewright.llm import chat, cutting_stock, partenum, queries
+from tapewright.llm import chat, cutting_stock, html_text, partenum, queries, toxicity
 from tapewright.llm import words as W
 from tapewright.llm.decontaminate import PIECE, decontaminate, find_contamination
 from tapewright.llm.dom import Dom
@@ -23,7 +23,7 @@ from tapewright.llm.licenses import CONTAINED, SHINGLE, TEMPLATES, license_match
 from tapewright.llm.near_dup import near_duplicates
 from tapewright.llm.packing import Encoder, pack_documents
 from tapewright.llm.repeats import covered_bytes, remove_repeats
-from tapewright.llm.resample import importance, largest, resample
+from tapewright.llm.resample import buckets_for, importance, largest, resample
 from tapewright.llm.toxicity import fit, fold
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -206,6 +206,35 @@ def test_toxicity(spark, toxic_docs):
     assert {r["score"] for r in fit(docs, same).score(docs).collect()} == {0.0}
 
 
+def test_toxicity_features():
+    """All features recomputed with plain Python."""
+    import pyarrow as pa
+
+    hashed = lambda words: np.sort(np.array([W.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words], dtype=np.uint64))
+    lexicon = toxicity.Lexicon(hashed(["idiot", "scum"]), np.zeros(0, np.uint64))
+    texts = ["", "You IDIOT, you scum!!! Why?", "a nice day (with 2 dogs) sooooo l8er c@t", "idiot " * 70 + "your", "Ünïcode ÉÉÉ du scum"]
+    rows = []
+    for text in texts:
+        b = text.encode()
+        words = [m[0] for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", b)]
+        low = [lower(w.decode()) for w in words]
+        hit = [w in ("idiot", "scum") for w in low]
+        you = [w in toxicity.SECOND_PERSON for w in low]
+        n, size = max(len(words), 1), max(len(b), 1)
+        near = sum(h and any(you[max(0, k - toxicity.NEAR) : k + toxicity.NEAR + 1]) for k, h in enumerate(hit))
+        alpha = lambda c: chr(c).isascii() and chr(c).isalpha() or c >= 0x80
+        inside = sum(alpha(b[k - 1]) and alpha(b[k + 1]) and chr(b[k]) in "@#$%*_-.!|+" for k in range(1, len(b) - 1))
+        digits = sum(alpha(b[k - 1]) and alpha(b[k + 1]) and chr(b[k]).isdigit() and b[k] < 0x80 for k in range(1, len(b) - 1))
+        drawn = sum(alpha(b[k]) and b[k] == b[k - 1] == b[k - 2] for k in range(2, len(b)))
+        upper = lambda w: sum(65 <= c <= 90 for c in w)
+        rows.append([
+            sum(hit) / n, np.log1p(sum(hit)), max([sum(hit[k : k + toxicity.WINDOW]) for k in range(len(hit))], default=0), 0, 0, near / n, sum(you) / n, upper(b) / size, sum(len(w) > 2 and upper(w) == len(w) for w in words) / n,
+            b.count(b"!") / size, b.count(b"?") / size, sum(33 <= c < 127 and not chr(c).isalnum() for c in b) / size, inside / n, digits / n, drawn / n, np.log1p(len(words)),
+        ])
+    got = [x for _, data, offsets in W.slices(pa.array(texts)) for x in toxicity._features(data, offsets, lexicon)]
+    assert len(toxicity.FEATURES) == len(rows[0]) and np.allclose(got, rows)
+
+
 # 4
 
 
@@ -343,13 +372,35 @@ def test_resample(spark):
     assert abs(one["log_weight"] - plain) < 0.02 * abs(plain)  # buckets collide now and then
 
 
+def test_resample_against_a_plain_model(spark):
+    """Every weight and key of a table with ties, nulls and repeated rows, and what is kept."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("a b c d e f".split() if i % 3 else "x y z a".split()) for _ in range(rng.randrange(9)))) for i in range(120)] + [(7, "a b"), (7, "a b"), (None, "x"), (None, None)]
+    labels = [(i, int(i % 3 == 0), 0) for i in range(0, 120, 2)]
+    got = resample(frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), share=0.4).collect()
+    buckets = buckets_for(sum(len((t or "").encode()) for _, t in rows))
+    assert buckets == 1 << 14 and buckets_for(10**9) == 1 << 19 and buckets_for(10**15) == 1 << 24
+    grams = lambda t: (w := (t or "").split()) + list(zip(w, w[1:]))
+    good = {i for i, q, _ in labels if q and zlib.crc32(str(i).encode()) % 5}
+    a, b = Counter(g for i, t in rows if i in good for g in grams(t)), Counter(g for _, t in rows for g in grams(t))
+    weight = lambda t: 100 * float(np.mean([np.log((a[g] + 1) / (sum(a.values()) + buckets)) - np.log((b[g] + 1) / (sum(b.values()) + buckets)) for g in grams(t)])) if grams(t) else 0.0
+    assert np.allclose(sorted(r["log_weight"] for r in got), sorted(weight(t) for _, t in rows), atol=1e-3)
+    keys = sorted((r["gumbel_key"] for r in got), reverse=True)
+    least = keys[int(len(rows) * 0.4) - 1]
+    assert all(r["kept"] == (r["gumbel_key"] >= least) for r in got)
+    twice = [(r["gumbel_key"], r["kept"]) for r in got if r["doc_id"] == 7]
+    assert len(twice) == 3 and max(twice.count(x) for x in twice) >= 2
+
+
 # 7
 
 
 def test_html():
     model = train()
     for page in LABELLED:
-        assert "Rain fell on the hills" in main_text(page, model)
+        dom, label = html_text._labelled(page)
+        main = " ".join(dom.text[k] for k in range(len(label)) if dom.tag[k] == "#text" and label[k])
+        assert ("Rain fell on the hills" in main_text(page, model)) == ("Rain fell on the hills" in main)
     assert "Buy two" not in main_text(LABELLED[0], model) and "cookies" not in main_text(LABELLED[2], model)
     page = '<html><head><title>no</title></head><body><nav><a href=/>Home</a></nav><article><h1>Head &amp; tail</h1><p>One\n two <b>thr</b>ee.<p>Four&nbsp;&lt;5<script>x("</p>")</script></article><footer>&copy; no</footer></body></html>'
     assert main_text(page, model) == "Head & tail One two three. Four <5"
@@ -357,6 +408,31 @@ def test_html():
         assert isinstance(main_text(odd, model), str)
 
 
+def test_html_without_names():
+    """Pages without class names or sectioning tags, of other words than the labelled ones."""
+    model = train()
+    first = "Bread is baked at night in the old town, and by six in the morning the smell has reached the harbour and the ships that lie there."
+    second = "Few of the bakers are left now. Those who are do not think of stopping, and their children have begun to learn the trade."
+    pages = (
+        f"<div>Home About Contact</div><div><h1>Bread</h1><p>{first}<p>{second}</div><div>All rights reserved</div>",
+        f"<body><div><a href=/>Home</a> <a href=/n>News</a></div><div><h1>Bread</h1><p>{first}</p><p>{second}</p></div><div>Copyright 2021. All rights reserved.</div></body>",
+        f"<table><tr><td><a href=/>Home</a> | <a href=/c>Contact</a></td></tr><tr><td><h1>Bread</h1><p>{first}</p><p>{second}</p></td></tr></table>",
+    )
+    for page in pages:
+        assert main_text(page, model) == f"Bread {first} {second}", page
+
+
+def test_training_weights_left_out_pages():
+    known = [html_text._labelled(page) for page in LABELLED]
+    wrong = total = 0
+    for k, (dom, label) in list(enumerate(known))[::3]:
+        model = train(LABELLED[:k] + LABELLED[k + 1 :])
+        for node, odds in enumerate(html_text.marginals(dom, model)):
+            if dom.tag[node] == "#text" and (n := len(dom.text[node].strip())):
+                wrong, total = wrong + n * ((odds >= 0) != label[node]), total + n
+    assert wrong < 0.15 * total
+
+
 def test_html_that_leaves_out_end_tags():
     model = train()
     text = "Rain fell on the hills for nine days, and the river rose until it reached the mill."
