@@ -128,16 +128,18 @@ def test_jaccard_join_of_a_large_group(spark):
     assert got == {i: c for i, (_, c) in components(rows, 4, 85).items()}
 
 
-def test_partenum_guarantee():
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_partenum_guarantee(percent):
     rng = np.random.default_rng(3)
+    assert partenum.levels(percent, 100) == (1 if percent == 80 else 3)
     for n in (5, 8, 20, 60, 300, 2000):
         for _ in range(30):
             a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-            few = partenum.largest_difference(2 * n, 85, 100) // 2
+            few = partenum.largest_difference(2 * n, percent, 100) // 2
             b = np.unique(np.concatenate([a[few // 2 :], rng.integers(0, 1 << 63, few - few // 2, dtype=np.uint64)]))
             shared = len(np.intersect1d(a, b))
-            if 100 * shared >= 85 * (len(a) + len(b) - shared) and shared < len(a):
-                sigs, who = partenum.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 85, 100)
+            if 100 * shared >= percent * (len(a) + len(b) - shared) and shared < len(a):
+                sigs, who = partenum.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent, 100)
                 assert set(sigs[who == 0].tolist()) & set(sigs[who == 1].tolist())
 
 
