@@ -65,7 +65,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_read(spark, sf_dir, "documents"))
 
 
-#: Bytes that a passage of over 50 words of the corpus' languages has at least; many such passages have fewer than 400.
+#: Passages of over 50 words have, as a rule, at least so many bytes in the corpus' languages; many have fewer than 400.
 PASSAGE = 256
 
 
