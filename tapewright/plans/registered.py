@@ -781,7 +781,7 @@ def _(s, d):
   max(CAST(l_extendedprice / l_quantity AS DOUBLE)) AS max_price, round(CAST(sum(l_quantity) AS DOUBLE), 6) AS volume FROM lineitem GROUP BY ALL""",
 )
 def _(s, d):
-    rows = s.read.parquet(f"{d}/lineitem.parquet").select(
+    rows = X.table(s, d, "lineitem").select(
         F.col("l_returnflag").alias("exchange"), F.col("l_linestatus").alias("market_type"), F.col("l_partkey").alias("symbol"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ts_ms"),
         (F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")).cast("string").alias("price"), F.col("l_quantity").cast("string").alias("quantity"),
     )
