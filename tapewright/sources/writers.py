@@ -54,9 +54,13 @@ def write_metrics(metrics: DataFrame, path: str, *, mode: str = "append") -> Non
 
 
 def write_event_archive(found: DataFrame, reports: dict[str, DataFrame], path: str) -> None:
-    """Trades of events as JSON by event, exchange and market type under raw/, and each report as its own dataset."""
+    """Trades of events as JSON by event, exchange and market type under raw/, and each report as its own dataset.
+
+    Rows of one folder meet in few tasks, else every task would write a file to every folder; adaptive execution splits large ones.
+    """
     rows = found.withColumn("event", event_key(F.regexp_replace("symbol", "USDT$", ""), F.col("trigger_ms")))
-    rows.write.mode("overwrite").partitionBy("event", "exchange", "market_type").json(f"{path}/raw")
+    folders = ("event", "exchange", "market_type")
+    rows.hint("rebalance", *folders).write.mode("overwrite").partitionBy(*folders).json(f"{path}/raw")
     for name, report in reports.items():
         report.write.mode("overwrite").json(f"{path}/{name}")
 
