@@ -17,9 +17,12 @@ from tapewright.llm.licenses import license_scan
 from tapewright.llm.near_dup import near_duplicates
 from tapewright.llm.packing import pack_documents
 from tapewright.llm.repeats import covered_bytes, remove_repeats
+from tapewright.llm.repair import repair_conversations
 from tapewright.llm.resample import resample
 from tapewright.llm.toxicity import fit as fit_toxicity
 from tapewright.llm.toxicity import fold
+from tapewright.llm.url_rules import judge_urls
+from tapewright.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +95,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_read(spark, sf_dir, "embeddings"), components=8)
+
+
+def _damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with the faults that a repair is to find; dropped ones are kept as not present."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn"))) % 20
+    text = F.when(hit == 1, "").when(hit == 2, F.translate(known("text"), ".!?", "")).otherwise(known("text"))
+    times = F.when(hit == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    rows = conversations.select("conv_id", "turn", F.when(hit == 4, "user").otherwise(known("role")).alias("role"), text.alias("text"), (hit != 0).alias("present"), times.alias("times"))
+    return rows.withColumn("times", F.explode("times"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(_damaged(_read(spark, sf_dir, "conversations")), present_col="present")
+
+
+#: Host, path and verdict of the rules of ``op13_url_rules``.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -104,6 +133,9 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op9_repeats": op9_repeats,
         "op10_decontamination": op10_decontamination,
+        "op11_whitening": op11_whitening,
+        "op12_repair": op12_repair,
+        "op13_url_rules": op13_url_rules,
     }
 
 
@@ -114,4 +146,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_format": oracles.OP4,
         "op8_license_scan": oracles.OP8,
         "op10_decontamination": oracles.OP10,
+        "op13_url_rules": oracles.OP13,
     }
