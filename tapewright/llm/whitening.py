@@ -6,7 +6,8 @@ for, V being the covariance: each task adds up its rows' part of ``XᵀXQ``, cen
 parts are summed by dimension. What comes to the driver has dimensions times block entries, whatever the number of rows.
 
 A round filters the block by a Chebyshev polynomial in V, one pass for each degree: it is small over the unwanted
-spectrum, from 0 to the block's least Ritz value, and grows fast above. QR makes the block orthonormal,
+spectrum, from the least eigenvalue to the block's least Ritz value, and grows fast above. The least eigenvalue is
+bounded by a Lanczos recurrence whose vector rides along as one more column of each pass. QR makes the block orthonormal,
 and Rayleigh-Ritz turns it into approximate components with one more pass, whose products also start the next round.
 Rounds end when the wanted components are certified: each residual ``|Vq - eq|`` at most ``tolerance`` times the
 largest eigenvalue, or as small as rounding lets it be. A last pass over the final components gives the covariance of the
@@ -89,11 +90,41 @@ class Whitening:
         return out
 
 
+class _Lanczos:
+    """Bounds the least eigenvalue from below, by products of one vector with V."""
+
+    def __init__(self, d: int, least: int = 8, most: int = 40) -> None:
+        self.vector: np.ndarray | None = np.random.default_rng(1).standard_normal(d)
+        self.vector /= np.linalg.norm(self.vector)
+        self.least, self.most = least, most
+        self.basis: list[np.ndarray] = []
+        self.diagonal: list[float] = []
+        self.beside: list[float] = []
+
+    def take(self, product: np.ndarray) -> None:
+        self.basis.append(self.vector)
+        self.diagonal.append(float(self.vector @ product))
+        basis = np.array(self.basis)
+        rest = product - basis.T @ (basis @ product)
+        rest -= basis.T @ (basis @ rest)
+        self.beside.append(float(np.linalg.norm(rest)))
+        exact = self.beside[-1] <= 1e-10 * max(self.diagonal)
+        self.vector = None if exact or len(self.basis) == self.most else rest / self.beside[-1]
+
+    def low(self) -> float:
+        """The least Ritz value less its residual; 0 while there are too few products for that to be safe."""
+        if len(self.basis) < self.least:
+            return 0.0
+        values, vectors = np.linalg.eigh(np.diag(self.diagonal) + np.diag(self.beside[:-1], 1) + np.diag(self.beside[:-1], -1))
+        return max(0.0, values[0] - 2 * self.beside[-1] * abs(vectors[-1, 0]))
+
+
 class _Covariance:
     """V of the packed vectors of a table, known by its products."""
 
     def __init__(self, table: DataFrame, d: int) -> None:
         self.table, self.d, self.passes = table, d, 0
+        self.lanczos = _Lanczos(d)
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = np.zeros(d, np.int64), 0
@@ -115,6 +146,8 @@ class _Covariance:
 
     def times(self, q: np.ndarray) -> tuple[np.ndarray, float]:
         """V q, and the trace of V."""
+        wanted = q.shape[1]
+        q = np.column_stack([q, self.lanczos.vector]) if self.lanczos.vector is not None else q
         d, k = q.shape
         names = [f"q{j}" for j in range(k)]
         shared = self.table.sparkSession.sparkContext.broadcast((self.sums / self.n, q))
@@ -132,7 +165,9 @@ class _Covariance:
         schema = ", ".join(["dim int", *(f"{c} double" for c in names), "squares double"])
         found = np.array(self._by_dimension(self.table.mapInArrow(run, schema), *names, "squares")) / self.n
         shared.unpersist()
-        return found[:, :k], float(found[:, k].sum())
+        if k > wanted:
+            self.lanczos.take(found[:, wanted])
+        return found[:, :wanted], float(found[:, k].sum())
 
 
 def _ritz(q: np.ndarray, vq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,8 +179,10 @@ def _ritz(q: np.ndarray, vq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _filtered(v: _Covariance, q: np.ndarray, vq: np.ndarray, values: np.ndarray, degree: int) -> np.ndarray:
-    """A scaled Chebyshev polynomial of V times q, whose unwanted interval is from 0 to the block's least Ritz value."""
-    centre = half = max(values[-1], values[0] * 1e-12) / 2
+    """A scaled Chebyshev polynomial of V times q, whose unwanted interval ends at the block's least Ritz value."""
+    high = max(values[-1], values[0] * 1e-12)
+    low = min(v.lanczos.low(), 0.95 * high)
+    centre, half = (high + low) / 2, (high - low) / 2
     first = (values[0] - centre) / half
     if first <= 1:
         return vq
