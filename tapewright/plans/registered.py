@@ -832,3 +832,25 @@ FROM (SELECT c.*, horizon, width, ts_ms // slide * slide - slide * k AS start_ms
 )(K.streamed_success)
 _query("x03_stream_progress", "SELECT exchange, count(*) AS trades, (SELECT count(*) + count(*) FILTER (CAST(trade_id AS BIGINT) % 100 = 0) FROM t) AS read_by_stream FROM t GROUP BY 1", T)(K.streamed_progress)
 _query("r07_stream_venue_status", "SELECT exchange, market_type, max(ts_ms) AS last_ms, count(*) AS trades FROM t GROUP BY ALL", T)(K.streamed_venue_status)
+_query(
+    "r07_stream_liveness",
+    """SELECT exchange, symbol, 'active' AS status, min(ts_ms) AS at_ms, CAST(NULL AS BIGINT) AS messages FROM runs GROUP BY exchange, symbol, run
+UNION ALL SELECT exchange, symbol, 'stale', max(ts_ms) + 2000, count(*) FROM runs GROUP BY exchange, symbol, run""",
+    T,
+    """gaps AS (SELECT exchange, symbol, ts_ms, CASE WHEN ts_ms - lag(ts_ms) OVER w <= 2000 THEN 0 ELSE 1 END AS starts FROM t WINDOW w AS (PARTITION BY exchange, symbol ORDER BY ts_ms))""",
+    """runs AS (SELECT *, sum(starts) OVER (PARTITION BY exchange, symbol ORDER BY ts_ms) AS run FROM gaps)""",
+)(K.streamed_liveness)
+_query("r04_j03_processed_state", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 OR event_id % 5 = 0 THEN 'sent' ELSE 'waiting' END AS status FROM listed", T, LD)(K.processed_state)
+_NAMES = """names AS (SELECT event_id, concat(CASE WHEN k = 1 THEN base ELSE concat(base, '-', CAST(k AS VARCHAR)) END, '_', strftime(make_timestamp(trigger_ms * 1000), '%Y%m%d_%H%M%S')) AS event, title, trigger_ms
+  FROM (SELECT *, row_number() OVER (PARTITION BY base, trigger_ms // 1000 ORDER BY trigger_ms, event_id) AS k FROM l))"""
+_query(
+    "k05_event_files",
+    """SELECT event, title, coalesce(trades, 0) AS trades, 12 - coalesce(markets, 0) AS empty_markets, coalesce(pumps, 0) AS pumps, coalesce(pump_markets, 0) AS pump_markets, least(coalesce(users, 0), 10) AS top_users, coalesce(users, 0) AS users,
+  coalesce(exchange_reports, 0) AS exchange_reports, max_change, pump_exchanges
+FROM names LEFT JOIN (SELECT event_id, count(*) AS trades, count(DISTINCT concat(exchange, market_type)) AS markets FROM lt GROUP BY 1) USING (event_id)
+LEFT JOIN (SELECT event_id, count(*) AS pumps, count(DISTINCT concat(exchange, market_type)) AS pump_markets, max(price_change) AS max_change, count(DISTINCT exchange) AS pump_exchanges FROM ep GROUP BY 1) USING (event_id)
+LEFT JOIN (SELECT event_id, count(*) AS users FROM a GROUP BY 1) USING (event_id)
+LEFT JOIN (SELECT event_id, count(*) AS exchange_reports FROM (SELECT event_id, exchange FROM ep UNION SELECT event_id, unnest(exchanges) FROM a) GROUP BY 1) USING (event_id)""",
+    *ACTORS, _NAMES,
+)(K.event_files)
+_query("s09_pruned_event_files", "SELECT event, trade_id FROM lt JOIN names USING (event_id) WHERE market_type = 'spot' AND event = (SELECT event FROM names ORDER BY trigger_ms, event_id LIMIT 1)", T, LD, L, LT, _NAMES)(K.pruned_event_files)
