@@ -854,3 +854,23 @@ LEFT JOIN (SELECT event_id, count(*) AS exchange_reports FROM (SELECT event_id,
     *ACTORS, _NAMES,
 )(K.event_files)
 _query("s09_pruned_event_files", "SELECT event, trade_id FROM lt JOIN names USING (event_id) WHERE market_type = 'spot' AND event = (SELECT event FROM names ORDER BY trigger_ms, event_id LIMIT 1)", T, LD, L, LT, _NAMES)(K.pruned_event_files)
+_query(
+    "s08_indexed_range",
+    "SELECT 'range' AS read, exchange, market_type, symbol, trade_id, px, qty, ts_ms FROM t WHERE symbol = 'SYM1USDT' AND ts_ms BETWEEN 1704067300000 AND 1704067340000 UNION ALL SELECT 'point', exchange, market_type, symbol, trade_id, px, qty, ts_ms FROM t WHERE trade_id = '600'",
+    T,
+)(K.indexed_range)
+_query("r05_ledger_sink", _STORED, T)(K.ledger_sink)
+_LAST = "(ts_ms, trade_id, price, quantity, side)"
+_query(
+    "w04_latest_view",
+    f"""SELECT exchange, market_type, symbol, count(*) AS trades, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, arg_max(trade_id, {_LAST}) AS last_trade_id, arg_max(price, {_LAST}) AS last_price, arg_max(quantity, {_LAST}) AS last_quantity,
+  arg_max(side, {_LAST}) AS last_side FROM t GROUP BY ALL""",
+    T,
+)(K.latest_view)
+_query(
+    "a18_active_totals",
+    """SELECT coalesce(exchange, 'all') AS exchange, CAST(sum(spot) AS BIGINT) AS spot_trades, CAST(sum(futures) AS BIGINT) AS futures_trades, CAST(sum(markets) AS BIGINT) AS markets, CAST(sum(active) AS BIGINT) AS active, max(last_ms) AS last_ms
+FROM (SELECT exchange, count(*) FILTER (market_type = 'spot') AS spot, count(*) FILTER (market_type = 'futures') AS futures, count(DISTINCT (market_type, symbol)) AS markets, max(ts_ms) AS last_ms,
+  CASE WHEN max(ts_ms) >= 1704067459200 - 200 THEN 1 ELSE 0 END AS active FROM t GROUP BY 1) GROUP BY GROUPING SETS ((exchange), ())""",
+    T,
+)(K.active_totals)
