@@ -35,6 +35,8 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Latin letters, their signs, and common dashes, quotation marks and the euro sign.
 _RARE = re.compile("[^\u0000-\u024f\u2010-\u2026\u20ac]")
 _BLANKS = re.compile(r"\s\s")
+#: A run of white space too long for the look-ahead of ``tiktoken``'s expressions.
+_LONG = re.compile(r"\s{100000}")
 
 
 class Encoder:
@@ -42,8 +44,8 @@ class Encoder:
 
     The file's vocabulary is also given to ``tiktoken``, which merges by rank and gives the same ids several
     times faster where both libraries are known to agree about character classes; texts with a character of
-    ``_RARE``, or with the string of a token that was added to the vocabulary, are left to ``tokenizers``
-    itself. Texts without two white space characters in a row, where the model's look-ahead decides nothing,
+    ``_RARE``, with the string of a token that was added to the vocabulary, or with very long white space, are
+    left to ``tokenizers`` itself. Texts without two white space characters in a row, where the model's look-ahead decides nothing,
     take a split without it.
     """
 
@@ -66,7 +68,7 @@ class Encoder:
         self.full, self.plain = (tiktoken.Encoding(name, pat_str=split, mergeable_ranks=tokens, special_tokens={}) for name, split in (("full", _SPLIT), ("plain", _SPLIT.replace(r"\s+(?!\S)|", ""))))
 
     def encode(self, text: str) -> np.ndarray:
-        if self.own.search(text):
+        if self.own.search(text) or _LONG.search(text):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return (self.full if _BLANKS.search(text) else self.plain).encode_to_numpy(text, disallowed_special=())
 

@@ -10,7 +10,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import public_tokenizers
 from tapewright.llm import queries, whitening
+from tapewright.llm.packing import Encoder, pack_documents
 from tapewright.llm.repair import Codes, align, repair_conversations
 from tapewright.llm.url_rules import Ranges, judge_urls
 
@@ -310,3 +312,19 @@ def test_whitening_keeps_rows_of_one_id(spark):
     rows = [(None if k % 2 else 7, [float(c) for c in v]) for k, v in enumerate(m)]
     got = whitening.whiten(vectors_frame(spark, rows)).collect()
     assert len(got) == 200 and {r["vec_id"] for r in got} == {None, 7}
+
+
+# Very long runs in packing
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "\r\n" * 400_000, "x" + " " * 1_000_000 + "y", "a" * 2_000_000, "7" * 500_000], ids=["blanks", "lines", "returns", "inside", "letters", "digits"])
+def test_ids_of_very_long_runs(text):
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoder.encode(text).tolist() == encoder.model.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_very_long_runs(spark):
+    docs = spark.createDataFrame([(1, " " * 1_500_000), (2, "short"), (3, "\t" * 1_200_000)], "doc_id bigint, text string")
+    rows = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    by_doc = {i: sum(r["length"] for r in rows if r["doc_id"] == i) for i in (1, 2, 3)}
+    assert all(by_doc[r["doc_id"]] == r["doc_tokens"] for r in rows) and set(by_doc) == {1, 2, 3} and by_doc[1] > 1000
