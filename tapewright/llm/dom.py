@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from html.parser import HTMLParser
 
 #: Elements without an end tag, elements whose text is never shown, and inline elements (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template head title iframe object svg canvas audio video datalist".split())
+UNSEEN = frozenset("script style noscript template head title iframe object svg canvas audio video datalist select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Start tags that end an open element: the elements they end, and where the search for them stops.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -18,21 +20,31 @@ _IN_HEAD = frozenset("head title base basefont bgsound link meta style script no
 _FOREIGN = frozenset(("svg", "math"))
 _HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 _LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: What begins a tag, an end tag, a comment or a declaration.
+_OPENING = re.compile(r"<[A-Za-z/!?]")
 _TOKEN = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Dom(HTMLParser):
-    """``parent``, ``tag`` ("#text" for leaves), ``tokens`` of class, id and role, ``text`` and ``mark`` (data-main) of each node; node 0 is the page."""
+    """``parent``, ``tag`` ("#text" for leaves), ``tokens`` of class, id and role, ``text`` and ``mark`` (data-main) of each node; node 0 is the page.
+
+    Time grows with the page, however it is broken: depths of open elements are kept by name, so no tag walks over elements that it does not
+    end, and what is still open at the end of the page is left out, as browsers do, and not looked at again and again.
+    """
 
     def __init__(self, page: str) -> None:
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.tokens, self.text, self.mark = [-1], ["#page"], [()], [""], [None]
         self.linked = [False]
-        self.open, self.hidden, self.foreign = [0], 0, 0
+        self.open, self.hidden = [0], 0
+        #: Depths of open elements, rising: by name, and those of three kinds.
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)
+        self.scopes, self.foreign, self.again = [0], [], [0]
         #: Grows whenever a block begins or ends: leaves of one number belong to one block.
         self.block, self.blocks = [0], 0
-        self.feed(page)
+        unclosed = _OPENING.search(page, page.rfind(">") + 1)
+        self.feed(page[: unclosed.start()] if unclosed else page)
         self.close()
 
     def _add(self, tag: str, tokens: tuple, text: str, mark: str | None) -> int:
@@ -51,20 +63,25 @@ class Dom(HTMLParser):
                 self.blocks += 1
             if self.tag[node] in UNSEEN:
                 self.hidden -= 1
-            if self.tag[node] in _FOREIGN:
-                self.foreign -= 1
+            self.depths[self.tag[node]].pop()
         del self.open[depth:]
+        for kept in (self.scopes, self.foreign, self.again):
+            while kept and kept[-1] >= depth:
+                kept.pop()
+
+    def _push(self, node: int, tag: str) -> None:
+        depth = len(self.open)
+        self.open.append(node)
+        self.depths[tag].append(depth)
+        self.hidden += tag in UNSEEN
+        for kept, names in ((self.scopes, _SCOPE), (self.foreign, _FOREIGN), (self.again, _HTML_AGAIN)):
+            if tag in names:
+                kept.append(depth)
 
     def _foreign_depth(self) -> int:
         """Depth of the outermost element of the foreign content that is open here, 0 outside of any."""
-        found = 0
-        for depth in range(len(self.open) - 1, 0, -1) if self.foreign else ():
-            name = self.tag[self.open[depth]]
-            if name in _HTML_AGAIN:
-                break
-            if name in _FOREIGN:
-                found = depth
-        return found
+        first = bisect_right(self.foreign, self.again[-1])
+        return self.foreign[first] if first < len(self.foreign) else 0
 
     def _end_head(self) -> None:
         if self.tag[self.open[-1]] == "head":
@@ -78,13 +95,9 @@ class Dom(HTMLParser):
         if tag not in INLINE:
             self.blocks += 1
             for ended in (_ENDS.get(tag, ()), ("p",) if tag != "br" else ()):
-                for depth in range(len(self.open) - 1, 0, -1):
-                    name = self.tag[self.open[depth]]
-                    if name in ended:
-                        self._close(depth)
-                        break
-                    if name in _SCOPE:
-                        break
+                depth = max((self.depths[name][-1] for name in ended if self.depths.get(name)), default=0)
+                if depth and depth >= self.scopes[-1]:
+                    self._close(depth)
         if tag in VOID:
             return
         found = {k: v for k, v in attrs if v}
@@ -92,9 +105,7 @@ class Dom(HTMLParser):
         tokens = tuple(t.lower() for t in _TOKEN.findall(_CAMEL.sub(" ", words))) if words.strip() else ()
         if "hidden" in dict(attrs) or found.get("aria-hidden") == "true":
             tokens += ("hidden",)
-        self.open.append(self._add(tag, tokens, "", found.get("data-main")))
-        self.hidden += tag in UNSEEN
-        self.foreign += tag in _FOREIGN
+        self._push(self._add(tag, tokens, "", found.get("data-main")), tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -104,10 +115,13 @@ class Dom(HTMLParser):
             self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[depth]] == tag:
-                self._close(depth)
-                return
+        if self.depths.get(tag):
+            self._close(self.depths[tag][-1])
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """A comment without an end takes the rest of the page."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
 
     def handle_data(self, data: str) -> None:
         if self.hidden and not data.isspace():

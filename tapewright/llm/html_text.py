@@ -54,6 +54,9 @@ LABELLED = (
     f'<body data-main="0"><table><tr><td>{_BAR}</td></tr><tr><td data-main="1"><h2>High water</h2>{_P}<ul><li>One boat was lost.</li></ul>{_P}</td><td data-main="0"><b>Popular</b><br>{_CARD}<br>{_CARD}</td></tr><tr><td>Copyright 2020 The paper. All rights reserved.</td></tr></table></body>',
     f'<body data-main="0"><div><a href="#">The Paper</a></div><div>{_BAR}</div><div><div data-main="1"><h1>High water</h1><div>{_TEXT}</div><div>{_TEXT}</div></div><div><div>Read next</div>{_CARD}</div></div><div>Imprint, contact, terms of use</div></body>',
     f'<body data-main="0"><p>{_BAR}</p><p>We use cookies. Please accept them.</p><div data-main="1"><h1>High water</h1>{_P}<h2>Then</h2>{_P}{_P}</div><p>Subscribe to our newsletter</p><p>Contact us. Privacy policy.</p></body>',
+    # Consent boxes, and lists of what readers say.
+    f'<body data-main="0"><div class="gdpr-modal consent" role="dialog"><h2>Your privacy</h2><p>We and our partners store cookies on your device. You may choose which of them we use.</p><button>Accept all</button></div><article data-main="1"><h1>High water</h1>{_P}{_P}</article><div class="responses"><h3>2 responses</h3><p>{_TEXT}</p>{_SAYS}</div></body>',
+    f'<body data-main="0"><ul class="menu">{_LINKS}</ul><div class="entry" data-main="1"><h1>High water</h1>{_P}<ol><li>One boat was lost.</li><li>The mill stands.</li></ol>{_P}</div><ol class="commentlist"><li class="comment"><p>{_TEXT}</p></li><li class="comment">{_SAYS}</li></ol><div class="modal overlay"><p>{_TEXT[:70]}</p></div></body>',
 )
 #: Tags that say little by themselves share one feature.
 _PLAIN = frozenset("div span section html body #page td tr table tbody".split())

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -12,6 +13,8 @@ import pytest
 
 import public_tokenizers
 from tapewright.llm import queries, whitening
+from tapewright.llm.dom import Dom
+from tapewright.llm.html_text import main_text, train
 from tapewright.llm.packing import Encoder, pack_documents
 from tapewright.llm.repair import Codes, align, repair_conversations
 from tapewright.llm.url_rules import Ranges, judge_urls
@@ -328,3 +331,49 @@ def test_packing_of_very_long_runs(spark):
     rows = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
     by_doc = {i: sum(r["length"] for r in rows if r["doc_id"] == i) for i in (1, 2, 3)}
     assert all(by_doc[r["doc_id"]] == r["doc_tokens"] for r in rows) and set(by_doc) == {1, 2, 3} and by_doc[1] > 1000
+
+
+# Broken pages and what must not leak into a main text
+
+
+BROKEN = {
+    "ends of nothing": "<b>" * 20_000 + "</i>" * 20_000, "tags without end": "<a " * 100_000, "ends without end": "</a " * 100_000, "quotes": '<a x="' * 100_000 + ">", "open comments": "<!--" * 100_000 + ">",
+    "declarations": "<?" * 100_000, "deep headings": "<b>" * 20_000 + "<h1></h1>" * 20_000, "deep foreign": "<svg>" + "<g>" * 20_000 + "<path/>" * 20_000, "far paragraph": "<p><table>" + "<b>" * 20_000 + "<h1></h1>" * 20_000,
+    "items": "<ul>" + "<li><b>" * 20_000, "less than": "< " * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_pages_take_linear_time(name):
+    def took(page):
+        began = time.process_time()
+        Dom(page)
+        return time.process_time() - began
+
+    page = BROKEN[name]
+    # A quadratic reading of the longest of these takes minutes.
+    assert took(page) < 12
+
+
+def test_unclosed_parts_are_left_out_as_in_browsers():
+    model = train()
+    article = "<article><h1>High water</h1><p>Rain fell on the hills for nine days, and the river rose until it reached the mill.</p></article>"
+    want = "High water Rain fell on the hills for nine days, and the river rose until it reached the mill."
+    for broken in ("<!-- never closed <p>Rain fell on the village as well.</p>", '<p class="x', "</div", "<select><option>Monday</option><option>Tuesday</option></select>"):
+        assert main_text(article + broken, model) == want, broken
+    assert main_text("<p>a < b and c > d</p>" + article, model).endswith(want)
+
+
+@pytest.mark.parametrize(
+    "box",
+    [
+        '<div class="gdpr-modal"><p>We use cookies and similar techniques to measure how this site is read.</p><button>Agree</button></div>',
+        '<div class="responses"><p>I lived there as a child and remember the river well, it was never that high.</p><p>Thank you!</p></div>',
+        '<ol class="commentlist"><li><p>I lived there as a child and remember the river well, it was never that high.</p></li><li><p>Same here.</p></li></ol>',
+    ],
+    ids=["consent", "responses", "commentlist"],
+)
+def test_boxes_do_not_leak(box):
+    text = "Rain fell on the hills for nine days, and the river rose until it reached the mill. Nobody had seen such water before."
+    for page in (f"<body><article><h1>High water</h1><p>{text}</p><p>{text}</p></article>{box}</body>", f'<body>{box}<div class="post"><h1>High water</h1><p>{text}</p><p>{text}</p></div></body>'):
+        assert main_text(page, train()) == f"High water {text} {text}"
