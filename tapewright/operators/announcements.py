@@ -54,6 +54,12 @@ def _listed(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda m: F.upper(F.trim(m))), lambda m: m != "")
 
 
+def _markets(text: Column) -> Column:
+    """Markets of a title with several coins: separated by commas or blanks, as they are written."""
+    plain = F.regexp_replace(F.regexp_replace(text, "마켓|[()]", ""), ",", " ")
+    return F.filter(F.split(plain, r"(?U)\s+"), lambda m: m != "")
+
+
 def parse_listings(announcements: DataFrame) -> DataFrame:
     """Symbol (one per title), markets, KRW flag and the form that matched; titles of no form are left out."""
     title = F.trim("title")
@@ -71,10 +77,10 @@ def parse_listings_multi(announcements: DataFrame) -> DataFrame:
     t = F.col("title")
     multi, names, paren, out_, single, coins = (MULTI_FORMS[k] for k in ("coin_and_markets", "coin", "markets_in_parenthesis", "markets_outside", "coin_and_market", "coin_list"))
     every = lambda form, group: F.regexp_extract_all(t, F.lit(form), F.lit(group))
-    same = lambda symbols, markets: F.transform(symbols, lambda s: F.struct(F.trim(s).alias("symbol"), _listed(markets).alias("markets")))
+    same = lambda symbols, markets: F.transform(symbols, lambda s: F.struct(F.trim(s).alias("symbol"), _markets(markets).alias("markets")))
     listed = F.filter(F.split(F.regexp_extract(t, coins, 2), ","), lambda s: ~F.trim(s).isin("", "..."))
     found = (
-        F.when(t.rlike(multi), F.zip_with(every(multi, 2), every(multi, 3), lambda s, m: F.struct(s.alias("symbol"), _listed(m).alias("markets"))))
+        F.when(t.rlike(multi), F.zip_with(every(multi, 2), every(multi, 3), lambda s, m: F.struct(s.alias("symbol"), _markets(m).alias("markets"))))
         .when(t.rlike(names) & t.rlike(paren), same(every(names, 2), F.regexp_extract(t, paren, 1)))
         .when(t.rlike(names) & t.rlike(out_), same(every(names, 2), F.regexp_extract(t, out_, 1)))
         .when(t.rlike(single), same(every(single, 2), F.regexp_extract(t, single, 3)))

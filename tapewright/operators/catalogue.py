@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +47,34 @@ def delisted_symbols(today: DataFrame, yesterday: DataFrame) -> DataFrame:
 
 def common_symbols(today: DataFrame, yesterday: DataFrame) -> DataFrame:
     return today.intersect(yesterday)
+
+
+_SYMBOL = ("exchange", "market_type", "symbol")
+
+
+def validity_intervals(snapshots: DataFrame) -> DataFrame:
+    """When symbols were listed, from snapshots (taken_ms, exchange, market_type, symbol): (exchange, market_type, symbol, from_ms, until_ms, listing).
+
+    An interval lasts from the snapshot that first shows a symbol to the next one of its market without it, which is when it ends
+    (null: still listed). A symbol that comes back gets another interval, counted by ``listing`` from 1. Days without any snapshot of a market say nothing.
+    """
+    seen = snapshots.select("taken_ms", *_SYMBOL).where("taken_ms is not null").distinct()
+    taken = seen.select("exchange", "market_type", "taken_ms").distinct()
+    calendar = Window.partitionBy("exchange", "market_type").orderBy("taken_ms")
+    taken = taken.select("*", F.row_number().over(calendar).alias("nth"), F.lead("taken_ms").over(calendar).alias("next_ms"))
+    rows = seen.join(taken, ["exchange", "market_type", "taken_ms"])
+    # Numbers of snapshots and of sightings run side by side while a symbol stays.
+    run = F.col("nth") - F.row_number().over(Window.partitionBy(*_SYMBOL).orderBy("taken_ms"))
+    found = rows.withColumn("run", run).groupBy(*_SYMBOL, "run").agg(F.min("taken_ms").alias("from_ms"), F.max_by("next_ms", "taken_ms").alias("until_ms"))
+    return found.select(*_SYMBOL, "from_ms", "until_ms", F.row_number().over(Window.partitionBy(*_SYMBOL).orderBy("from_ms")).alias("listing"))
+
+
+def trades_as_listed(trades: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Trades with the listing of their own time: ``listed_ms`` and ``listing``, null where the symbol was not listed then.
+
+    An equi-join on the symbol; a symbol has few intervals, of which one at most holds a trade's time.
+    """
+    of = intervals.select(*_SYMBOL, F.col("from_ms").alias("listed_ms"), "until_ms", "listing")
+    within = (trades["ts_ms"] >= of["listed_ms"]) & (of["until_ms"].isNull() | (trades["ts_ms"] < of["until_ms"]))
+    same = reduce(and_, (trades[c] == of[c] for c in _SYMBOL))
+    return trades.join(of, same & within, "left").select(*(trades[c] for c in trades.columns), "listed_ms", "listing")

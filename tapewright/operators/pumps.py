@@ -85,13 +85,16 @@ def pump_volume_stats(pump_trade_rows: DataFrame, *, keys: Sequence[str] = MARKE
 
 
 def pump_rollup(pumps: DataFrame) -> DataFrame:
-    """Counts and extremes over all pumps, by exchange, by market type and by time label; ``level`` says which."""
-    rows = pumps.withColumn("label", time_window_label(relative_seconds(F.col("start_ms"), F.col("trigger_ms")))).withColumn("strength", intensity(F.col("price_change"), F.lit(1.0)))
+    """Counts and extremes over all pumps, by exchange, by market type and by time label; ``level`` says which.
+
+    ``max_exchange`` is where the largest change was, of equal changes the earliest pump's.
+    """
+    rows = pumps.withColumn("label", time_window_label(relative_seconds(F.col("start_ms"), F.col("trigger_ms")))).withColumn("strength", intensity(F.col("price_change"), F.lit(1.0))).withColumn("venue", F.col("exchange"))
     sets = rows.groupingSets([[], [F.col("exchange")], [F.col("market_type")], [F.col("label")]], F.col("exchange"), F.col("market_type"), F.col("label"))
     level = F.when(F.grouping("exchange") == 0, "exchange").when(F.grouping("market_type") == 0, "market_type").when(F.grouping("label") == 0, "label").otherwise("all")
     return sets.agg(
         level.alias("level"), F.count(F.lit(1)).alias("pumps"), F.max("price_change").alias("max_change"), F.min("start_ms").alias("first_ms"), F.max("start_ms").alias("last_ms"),
-        F.round(F.avg("strength"), 4).alias("avg_intensity"), F.round(F.sum("volume"), 4).alias("volume"),
+        F.round(F.avg("strength"), 4).alias("avg_intensity"), F.round(F.sum("volume"), 4).alias("volume"), F.max_by("venue", F.struct(F.col("price_change"), -F.col("start_ms"), "venue")).alias("max_exchange"),
     )
 
 
@@ -103,9 +106,10 @@ def pump_metrics(trades: DataFrame, pumps: DataFrame, *, keys: Sequence[str] = M
         F.max_by(px, F.struct("ts_ms", "trade_id")).alias("end_price"), F.sum(qty).alias("v"), F.avg(qty).alias("avg_size"), F.max(qty).alias("max_size"),
         F.count_if(F.col("side") == "buy").alias("buys"), F.count_if(F.col("side") == "sell").alias("sells"),
     )
-    windows = windows.withColumn("mean_v", F.avg("v").over(Window.partitionBy(*keys)))
     ratio = lambda a, b: F.round(F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0), 5)
-    out = windows.join(pumps.select(*keys, "start_ms", "price_change"), [*keys, "start_ms"])
+    # A row a market: no task gathers a market's windows.
+    means = windows.groupBy(*keys).agg(F.avg("v").alias("mean_v"))
+    out = windows.join(pumps.select(*keys, "start_ms", "price_change"), [*keys, "start_ms"]).join(means, [*keys])
     return out.select(
         *keys, "start_ms", "price_change", "end_price", ratio(F.col("v"), F.col("mean_v")).alias("volume_spike"), F.round("avg_size", 5).alias("avg_size"), "max_size",
         ratio(F.col("buys").cast("double"), F.col("sells").cast("double")).alias("buy_sell_ratio"),

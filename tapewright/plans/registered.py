@@ -483,7 +483,7 @@ def _(s, d):
 @_query(
     "a11_pump_rollup",
     """SELECT exchange, market_type, label, CASE WHEN grouping(exchange) = 0 THEN 'exchange' WHEN grouping(market_type) = 0 THEN 'market_type' WHEN grouping(label) = 0 THEN 'label' ELSE 'all' END AS level, count(*) AS pumps, max(price_change) AS max_change,
-  min(start_ms) AS first_ms, max(start_ms) AS last_ms, round(avg(0.7 * price_change + 0.3), 4) AS avg_intensity, round(sum(volume), 4) AS volume
+  min(start_ms) AS first_ms, max(start_ms) AS last_ms, round(avg(0.7 * price_change + 0.3), 4) AS avg_intensity, round(sum(volume), 4) AS volume, arg_max(exchange, (price_change, -start_ms, exchange)) AS max_exchange
 FROM (SELECT *, CASE WHEN trunc((start_ms - trigger_ms) / 1000.0) <= -15 THEN 'early' WHEN trunc((start_ms - trigger_ms) / 1000.0) <= -10 THEN 'mid' WHEN trunc((start_ms - trigger_ms) / 1000.0) <= -5 THEN 'late' WHEN trunc((start_ms - trigger_ms) / 1000.0) <= 0 THEN 'final' ELSE 'post' END AS label FROM ep)
 GROUP BY GROUPING SETS ((), (exchange), (market_type), (label)) HAVING count(*) > 0""",
     *EVENTS,
@@ -874,3 +874,25 @@ FROM (SELECT exchange, count(*) FILTER (market_type = 'spot') AS spot, count(*)
   CASE WHEN max(ts_ms) >= 1704067459200 - 200 THEN 1 ELSE 0 END AS active FROM t GROUP BY 1) GROUP BY GROUPING SETS ((exchange), ())""",
     T,
 )(K.active_totals)
+_query(
+    "k07_retained_folders",
+    """SELECT event AS folder, CASE WHEN trigger_ms // 1000 * 1000 < 1704067320000 THEN 'removed' ELSE 'kept' END AS action FROM names UNION ALL SELECT event, 'would mark' FROM names WHERE trigger_ms // 1000 * 1000 < 1704067320000
+UNION ALL SELECT 'trades_export', 'kept'""",
+    T, LD, L, _NAMES,
+)(K.retained_folders)
+_VALID = """snaps AS (SELECT DISTINCT ts_ms // 1000 * 1000 AS taken_ms, exchange, market_type, symbol FROM t WHERE side = 'buy'),
+taken AS (SELECT exchange, market_type, taken_ms, row_number() OVER w AS nth, lead(taken_ms) OVER w AS next_ms FROM (SELECT DISTINCT exchange, market_type, taken_ms FROM snaps) WINDOW w AS (PARTITION BY exchange, market_type ORDER BY taken_ms)),
+runs AS (SELECT *, nth - row_number() OVER (PARTITION BY exchange, market_type, symbol ORDER BY taken_ms) AS run FROM snaps JOIN taken USING (exchange, market_type, taken_ms)),
+valid AS (SELECT exchange, market_type, symbol, min(taken_ms) AS from_ms, arg_max(coalesce(next_ms, 9000000000000), taken_ms) AS end_ms FROM runs GROUP BY exchange, market_type, symbol, run),
+listed_at AS (SELECT *, nullif(end_ms, 9000000000000) AS until_ms, row_number() OVER (PARTITION BY exchange, market_type, symbol ORDER BY from_ms) AS listing FROM valid)"""
+_query("u03_catalogue_intervals", "SELECT exchange, market_type, symbol, from_ms, until_ms, listing FROM listed_at", T, _VALID)(K.catalogue_intervals)
+_query(
+    "j01_trades_as_listed",
+    "SELECT t.trade_id, v.from_ms AS listed_ms, v.listing FROM t LEFT JOIN listed_at v ON v.exchange = t.exchange AND v.market_type = t.market_type AND v.symbol = t.symbol AND t.ts_ms >= v.from_ms AND t.ts_ms < v.end_ms",
+    T, _VALID,
+)(K.trades_by_listing)
+_query(
+    "x03_observed_feed",
+    """SELECT what, count(*) AS observed, count(*) AS stored FROM (SELECT 'trades' AS what FROM t UNION ALL SELECT CASE WHEN ts_ms % 4 = 2 AND exchange = 'binance' THEN 'not JSON' ELSE 'not a trade' END FROM t WHERE CAST(trade_id AS BIGINT) % 100 = 0) GROUP BY 1""",
+    T,
+)(K.observed_feed)

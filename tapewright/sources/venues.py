@@ -6,7 +6,7 @@ A decoder builds a column: from the message and its market type an array of trad
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,13 +118,17 @@ DECODERS: dict[str, Decoder] = {
 }
 
 
-def decode_all(raw_messages: DataFrame, decoders: dict[str, Decoder] | None = None) -> DataFrame:
-    """All venues' messages as trades with ``raw`` and ``reject`` (null for trades); an unknown venue's messages are rejected."""
+#: Why a message gives no trade.
+REJECTS = ("not JSON", "not a trade", "no data", "no symbol", "no price", "no quantity", "no time", "short item", "unknown venue")
+
+
+def decode_all(raw_messages: DataFrame, decoders: dict[str, Decoder] | None = None, *, keep: Sequence[str] = ()) -> DataFrame:
+    """All venues' messages as trades with ``raw`` and ``reject`` (null for trades) and what else is kept of the message; an unknown venue's messages are rejected."""
     items = F.when(F.col("exchange").isNull(), F.array(_rejected(F.lit("unknown venue"))))
     for venue, decode in (decoders or DECODERS).items():
         items = items.when(F.col("exchange") == venue, decode(F.col("raw"), F.col("market_type")))
-    rows = raw_messages.select("exchange", "market_type", "raw", F.explode(items.otherwise(F.array(_rejected(F.lit("unknown venue"))))).alias("d"))
-    return rows.select("exchange", "market_type", "d.symbol", "d.trade_id", "d.price", "d.quantity", "d.side", "d.ts_ms", "raw", "d.reject")
+    rows = raw_messages.select("exchange", "market_type", "raw", *keep, F.explode(items.otherwise(F.array(_rejected(F.lit("unknown venue"))))).alias("d"))
+    return rows.select("exchange", "market_type", "d.symbol", "d.trade_id", "d.price", "d.quantity", "d.side", "d.ts_ms", "raw", "d.reject", *keep)
 
 
 def ingest_trades(raw_messages: DataFrame, *, normalizer: Callable[[Column, Column], Column] | None = None, decoders: dict[str, Decoder] | None = None) -> DataFrame:

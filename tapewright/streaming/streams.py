@@ -12,9 +12,9 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tapewright.functions.numbers import strict_double
-from tapewright.functions.symbols import match_bases
+from tapewright.functions.symbols import match_bases, normalize_symbol
 from tapewright.schemas import RAW_MESSAGES
-from tapewright.sources.venues import ingest_trades
+from tapewright.sources.venues import REJECTS, decode_all, ingest_trades
 from tapewright.sources.writers import trade_rows
 
 #: How long a row may be late; state older than that is dropped.
@@ -71,9 +71,15 @@ def stream_success_horizons(calls: DataFrame, *, horizons: Sequence[tuple[str, s
 
 
 class FeedListener(StreamingQueryListener):
-    """Counts what streams have read and calls back on each batch; ``ended`` is set when a stream ends."""
+    """Counts what streams have read and calls back on each batch; ``ended`` is set when a stream ends.
 
-    def __init__(self, on_progress: Callable[[str, int, int], None] | None = None) -> None:
+    ``observed`` adds up the metrics that streams observe, by name (the largest of those whose name begins with ``max_``). ``on_update``
+    gets each batch's metrics and ``on_error`` the error that ended a stream.
+    """
+
+    def __init__(self, on_progress: Callable[[str, int, int], None] | None = None, *, on_update: Callable[[str, dict], None] | None = None, on_error: Callable[[str, str], None] | None = None) -> None:
+        self.observed: dict[str, dict[str, int]] = {}
+        self._on_update, self._on_error = on_update, on_error
         self.rows: dict[str, int] = {}
         self.batches: dict[str, int] = {}
         self.failures: dict[str, str] = {}
@@ -89,6 +95,13 @@ class FeedListener(StreamingQueryListener):
         self.batches[key] = self.batches.get(key, 0) + 1
         if self._on_progress is not None:
             self._on_progress(key, progress.batchId, progress.numInputRows)
+        for name, row in progress.observedMetrics.items():
+            seen = {k: v for k, v in row.asDict().items() if v is not None}
+            total = self.observed.setdefault(name, {})
+            for metric, value in seen.items():
+                total[metric] = max(total.get(metric, value), value) if metric.startswith("max_") else total.get(metric, 0) + value
+            if self._on_update is not None and seen:
+                self._on_update(name, seen)
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -96,6 +109,8 @@ class FeedListener(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         if event.exception:
             self.failures[str(event.id)] = str(event.exception)
+            if self._on_error is not None:
+                self._on_error(str(event.id), str(event.exception))
         self.ended.set()
 
 
@@ -117,3 +132,23 @@ def stream_sink(trades: DataFrame, path: str, checkpoint: str, *, interval: str
 
     writer = trades.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+
+
+def stream_feed(raw_messages: DataFrame, path: str, checkpoint: str, *, name: str = "feed", interval: str | None = "1 second") -> DataStreamWriter:
+    """Messages are decoded once, and trades and rejected messages written in one pass, in folders ``kind=trade`` and ``kind=reject``.
+
+    The same pass observes, under ``name``: trades, rejects by reason, and the longest time from a trade to its arrival. A
+    repeated batch replaces its folder.
+    """
+    rows = decode_all(raw_messages, keep=["received_ms"])
+    of = lambda reason: F.count_if(F.col("reject") == reason).alias(reason)
+    lag = F.max(F.when(F.col("reject").isNull(), F.col("received_ms") - F.col("ts_ms")))
+    rows = rows.observe(name, F.count_if(F.col("reject").isNull()).alias("trades"), lag.alias("max_lag_ms"), *map(of, REJECTS))
+    good = F.col("reject").isNull()
+    rows = rows.withColumns({"symbol": normalize_symbol(F.col("symbol")), "kind": F.when(good, "trade").otherwise("reject"), "raw": F.when(~good, F.col("raw"))})
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={batch_id}")
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
