@@ -19,6 +19,7 @@ from tapewright.operators import monitoring as M
 from tapewright.operators import pumps as W
 from tapewright.plans import fixtures as X
 from tapewright.plans import stored as K
+from tapewright.sources import open_messages as O
 from tapewright.sources import readers as R
 from tapewright.sources import venues as V
 
@@ -896,3 +897,11 @@ _query(
     """SELECT what, count(*) AS observed, count(*) AS stored FROM (SELECT 'trades' AS what FROM t UNION ALL SELECT CASE WHEN ts_ms % 4 = 2 AND exchange = 'binance' THEN 'not JSON' ELSE 'not a trade' END FROM t WHERE CAST(trade_id AS BIGINT) % 100 = 0) GROUP BY 1""",
     T,
 )(K.observed_feed)
+
+
+@_query("s07_open_messages", f"SELECT {_DECODED}, trade_id AS id_in_item FROM t", T)
+def _(s, d):
+    rows = O.ingest_open(X.raw_messages(s, d), keep_item=True)
+    item = F.col("item")
+    own = F.coalesce(*(O.at(item, path) for path in ("$.t", "$.i", "$.tradeId", "$.id")))
+    return rows.withColumn("id_in_item", own).drop("item")
