@@ -168,7 +168,10 @@ def _(s, d):
 @_query("x01_analyzer_by_name", "SELECT * FROM p", T, WIN, PUMPS)
 def _(s, d):
     registry.register_analyzer("strong pumps", lambda trades, **options: registry.analyze(trades, "pumps", **options))
-    return registry.analyze(X.trades(s, d), "strong pumps", min_trades=5)
+    try:
+        return registry.analyze(X.trades(s, d), "strong pumps", min_trades=5)
+    finally:
+        del registry.ANALYZERS["strong pumps"]
 
 
 @_query("x02_decoder_by_name", f"SELECT 'mirror' AS exchange, {_DECODED.removeprefix('exchange, ')} FROM t WHERE exchange = 'okx'", T)

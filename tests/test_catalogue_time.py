@@ -5,6 +5,7 @@ import pytest
 from tapewright.operators.announcements import parse_listings_multi
 from tapewright.operators.catalogue import trades_as_listed, validity_intervals
 from tapewright.schemas import RAW_MESSAGES
+from tapewright.sources.writers import export_tables_csv
 from tapewright.streaming import streams as Z
 
 SNAPSHOT = "taken_ms bigint, exchange string, market_type string, symbol string"
@@ -65,3 +66,9 @@ def test_a_feed_tells_updates_and_errors(spark, tmp_path):
         assert listener.ended.wait(60) and len(errors) == 1 and "gone wrong" in errors[0]
     finally:
         spark.streams.removeListener(listener)
+
+
+def test_exports_count_rows_and_not_lines(spark, tmp_path):
+    tables = {"notes": spark.createDataFrame([(1, "two\nlines"), (2, 'a "quoted"\n\n line')], "id int, text string"), "none": spark.createDataFrame([], "id int"), "bad": spark.range(3).selectExpr("raise_error('no') as x")}
+    rows = {r["table"]: (r["rows"], r["status"], r["run_status"]) for r in export_tables_csv(spark, tables, str(tmp_path)).collect()}
+    assert rows == {"notes": (2, "success", "partial"), "none": (0, "success", "partial"), "bad": (0, "failed", "partial")}
