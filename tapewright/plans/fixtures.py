@@ -190,3 +190,22 @@ def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 ERRORS_SQL = """log AS (
   SELECT exchange, market_type, ts_ms, ['connection reset by peer', 'Authentication failed for user', 'readMessage panic: out of memory', 'out of memory', 'timeout awaiting', 'table does not exist', 'something else'][(CAST(trade_id AS BIGINT) // 7) % 7 + 1] AS message
   FROM t WHERE CAST(trade_id AS BIGINT) % 7 = 0)"""
+
+
+#: Venue by customer modulo 6, and forms of a symbol by customer modulo 7; {b} is the base.
+SPELLINGS = ("{b}USDT", "{b}-USDT", "{b}_USDT", "{b}USDC", "S{b}USDT", "{b}EUR", "{b}ETH")
+
+
+def spelled_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair for each customer, at a venue and market type and in one of seven forms; every eleventh base is XBT."""
+    k = F.col("c_custkey")
+    base = F.when(k % 11 == 0, "XBT").otherwise(F.concat(F.lit("K"), k.cast("string")))
+    venue = F.element_at(F.array(*[F.lit(v) for v in ("binance", "bybit", "okx", "kucoin", "phemex", "gate")]), (F.pmod(k, F.lit(6)) + 1).cast("int"))
+    form = F.element_at(F.array(*[F.lit(f) for f in SPELLINGS]), (F.pmod(k, F.lit(7)) + 1).cast("int"))
+    market = F.when(F.floor(k / 6) % 2 == 0, "spot").otherwise("futures")
+    return table(spark, sf_dir, "customer").select(k.alias("id"), venue.alias("exchange"), market.alias("market_type"), F.concat(base, F.lit("USDT")).alias("symbol"), F.replace(form, F.lit("{b}"), base).alias("spelled"))
+
+
+SPELLED_SQL = """sp AS (
+  SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN 'XBT' ELSE concat('K', CAST(c_custkey AS VARCHAR)) END AS base, ['binance', 'bybit', 'okx', 'kucoin', 'phemex', 'gate'][c_custkey % 6 + 1] AS exchange,
+    CASE WHEN c_custkey // 6 % 2 = 0 THEN 'spot' ELSE 'futures' END AS market_type, c_custkey % 7 AS form FROM customer)"""

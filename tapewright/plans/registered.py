@@ -908,3 +908,34 @@ def _(s, d):
     item = F.col("item")
     own = F.coalesce(*(O.at(item, path) for path in ("$.t", "$.i", "$.tradeId", "$.id")))
     return rows.withColumn("id_in_item", own).drop("item")
+
+
+@_query(
+    "f02_f03_all_venues",
+    """SELECT id, exchange, market_type, concat(base, 'USDT') AS symbol,
+  CASE exchange WHEN 'okx' THEN concat(base, CASE market_type WHEN 'futures' THEN '-USDT-SWAP' ELSE '-USDT' END) WHEN 'kucoin' THEN CASE market_type WHEN 'futures' THEN concat(base, 'USDTM') ELSE concat(base, '-USDT') END
+    WHEN 'gate' THEN concat(base, '_USDT') WHEN 'phemex' THEN CASE market_type WHEN 'futures' THEN concat(base, 'USD') ELSE concat('s', base, 'USDT') END ELSE concat(base, 'USDT') END AS spelled,
+  CASE WHEN exchange = 'kucoin' AND market_type = 'futures' THEN CASE base WHEN 'XBT' THEN 'BTCUSDT' ELSE concat(base, 'USDTM') END ELSE concat(base, 'USDT') END AS back FROM sp""",
+    X.SPELLED_SQL,
+)
+def _(s, d):
+    spelled = S.format_symbol(F.col("symbol"), F.col("exchange"), F.col("market_type"))
+    return X.spelled_symbols(s, d).select("id", "exchange", "market_type", "symbol", spelled.alias("spelled"), S.normalize_symbol_by_venue(F.col("exchange"), spelled).alias("back"))
+
+
+@_query(
+    "f01_f08_spellings",
+    """SELECT id, spelled, upper(replace(replace(spelled, '-', ''), '_', '')) AS normal, CASE form WHEN 4 THEN concat('S', base) WHEN 5 THEN spelled ELSE base END AS base,
+  CASE form WHEN 1 THEN concat(base, '-') WHEN 2 THEN concat(base, '_') WHEN 4 THEN concat('S', base) ELSE base END AS base_of_pair, CASE form WHEN 3 THEN 'USDC' WHEN 5 THEN 'EUR' WHEN 6 THEN 'ETH' ELSE 'USDT' END AS quote,
+  form NOT IN (1, 2) AND length(spelled) <= 10 AS valid,
+  concat_ws(',', spelled, CASE form WHEN 0 THEN base WHEN 1 THEN concat(base, '-,', base) WHEN 2 THEN concat(base, '_,', base) WHEN 4 THEN concat('S', base, ',', base) END) AS names
+FROM (SELECT *, replace(['{b}USDT', '{b}-USDT', '{b}_USDT', '{b}USDC', 'S{b}USDT', '{b}EUR', '{b}ETH'][form + 1], '{b}', base) AS spelled FROM sp)""",
+    X.SPELLED_SQL,
+)
+def _(s, d):
+    c = F.col("spelled")
+    pair = S.base_quote(c)
+    return X.spelled_symbols(s, d).select(
+        "id", "spelled", S.normalize_symbol(c).alias("normal"), S.base_symbol(c).alias("base"), pair["base"].alias("base_of_pair"), pair["quote"].alias("quote"), S.is_valid_symbol(S.clean_symbol(c)).alias("valid"),
+        F.array_join(S.match_bases(c), ",").alias("names"),
+    )
