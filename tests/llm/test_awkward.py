@@ -124,4 +124,4 @@ def test_stages_on_empty_tables(spark, tmp_path):
 
 
 def test_queries_name_all_operators():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.queries()) == list(range(1, 14))
