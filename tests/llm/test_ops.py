@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -332,6 +333,21 @@ def test_cutting_stock_reaches_the_optimum():
         assert sum(n for _, n in cutting_stock.cutting_stock(h, 1024)) == best
 
 
+def test_linear_program_reaches_its_bound():
+    """Hundreds of lengths, most of them rare: the program ends by itself within one sequence of its bound."""
+    rng = random.Random(17)
+    for n in (300, 1500):
+        h = Counter(min(1 + int(rng.expovariate(1 / 260)), 1023) for _ in range(n))
+        sizes = np.array(sorted(h))
+        columns, count, least = cutting_stock.relaxed(sizes, np.array([h[s] for s in sizes.tolist()], dtype=float), 1024)
+        assert count.sum() - least <= 1 and (columns.T @ sizes <= 1024).all()
+        plan = cutting_stock.cutting_stock(h, 1024)
+        placed = Counter()
+        for lengths, times in plan:
+            placed.update({s: k * times for s, k in Counter(lengths).items()})
+        assert placed == h and sum(times for _, times in plan) <= math.ceil(least) + 2
+
+
 def test_column_generation_against_all_patterns():
     """The linear program over every pattern there is, by its dual: no prices that all patterns accept are worth more than the bound."""
     rng = random.Random(3)
