@@ -10,11 +10,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tapewright.llm import chat, cutting_stock, html_text, partenum, queries, toxicity
+from tapewright.llm import resample as resampling
 from tapewright.llm import words as W
 from tapewright.llm.decontaminate import PIECE, decontaminate, find_contamination
 from tapewright.llm.dom import Dom
@@ -386,10 +388,49 @@ def test_resample(spark):
     a, b = Counter(g for t in target for g in grams(t)), Counter(g for _, t in rows for g in grams(t))
     buckets = 1 << 20
     one = importance(frame(spark, rows), labels, buckets=buckets).where("doc_id = 2").first()
-    plain = np.mean([np.log((a[g] + 1) / (sum(a.values()) + buckets)) - np.log((b[g] + 1) / (sum(b.values()) + buckets)) for g in grams(rows[2][1])]) * 100
+    mean = importance(frame(spark, rows), labels, buckets=buckets, unit=100.0).where("doc_id = 2").first()
+    assert abs(mean["log_weight"] - one["log_weight"] * 100 / len(grams(rows[2][1]))) < 1e-3
+    plain = sum([np.log((a[g] + 1) / (sum(a.values()) + buckets)) - np.log((b[g] + 1) / (sum(b.values()) + buckets)) for g in grams(rows[2][1])])
     assert abs(one["log_weight"] - plain) < 0.02 * abs(plain)  # buckets collide now and then
 
 
+def test_counts_and_ratios_in_parts(monkeypatch):
+    """Counts that are added up many times, and blocks that go over batches, against plain arrays."""
+    monkeypatch.setattr(resampling, "_SETTLE", 50)
+    monkeypatch.setattr(resampling, "BLOCK", 16)
+    rng = random.Random(23)
+    texts = [None, "", *(" ".join(f"w{rng.randrange(90)}" for _ in range(rng.randrange(40))) for _ in range(60))]
+    flags = [rng.random() < 0.3 for _ in texts]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 7], pa.string()), "wanted": flags[i : i + 7]}) for i in range(0, len(texts), 7)]
+    buckets = 1 << 9
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    for text, flag in zip(texts, flags, strict=True):
+        data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+        bucket, _ = resampling._grams(data, np.array([0, len(data)]), buckets)
+        np.add.at(raw, bucket, 1), np.add.at(target, bucket, int(flag))
+    out = list(resampling._counted(buckets)(iter(batches)))
+    got = pa.Table.from_batches(out).sort_by("bucket")
+    assert len(out) > 1 and got["bucket"].to_pylist() == np.flatnonzero(raw).tolist()
+    assert np.array_equal(got["raw"].to_numpy(), raw[raw > 0]) and np.array_equal(got["target"].to_numpy(), target[raw > 0])
+    assert sum(len(b) for b in resampling._counted(buckets)(iter([]))) == 0
+    ratio = np.zeros(buckets, dtype=np.float32)
+    seen = []
+    for b in resampling._ratios(int(raw.sum()), int(target.sum()), buckets, 1.0)(iter(got.combine_chunks().to_batches(max_chunksize=11))):
+        for block, packed in zip(b["block"].to_pylist(), b["ratios"].to_pylist(), strict=True):
+            seen.append(block)
+            ratio[block * 16 : block * 16 + 16] = np.frombuffer(packed, dtype=np.float32)
+    plain = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    assert len(seen) == len(set(seen)) and np.allclose(ratio[raw > 0], plain[raw > 0], atol=1e-5)
+
+
+def test_bounded_target(spark):
+    """The rows of the least hashes, the same with and without what is left out before."""
+    ids = spark.range(50_000).select(F.col("id").alias("label_id"))
+    plain = sorted(r[0] for r in ids.orderBy(F.xxhash64("label_id"), "label_id").limit(5000).collect())
+    assert sorted(r["label_id"] for r in resampling._least_hashes(ids, "label_id", 5000).collect()) == plain
+    assert resampling._least_hashes(ids, "label_id", 60_000).count() == 50_000
+
+
 def test_resample_against_a_plain_model(spark):
     """Every weight and key of a table with ties, nulls and repeated rows, and what is kept."""
     rng = random.Random(11)
@@ -401,7 +442,7 @@ def test_resample_against_a_plain_model(spark):
     grams = lambda t: (w := (t or "").split()) + list(zip(w, w[1:]))
     good = {i for i, q, _ in labels if q and zlib.crc32(str(i).encode()) % 5}
     a, b = Counter(g for i, t in rows if i in good for g in grams(t)), Counter(g for _, t in rows for g in grams(t))
-    weight = lambda t: 100 * float(np.mean([np.log((a[g] + 1) / (sum(a.values()) + buckets)) - np.log((b[g] + 1) / (sum(b.values()) + buckets)) for g in grams(t)])) if grams(t) else 0.0
+    weight = lambda t: float(sum(np.log((a[g] + 1) / (sum(a.values()) + buckets)) - np.log((b[g] + 1) / (sum(b.values()) + buckets)) for g in grams(t)))
     assert np.allclose(sorted(r["log_weight"] for r in got), sorted(weight(t) for _, t in rows), atol=1e-3)
     keys = sorted((r["gumbel_key"] for r in got), reverse=True)
     least = keys[int(len(rows) * 0.4) - 1]
