@@ -5,7 +5,8 @@ that start every T // 2 words, so any run of T words lies in one window. Window
 five-word shingles. A template kept to ``CONTAINED`` within a window has a Jaccard similarity to it of at
 least about a third, and each of ``BANDS`` bands of one MinHash then agrees with that probability: all
 disagree with a probability below 1e-5. A window that agrees in a band is compared exactly: the share of
-the template's shingles, as words, that the window holds.
+the template's shingles, as words, that the window holds. SPDX tags, which may have only four words, are found by
+their exact names beside that.
 
 A band can agree only where the window holds the very shingle that is the template's minimum, so texts
 without any of these are left out by one overlap test in the scan; nothing is shuffled for them.
@@ -73,9 +74,17 @@ TEMPLATES = {
         "under the Apache 2.0 License",
         "SPDX-License-Identifier: Apache-2.0",
     ),
-    "BSD-2-Clause": ("under the BSD 2-Clause License", "under the 2-Clause BSD License", "under the Simplified BSD License", "SPDX-License-Identifier: BSD-2-Clause"),
+    # Both texts begin alike. In that of two clauses the disclaimer follows the clause on binary forms at once; in that of three the clause on names stands between.
+    "BSD-2-Clause": (
+        "provided with the distribution. THIS SOFTWARE IS PROVIDED BY",
+        "under the BSD 2-Clause License",
+        "under the 2-Clause BSD License",
+        "under the Simplified BSD License",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
     "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "under the BSD 3-Clause License",
         "under the 3-Clause BSD License",
         "SPDX-License-Identifier: BSD-3-Clause",
@@ -96,6 +105,18 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.", *_notices("Unlicense License")),
 }
 
+#: Names of licences in SPDX tags, lower-cased: those of the templates, and the GNU ones with what they allow.
+SPDX = {name.lower() + more: name for name in TEMPLATES for more in ("", *(("+", "-only", "-or-later") if "GPL" in name else ()))}
+#: A tag: its name is the group, full stops and hyphens at its end aside.
+TAG = "(?:^|[^a-z0-9])spdx[^a-z0-9]+license[^a-z0-9]+identifier[^a-z0-9]+([a-z0-9][a-z0-9.+-]*)"
+
+
+def tagged(text: Column) -> Column:
+    """Licences named by SPDX tags, by equal names. A tag of four words has no shingle, so this needs no window."""
+    known = F.create_map(*[F.lit(x) for pair in SPDX.items() for x in pair])
+    names = F.transform(F.regexp_extract_all(ascii_lower(text), F.lit(TAG), F.lit(1)), lambda x: F.element_at(known, F.regexp_replace(x, "[.-]+$", "")))
+    return F.array_distinct(F.filter(names, lambda x: x.isNotNull()))
+
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), "[^a-z0-9]+"), lambda w: w != "")
@@ -178,8 +199,10 @@ def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """One row per document: id, n_licenses, licenses (names, sorted, comma-joined; empty if none)."""
-    found = license_matches(docs, id_col=id_col, text_col=text_col, texts=texts)
+    """One row per document: id, n_licenses, licenses (names, sorted, comma-joined; empty if none), from matches and SPDX tags."""
+    found = license_matches(docs, id_col=id_col, text_col=text_col, texts=texts).select(id_col, "license")
+    if texts is None:
+        found = found.unionByName(docs.where(F.contains(ascii_lower(F.col(text_col)), F.lit("spdx"))).select(id_col, F.explode(tagged(F.col(text_col))).alias("license")))
     found = found.groupBy(F.col(id_col).alias("its_id")).agg(F.sort_array(F.collect_set("license")).alias("names"))
     ids = docs.select(id_col)
     out = ids.join(found, ids[id_col].eqNullSafe(found["its_id"]), "left")

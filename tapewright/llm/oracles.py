@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from tapewright.llm.exact_dedup import _LOWER, _UPPER
-from tapewright.llm.licenses import CONTAINED, SHINGLE, TEMPLATES
+from tapewright.llm.licenses import CONTAINED, SHINGLE, SPDX, TAG, TEMPLATES
 
 
 def _lower(text: str) -> str:
@@ -59,12 +59,13 @@ def _template_rows() -> str:
 
 OP8 = f"""
 WITH t(license, template, size, many, x) AS (VALUES {_template_rows()}),
-w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array({_lower("coalesce(text, '')")}, '[^a-z0-9]+'), lambda s: s <> '') AS w FROM documents),
+w AS (SELECT row_number() OVER () AS r, doc_id, text, list_filter(regexp_split_to_array({_lower("coalesce(text, '')")}, '[^a-z0-9]+'), lambda s: s <> '') AS w FROM documents),
 s AS (SELECT r, len(w) AS words, i - 1 AS pos, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - {SHINGLE} + 2)) AS i FROM w WHERE len(w) >= {SHINGLE})),
 m AS (SELECT r, words, pos, license, template, size, many, x, size // 2 AS step FROM s JOIN t USING (x)),
 v AS (SELECT *, unnest(range(greatest(0, pos + {SHINGLE} - size - step), pos + 1)) AS start FROM m),
 f AS (SELECT r, license FROM v WHERE start % step = 0 AND start <= greatest(words - size, 0) AND pos >= start AND pos + {SHINGLE} <= start + size + step
-  GROUP BY r, license, template, many, start HAVING count(DISTINCT x) >= {CONTAINED} * many)
+  GROUP BY r, license, template, many, start HAVING count(DISTINCT x) >= {CONTAINED} * many
+  UNION ALL SELECT r, license FROM (SELECT r, rtrim(unnest(regexp_extract_all({_lower("coalesce(text, '')")}, '{TAG}', 1)), '.-') AS tag FROM w) JOIN (VALUES {", ".join(str(x) for x in SPDX.items())}) AS names(tag, license) USING (tag))
 SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses FROM w LEFT JOIN (SELECT r, count(DISTINCT license) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM f GROUP BY 1) USING (r)
 """
 

@@ -526,8 +526,8 @@ def test_extract(spark, data):
 
 def test_licenses(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
-    long = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
-    rows = [(1, prose(500, 1) + f"\n{mit}\n" + prose(300, 2)), (2, gpl.upper() + " " + mit), (3, "released under the license"), (4, None), (5, ""), (6, prose(40, 3) + " " + long.replace("binary", "object") + " " + prose(40, 4))]
+    long = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    rows = [(1, prose(500, 1) + f"\n{mit}\n" + prose(300, 2)), (2, gpl.upper() + " " + mit), (3, "released under the license"), (4, None), (5, ""), (6, prose(40, 3) + " " + long.replace("may", "can").replace("endorse", "back").replace("products", "goods") + " " + prose(40, 4))]
     rows += [(7, prose(9, 5) + " " + long + " x"), (None, mit), (8, "mit " * 3000), (2, prose(5, 1))]
     got = sorted(((r["doc_id"], r["licenses"], r["n_licenses"]) for r in license_scan(frame(spark, rows)).collect()), key=repr)
     want = {1: "MIT", 2: "GPL-3.0,MIT", 7: "BSD-3-Clause", None: "MIT"}
@@ -536,6 +536,39 @@ def test_licenses(spark):
     assert found[7, "BSD-3-Clause"] == 1.0
 
 
+def test_whole_licence_texts_and_tags(spark):
+    """Whole texts of short licences, and tags with what stands around them; the names are written here, not taken from the templates."""
+    intro = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+    one = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+    two = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    three = "3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    end = '\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED.'
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.'
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    tag = "SPDX-License-Identifier: "
+    cases = [
+        (intro + one + two + end, "BSD-2-Clause"),
+        (intro + one + two + three + end, "BSD-3-Clause"),
+        (intro, ""),
+        (mit, "MIT"),
+        (isc, "ISC"),
+        (mit + "\n" + intro + one + two + end, "BSD-2-Clause,MIT"),
+        (tag + "MIT", "MIT"),
+        (f"# {tag.lower()}mit.\n", "MIT"),
+        (tag + "MIT-0", ""),
+        (tag + "ISC\n" + tag + "Unlicense", "ISC,Unlicense"),
+        (tag + "GPL-2.0-or-later", "GPL-2.0"),
+        (tag + "LGPL-2.1+", "LGPL-2.1"),
+        (tag + "MPL-2.0\n" + tag + "MPL-2.0", "MPL-2.0"),
+        ("xspdx-license-identifier: MIT", ""),
+        ("SPDX License Identifier", ""),
+    ]
+    for around in ("", prose(120, 9)):
+        rows = [(i, f"{around}\n{text}\n{around}") for i, (text, _) in enumerate(cases)] + [(None, tag + "MIT"), (99, None)]
+        got = {r["doc_id"]: r["licenses"] for r in license_scan(frame(spark, rows)).collect()}
+        assert got == {**{i: name for i, (_, name) in enumerate(cases)}, None: "MIT", 99: ""}
+
+
 def test_creative_commons_and_gnu_licenses(spark):
     texts = {
         "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
