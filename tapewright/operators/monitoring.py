@@ -85,21 +85,48 @@ def api_hourly(calls: DataFrame, *, key: str = "node", hours: int = 168) -> Data
     return out.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("hour_ms")))).where(F.col("nth") <= hours).drop("nth")
 
 
-_HOUR_MS = 3_600_000
+_MINUTE_MS, _HOUR_MS = 60_000, 3_600_000
+#: Horizons of the rolling rate, in minutes.
+_HORIZONS = (("success_1m", 1), ("success_5m", 5), ("success_1h", 60))
 
 
 def rolling_success(calls: DataFrame, *, key: str = "node", include_current: bool = True) -> DataFrame:
     """Success in per cent over the last minute, five minutes and hour of each call (bound excluded); 100 without calls.
 
-    Windows are kept within hours: each call is also seen by the hour after its own, so no key is sorted whole.
+    A call of unknown success is a failure; calls without a time see each other only. A call's horizon is what its own minute has had so far and the whole minutes before it, less what has left:
+    a call leaves a horizon of n minutes at the same place of the n-th minute after its own. So windows over calls are
+    kept within a minute of a key, whatever the horizon, and the minutes before come from one total per key and minute.
     """
-    hour = F.floor(F.col("ts_ms") / _HOUR_MS)
-    out = calls.withColumn("seen_by", F.explode(F.array(F.struct(hour.alias("hour"), F.lit(True).alias("own")), F.struct((hour + 1).alias("hour"), F.lit(False).alias("own"))))).withColumn("seen_hour", F.col("seen_by.hour"))
-    for name, ms in (("success_1m", 60_000), ("success_5m", 300_000), ("success_1h", _HOUR_MS)):
-        w = Window.partitionBy(key, "seen_hour").orderBy("ts_ms").rangeBetween(-ms + 1, 0 if include_current else -1)
-        rate = F.avg(F.when(F.col("success"), 100.0).otherwise(0.0)).over(w)
-        out = out.withColumn(name, F.round(F.coalesce(rate, F.lit(100.0)), 4))
-    return out.where("seen_by.own").drop("seen_by", "seen_hour")
+    minute = F.floor(F.col("ts_ms") / _MINUTE_MS)
+    ok = F.coalesce(F.col("success"), F.lit(False)).cast("int")
+    timed = calls.where(F.col("ts_ms").isNotNull())
+    totals = timed.groupBy(F.col(key).alias("_key"), minute.alias("_minute")).agg(F.count(F.lit(1)).alias("n"), F.sum(ok).alias("ok"))
+    # Totals are windowed within hours, each also seen by the hour after its own.
+    hour = F.floor(F.col("_minute") / 60)
+    seen = totals.withColumn("seen", F.explode(F.array(F.struct(hour.alias("hour"), F.lit(True).alias("own")), F.struct((hour + 1).alias("hour"), F.lit(False).alias("own")))))
+    before = {m: Window.partitionBy("_key", "seen.hour").orderBy("_minute").rangeBetween(-m, -1) for _, m in _HORIZONS}
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("ok"))
+
+    def part(n: Column, ok: Column) -> Column:
+        return F.struct(F.coalesce(n, F.lit(0)).cast("bigint").alias("n"), F.coalesce(ok, F.lit(0)).cast("bigint").alias("ok"))
+
+    held = seen.select("_key", "_minute", "seen.own", *[part(F.sum("n").over(w), F.sum("ok").over(w)).alias(f"_past_{m}") for m, w in before.items()]).where("own")
+    held = held.select("_key", "_minute", (F.col("_minute") * _MINUTE_MS).alias("_at"), none.alias("_now"), *[f"_past_{m}" for _, m in _HORIZONS])
+    one = part(F.lit(1), ok)
+    own = calls.select(F.col(key).alias("_key"), minute.alias("_minute"), F.col("ts_ms").alias("_at"), one.alias("_now"), *[none.alias(f"_past_{m}") for _, m in _HORIZONS], F.struct(*calls.columns).alias("_call"))
+    gone = timed.select(F.col(key).alias("_key"), one.alias("_one"), F.explode(F.array(*[F.struct(F.lit(m).alias("m"), (F.col("ts_ms") + m * _MINUTE_MS).alias("at")) for _, m in _HORIZONS])).alias("_left"))
+    less = part(-F.col("_one.n"), -F.col("_one.ok"))
+    gone = gone.select("_key", F.floor(F.col("_left.at") / _MINUTE_MS).alias("_minute"), F.col("_left.at").alias("_at"), none.alias("_now"), *[F.when(F.col("_left.m") == m, less).otherwise(none).alias(f"_past_{m}") for _, m in _HORIZONS])
+    rows = own.unionByName(held, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+    so_far = Window.partitionBy("_key", "_minute").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    earlier = so_far if include_current else Window.partitionBy("_key", "_minute").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+
+    def total(what: str, past: str) -> Column:
+        return F.coalesce(F.sum(f"_now.{what}").over(earlier), F.lit(0)) + F.sum(f"{past}.{what}").over(so_far)
+
+    out = rows.select("_call", *[total(what, f"_past_{m}").alias(f"_{what}_{m}") for _, m in _HORIZONS for what in ("n", "ok")]).where(F.col("_call").isNotNull())
+    rate = lambda m: F.round(F.when(F.col(f"_n_{m}") > 0, F.col(f"_ok_{m}") * 100.0 / F.col(f"_n_{m}")).otherwise(100.0), 4)
+    return out.select("_call.*", *[rate(m).alias(name) for name, m in _HORIZONS])
 
 
 def failure_streak(calls: DataFrame, *, key: str = "node") -> DataFrame:

@@ -16,10 +16,7 @@ TITLES = ("코인({b})(KRW, BTC, USDT 마켓)", "비체인(VET), 코인({b}) (BT
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One of fewer files than cores is read by as few tasks, so its rows are dealt to all cores first; larger tables are not shuffled."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-written rows for functions, decoders, operators and their documented quirks."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +186,24 @@ def test_monitoring(spark):
     assert M.recent_trades(trades(spark, burst(["1"] * 3)), 0).count() == 3
 
 
+@pytest.mark.parametrize("current", [True, False])
+def test_rolling_success_against_plain_counts(spark, current):
+    """Bursts, ties, calls at the bounds of minutes and horizons, a busy node, null nodes and unknown success."""
+    rng = random.Random(41)
+    times = [rng.randrange(4) * 3_600_000 + rng.choice([0, 59_999, 60_000, 299_999, 300_000, 300_001, rng.randrange(3_600_000)]) for _ in range(400)]
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), t, rng.choice([True, False, True, None])) for i, t in enumerate(times)]
+    calls = spark.createDataFrame(rows, "call_id int, node string, ts_ms bigint, success boolean")
+    got = {r["call_id"]: (r["success_1m"], r["success_5m"], r["success_1h"]) for r in M.rolling_success(calls, include_current=current).collect()}
+
+    def rate(node, at, width):
+        seen = [bool(s) for _, n, t, s in rows if n == node and at - width < t and (t <= at if current else t < at)]
+        return round(100.0 * sum(seen) / len(seen), 4) if seen else 100.0
+
+    want = {i: tuple(rate(n, t, w) for w in (60_000, 300_000, 3_600_000)) for i, n, t, _ in rows}
+    assert got.keys() == want.keys() and all(abs(x - y) < 1e-3 for i in want for x, y in zip(got[i], want[i], strict=True))
+
+
+
 def test_delays(spark):
     rows = [("n", i, 0, 1000 * ((7 * i) % 13), i) for i in range(300)] + [("m", 0, 0, 301_000, 0), ("m", 1, 0, 700_000, 1), ("m", 2, 0, 700_000, 2), ("m", 3, 0, 1, 3)]
     notices = spark.createDataFrame(rows, "node string, id bigint, announced_ms bigint, detected_ms bigint, processed_ms bigint")
