@@ -33,8 +33,8 @@ from tapewright.llm.scratch import Scratch
 from tapewright.llm.toxicity import fold
 
 
-#: Buckets whose ratios travel as one row; counts that a task holds before it adds them up.
-BLOCK, _SETTLE = 4096, 1 << 20
+#: Buckets whose ratios travel as one row; counts that a task holds before it adds them up; counts in one Arrow batch.
+BLOCK, _SETTLE, _SENT = 4096, 1 << 18, 1 << 16
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +75,8 @@ def _counted(buckets: int):
                     parts = [_added(parts)]
                     settled, held = len(parts[0][0]), 0
         bucket, raw, target = _added(parts)
-        for i in range(0, len(bucket), _SETTLE):
-            yield pa.RecordBatch.from_pydict({"bucket": bucket[i : i + _SETTLE], "raw": raw[i : i + _SETTLE], "target": target[i : i + _SETTLE]})
+        for i in range(0, len(bucket), _SENT):
+            yield pa.RecordBatch.from_pydict({"bucket": bucket[i : i + _SENT], "raw": raw[i : i + _SENT], "target": target[i : i + _SENT]})
 
     return run
 
@@ -134,12 +134,14 @@ def importance(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     if buckets is None:
         buckets = buckets_for(rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0)
     flagged = rows.join(F.broadcast(wanted), F.col("id") == F.col("label_id"), "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    counts = flagged.mapInArrow(_counted(buckets), "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    # A task sends each bucket once, so counts are not added up again before the shuffle.
+    counts = flagged.mapInArrow(_counted(buckets), "bucket bigint, raw bigint, target bigint").withColumn("block", F.floor(F.col("bucket") / BLOCK)).repartition("block")
+    counts = counts.groupBy("block", "bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     counts = scratch.save(counts, "counts")
     total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
     ratio = np.zeros(-(-buckets // BLOCK) * BLOCK, dtype=np.float32)
     if total["target"]:
-        blocks = counts.repartition(F.floor(F.col("bucket") / BLOCK)).sortWithinPartitions("bucket")
+        blocks = counts.repartition("block").sortWithinPartitions("bucket")
         # As many rows as there are blocks, 4,096 at most, of 16 KB.
         for r in blocks.mapInArrow(_ratios(total["raw"], total["target"], buckets, smoothing), "block bigint, ratios binary").collect():
             ratio[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["ratios"], dtype=np.float32)

@@ -397,6 +397,7 @@ def test_resample(spark):
 def test_counts_and_ratios_in_parts(monkeypatch):
     """Counts that are added up many times, and blocks that go over batches, against plain arrays."""
     monkeypatch.setattr(resampling, "_SETTLE", 50)
+    monkeypatch.setattr(resampling, "_SENT", 50)
     monkeypatch.setattr(resampling, "BLOCK", 16)
     rng = random.Random(23)
     texts = [None, "", *(" ".join(f"w{rng.randrange(90)}" for _ in range(rng.randrange(40))) for _ in range(60))]
