@@ -74,6 +74,19 @@ def collection_stats(found: DataFrame) -> DataFrame:
     )
 
 
+def window_stats(windows: DataFrame) -> DataFrame:
+    """``collection_stats`` from the windows of each event's markets."""
+    of = lambda kind: F.sum(F.when(F.col("market_type") == kind, F.col("trade_count")).otherwise(0))
+    return windows.groupBy("event_id", "exchange").agg(
+        of("spot").alias("spot_trades"), of("futures").alias("futures_trades"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), (F.sum("trade_count") > 0).alias("connected")
+    )
+
+
+def distinct_events(listings: DataFrame) -> bool:
+    """Whether each listing has an event_id of its own, so that ranges may stand for its rows."""
+    return listings.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or event_id is null").isEmpty()
+
+
 def listing_quality(stats: DataFrame) -> DataFrame:
     """Per event, from ``collection_stats`` rows with data_quality: totals, exchanges with trades, mean quality, seconds collected."""
     got = F.col("spot_trades") + F.col("futures_trades")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.numbers import floor_window, intensity, relative_seconds, strict_double, time_window_label
+from tapewright.functions.symbols import match_bases
+from tapewright.operators.ranges import range_pieces
 from tapewright.schemas import MARKET_TYPES, VENUES
 
 MARKET = ("exchange", "market_type", "symbol")
@@ -36,6 +38,11 @@ def detect_pumps(trades: DataFrame, *, keys: Sequence[str] = MARKET, pct: float
         t = trades.select(*keys, floor_window(F.col("ts_ms"), width_ms).alias("start_ms"), strict_double(F.col("price")).alias("px"), "ts_ms").where("px is not null")
         turns = t.groupBy(*keys, "start_ms").agg(F.min_by("ts_ms", F.struct("px", "ts_ms")).alias("low_ms"), F.max_by("ts_ms", F.struct(F.col("px"), -F.col("ts_ms"))).alias("high_ms"))
         windows = windows.join(turns, [*keys, "start_ms"]).where("high_ms > low_ms").drop("high_ms", "low_ms")
+    return pumps_in(windows, keys=keys, pct=pct, width_ms=width_ms, min_trades=min_trades)
+
+
+def pumps_in(windows: DataFrame, *, keys: Sequence[str] = MARKET, pct: float = 3.0, width_ms: int = 1000, min_trades: int = 5) -> DataFrame:
+    """Windows of enough trades whose price range reaches ``pct`` per cent of its low."""
     change = (F.col("max_price") - F.col("min_price")) / F.when(F.col("min_price") > 0, F.col("min_price")) * 100
     found = windows.where((F.col("trade_count") >= min_trades) & (F.col("min_price") > 0)).withColumn("change", change).where(F.col("change") >= pct)
     return found.select(
@@ -44,6 +51,26 @@ def detect_pumps(trades: DataFrame, *, keys: Sequence[str] = MARKET, pct: float
     )
 
 
+def event_windows(listings: DataFrame, trades: DataFrame, *, pre_ms: int = 20_000, post_ms: int = 20_000, width_ms: int = 1000) -> DataFrame:
+    """Window statistics of each listing's markets, as ``pump_windows`` has them of ``listing_trades``, and first and last time.
+
+    No trade is paired with a listing: windows are counted once a market and shared. Listings have an event_id of their own.
+    """
+    if pre_ms + post_ms < width_ms:
+        raise ValueError("a listing's interval must be at least as long as a window")
+    names = trades.select("symbol").distinct().withColumn("base", F.explode(match_bases(F.col("symbol"))))
+    targets = listings.select("event_id", "trigger_ms", F.col("symbol").alias("base")).join(names, "base").select(
+        "event_id", "trigger_ms", "symbol", (F.col("trigger_ms") - pre_ms).alias("from_ms"), (F.col("trigger_ms") + post_ms).alias("to_ms")
+    )
+    px, t = strict_double(F.col("price")), F.col("ts_ms")
+    ticks = trades.groupBy(*MARKET, "ts_ms").agg(F.count(F.lit(1)).alias("n"), F.min(px).alias("min_price"), F.max(px).alias("max_price"), F.sum(strict_double(F.col("quantity"))).alias("qty"))
+    totals = {"n": F.sum, "min_price": F.min, "max_price": F.max, "qty": F.sum, "first_ms": F.min, "last_ms": F.max}
+    pieces = range_pieces(targets, ticks.withColumns({"first_ms": t, "last_ms": t}), on="symbol", keys=MARKET, totals=totals, width_ms=width_ms)
+    return pieces.select(
+        "event_id", "trigger_ms", *MARKET, "start_ms", F.col("n").alias("trade_count"), "min_price", "max_price", F.round(F.coalesce("qty", F.lit(0.0)), 6).alias("volume"), "first_ms", "last_ms"
+    )
+
+
 def market_results(trades: DataFrame, *, keys: Sequence[str] = MARKET, pct: float = 3.0, width_ms: int = 1000, min_trades: int = 5) -> DataFrame:
     """Markets with pumps: all trades, volume of windows with enough trades, pumps, first and last time."""
     windows = pump_windows(trades, keys=keys, width_ms=width_ms)

@@ -82,8 +82,15 @@ def _lt(s: SparkSession, d: str) -> DataFrame:
     return J.listing_trades(X.listings(s, d), X.trades(s, d))
 
 
+def _windows(s: SparkSession, d: str) -> DataFrame | None:
+    """Windows of each listing's markets without its trades; None where listings share an id and their trades must be joined."""
+    listings = X.listings(s, d)
+    return W.event_windows(listings, X.trades(s, d)) if J.distinct_events(listings) else None
+
+
 def _ep(s: SparkSession, d: str) -> DataFrame:
-    return W.detect_pumps(_lt(s, d), keys=_EKEYS)
+    windows = _windows(s, d)
+    return W.detect_pumps(_lt(s, d), keys=_EKEYS) if windows is None else W.pumps_in(windows, keys=_EKEYS)
 
 
 def _ep_act(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
