@@ -9,8 +9,10 @@ Steps, each a Spark stage over all rows:
    blocks of at most ``BLOCK`` documents (by ``BLOCK_ELEMENTS`` elements if they are long) that each get a
    copy of the centre: work and rows grow with the number of documents, however large a group is;
 4. what is linked so far forms classes. Only centres whose documents lie in several classes go on: their
-   documents are dealt into blocks, large classes into blocks of their own, and pairs of blocks are compared
-   exactly unless both hold one class. A task gives a spanning forest of the links found, never the pairs;
+   documents are dealt into blocks of at most ``MEETING``, large classes into blocks of their own, and pairs of
+   blocks are compared exactly unless both hold one class. A document is one row for each centre up to that many
+   documents, and one for each block beyond. A task compares tiles of ``BLOCK`` of similar size and gives a
+   spanning forest of the links found, never the pairs;
 5. the connected components of all links carry each document's class.
 
 Similarity is judged on 64-bit hashes of shingles, not on their words, in integers: ``100 * intersection >= percent * union``.
@@ -40,6 +42,8 @@ from tapewright.llm.scratch import Scratch
 
 BLOCK = 512
 BLOCK_ELEMENTS = 1 << 20
+#: Documents of a block that meets other blocks; their elements are bounded too, so a task holds 16 MB of them.
+MEETING = 4096
 _COLUMNS = 2048
 #: Sets that a task remembers to leave out copies of them before the shuffle.
 _REMEMBERED = 1 << 17
@@ -155,6 +159,45 @@ def _forest(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _meet(ids: np.ndarray, own: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect what the links connect, of sets of two blocks only those across; at most one per set.
+
+    Sets meet in tiles sorted by size. Tiles too unlike in size, or connected already, are not compared.
+    """
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    tiles = []
+    for side in np.unique(own):
+        at = np.flatnonzero(own == side)
+        at = at[np.argsort(sizes[at], kind="stable")]
+        tiles.extend((side, at[k : k + BLOCK]) for k in range(0, len(at), BLOCK))
+    across = tiles[0][0] != tiles[-1][0]
+    root, out = list(range(len(sets))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for k, (side, a) in enumerate(tiles):
+        for other, b in tiles[k:]:
+            if across and side == other:
+                continue
+            if 100 * min(sizes[a].max(), sizes[b].max()) < percent * max(sizes[a].min(), sizes[b].min()):
+                continue
+            both = a if a is b else np.concatenate([a, b])
+            if len({find(i) for i in both.tolist()}) == 1:
+                continue
+            sides = np.zeros(len(both), dtype=np.int64)
+            sides[len(a) :] = 1
+            for i, j in _forest(both, _links([sets[i] for i in both.tolist()], sides, percent)):
+                p, q = find(i), find(j)
+                if p != q:
+                    root[q] = p
+                    out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
 def _as_edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     table = np.array(found, dtype=np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_pydict({"a": table[:, 0], "b": table[:, 1]})
@@ -197,7 +240,7 @@ def _verified(n: int, percent: int):
         if len(members) < 2:
             return []
         own, ids, sets = zip(*members, strict=True)
-        return _forest(np.array(ids), _links(list(sets), np.array(own), percent))
+        return _meet(np.array(ids), np.array(own), list(sets), percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
@@ -217,13 +260,13 @@ def _verified(n: int, percent: int):
     return run
 
 
-def _blocks(n: Column, elements: Column) -> Column:
-    return F.greatest(F.ceil(n / BLOCK), F.ceil(elements / BLOCK_ELEMENTS)).cast("int")
+def _blocks(n: Column, elements: Column, most: int) -> Column:
+    return F.greatest(F.ceil(n / most), F.ceil(elements / BLOCK_ELEMENTS)).cast("int")
 
 
 def _linked_to_centres(members: DataFrame, rows: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
     """Edges between members and their centres."""
-    groups = members.groupBy("centre").agg(_blocks(F.count(F.lit(1)), F.sum(F.col("size") + F.col("centre_size") / BLOCK)).alias("blocks"))
+    groups = members.groupBy("centre").agg(_blocks(F.count(F.lit(1)), F.sum(F.col("size") + F.col("centre_size") / BLOCK), BLOCK).alias("blocks"))
     groups = scratch.save(groups, "groups")
     dealt = members.join(groups, "centre").select(F.col("member").alias("id"), "centre", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("is_member"))
     leads = groups.select(F.col("centre").alias("id"), "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("is_member"))
@@ -232,21 +275,19 @@ def _linked_to_centres(members: DataFrame, rows: DataFrame, scratch: Scratch, sh
     return texts.repartition("centre", "block").sortWithinPartitions("centre", "block", "is_member").mapInArrow(_against_centre(shingle, percent), "a bigint, b bigint")
 
 
-def _linked_across_classes(members: DataFrame, classes: DataFrame, rows: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame | None:
-    """Edges between documents of one centre that lie in different classes so far; None if there are none to compare."""
-    own = members.select("centre", "member", "size").unionByName(members.select("centre", F.col("centre").alias("member"), F.col("centre_size").alias("size")).distinct())
-    tagged = own.join(classes, F.col("member") == F.col("node"), "left").select("centre", "member", "size", F.coalesce("component", "member").alias("class"))
-    tagged = scratch.save(tagged, "tagged")
+def _placed(tagged: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Rows (id, centre, own, i, j) of documents whose centre has several classes, one for each pair of blocks (i, j) in which they are compared; None if there are none."""
     parts = tagged.groupBy("centre", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
     parts = scratch.save(parts, "parts")
     several = parts.groupBy("centre").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("centre")
     several = scratch.save(several, "several")
     if several.isEmpty():
         return None
-    parts = parts.join(several, "centre").withColumn("blocks", _blocks(F.col("n"), F.col("elements")))
+    parts = parts.join(several, "centre").withColumn("blocks", _blocks(F.col("n"), F.col("elements"), MEETING))
     # Large classes have blocks of their own, numbered behind those that the small ones share.
     is_large = F.col("blocks") > 1
-    shared = parts.groupBy("centre").agg(_blocks(F.sum(F.when(~is_large, F.col("n")).otherwise(0)), F.sum(F.when(~is_large, F.col("elements")).otherwise(0))).alias("shared"), F.sum(F.when(is_large, F.col("blocks")).otherwise(0)).cast("int").alias("others"))
+    small = lambda c: F.sum(F.when(~is_large, F.col(c)).otherwise(0))
+    shared = parts.groupBy("centre").agg(_blocks(small("n"), small("elements"), MEETING).alias("shared"), F.sum(F.when(is_large, F.col("blocks")).otherwise(0)).cast("int").alias("others"))
     shared = scratch.save(shared.select("centre", "shared", (F.col("shared") + F.col("others")).alias("all_blocks")), "shared")
     before = Window.partitionBy("centre").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     large = parts.where(is_large).select("centre", "class", "blocks", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int").alias("first"))
@@ -256,7 +297,16 @@ def _linked_across_classes(members: DataFrame, classes: DataFrame, rows: DataFra
     block = F.when(F.col("first").isNotNull(), first + F.pmod(F.xxhash64("member"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("member"), F.col("shared"))).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda b: F.col("first").isNull() | (b < first) | (b >= first + F.col("blocks")))
     placed = placed.select(F.col("member").alias("id"), "centre", block.alias("own"), F.explode(others).alias("other"))
-    placed = placed.select("id", "centre", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return placed.select("id", "centre", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _linked_across_classes(members: DataFrame, classes: DataFrame, rows: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame | None:
+    """Edges between documents of one centre that lie in different classes so far; None if there are none to compare."""
+    own = members.select("centre", "member", "size").unionByName(members.select("centre", F.col("centre").alias("member"), F.col("centre_size").alias("size")).distinct())
+    tagged = own.join(classes, F.col("member") == F.col("node"), "left").select("centre", "member", "size", F.coalesce("component", "member").alias("class"))
+    placed = _placed(scratch.save(tagged, "tagged"), scratch)
+    if placed is None:
+        return None
     texts = placed.join(rows.hint("merge"), "id").select("centre", "i", "j", "own", "id", "text")
     return texts.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j").mapInArrow(_verified(shingle, percent), "a bigint, b bigint")
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tapewright.llm import chat, cutting_stock, html_text, partenum, queries, toxicity
+from tapewright.llm import chat, cutting_stock, html_text, near_dup, partenum, queries, toxicity
 from tapewright.llm import resample as resampling
 from tapewright.llm import words as W
 from tapewright.llm.decontaminate import PIECE, decontaminate, find_contamination
@@ -27,6 +27,7 @@ from tapewright.llm.near_dup import near_duplicates
 from tapewright.llm.packing import Encoder, pack_documents
 from tapewright.llm.repeats import covered_bytes, remove_repeats
 from tapewright.llm.resample import buckets_for, importance, largest, resample
+from tapewright.llm.scratch import Scratch
 from tapewright.llm.toxicity import fit, fold
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -131,6 +132,40 @@ def test_jaccard_join_of_a_large_group(spark):
     assert got == {i: c for i, (_, c) in components(rows, 4, 85).items()}
 
 
+def test_jaccard_join_places_a_document_once_for_each_centre(spark):
+    """1,500 documents that share a centre and are not linked with it are one row each, not one for each block of 512."""
+    tagged = spark.range(1500).select(F.lit(-1).cast("bigint").alias("centre"), F.col("id").alias("member"), F.lit(100).cast("bigint").alias("size"), F.col("id").alias("class"))
+    assert near_dup._placed(tagged, Scratch(spark, "placed")).count() == 1500
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_jaccard_join_meets_in_tiles(monkeypatch, sides):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    kernels = [np.arange(k * 1000, k * 1000 + 10 + 20 * k, dtype=np.uint64) for k in range(5)]
+    sets = []
+    for k in range(70):
+        own = kernels[k % 5].copy()
+        at = rng.choice(len(own), rng.integers(0, 1 + len(own) // 6), replace=False)
+        own[at] = rng.integers(10**6, 10**9, len(at))
+        sets.append(np.unique(own))
+    side, ids = np.arange(70) // 7 % sides, np.arange(70) * 3
+    edges = near_dup._meet(ids, side, sets, 80)
+    parts = lambda pairs: {i: min(c) for c in joined(70, pairs) for i in c}
+    linked = [(i, j) for i, j in itertools.combinations(range(70), 2) if (sides == 1 or side[i] != side[j]) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    assert len(edges) < 70 < len(linked)
+    assert parts([(i // 3, j // 3) for i, j in edges]) == parts(linked)
+
+
+def joined(n, pairs):
+    groups = {i: {i} for i in range(n)}
+    for i, j in pairs:
+        both = groups[i] | groups[j]
+        for k in both:
+            groups[k] = both
+    return list(groups.values())
+
+
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_partenum_guarantee(percent):
     rng = np.random.default_rng(3)
