@@ -23,8 +23,12 @@ def trade_rows(trades: DataFrame) -> DataFrame:
 
 
 def write_trades(trades: DataFrame, path: str, *, mode: str = "append") -> None:
-    """Day partitions, sorted by symbol and time within files so that row groups can be skipped."""
-    trade_rows(trades).repartition("dt", F.pmod(F.xxhash64("symbol"), F.lit(16))).sortWithinPartitions("dt", "symbol", "ts_ms").write.mode(mode).partitionBy("dt").parquet(path)
+    """Day partitions, sorted by symbol and time within files so that row groups can be skipped.
+
+    A day's symbols are dealt to 16 parts, of which adaptive execution splits large ones, so that no task sorts a day or a symbol whole.
+    """
+    rows = trade_rows(trades).withColumn("part", F.pmod(F.xxhash64("symbol"), F.lit(16)))
+    rows.hint("rebalance", "dt", "part").drop("part").sortWithinPartitions("dt", "symbol", "ts_ms").write.mode(mode).partitionBy("dt").parquet(path)
 
 
 def write_listings(listings: DataFrame, path: str, stored_ms: int, *, mode: str = "append") -> None:

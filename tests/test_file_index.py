@@ -95,3 +95,20 @@ def test_vanished_files_and_rows_without_values(spark, tmp_path):
     assert named == {f"file://{f}" for f in parquet_files(path)}
     assert {r["symbol"] for r in FI.read_indexed(spark, path, index, from_ms=START, to_ms=START).collect()} == {None, "B"}
     assert [r["symbol"] for r in FI.read_indexed(spark, path, index, symbol="B").collect()] == ["B"] and FI.read_indexed(spark, path, index, symbol="A").collect() == []
+
+
+def test_no_task_writes_a_large_symbol_whole(spark, tmp_path):
+    at = F.lit(1704067200000) + F.col("id")
+    trades = spark.range(0, 40_000, 1, 8).select(
+        F.lit("okx").alias("exchange"), F.lit("spot").alias("market_type"), F.lit("SYM1USDT").alias("symbol"), F.col("id").cast("string").alias("trade_id"),
+        F.lit("1.5").alias("price"), F.lit("2").alias("quantity"), F.lit("buy").alias("side"), at.alias("ts_ms"),
+    )
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        K.write_trades(trades, str(tmp_path / "t"))
+    finally:
+        spark.conf.set(size, before)
+    rows = spark.read.parquet(str(tmp_path / "t")).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(rows) > 2 and sum(r["n"] for r in rows) == 40_000 and max(r["n"] for r in rows) <= 20_000
