@@ -44,3 +44,12 @@ def test_against_sql(spark, larger, duck, name):
 
 def test_flagship(spark, data):
     assert registered.flagship(spark, data).count() > 0
+
+
+def test_actor_trades_are_not_cut_from_all_listing_trades(spark, data, monkeypatch):
+    """j05 pairs the trades of an event's actors only; pairs of the whole interval, four times as many, are not made."""
+    def never(*_):
+        raise AssertionError("all trades of all listings were joined")
+
+    monkeypatch.setattr(registered, "_lt", never)
+    assert registered.queries()["j05_actor_window_trades"](spark, data).columns == ["event_id", "exchange", "trade_id", "ts_ms", "first_pump_ms"]
