@@ -48,6 +48,7 @@ def test_flagship(spark, data):
 
 def test_actor_trades_are_not_cut_from_all_listing_trades(spark, data, monkeypatch):
     """j05 pairs the trades of an event's actors only; pairs of the whole interval, four times as many, are not made."""
+
     def never(*_):
         raise AssertionError("all trades of all listings were joined")
 
