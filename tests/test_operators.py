@@ -160,6 +160,16 @@ def test_interval_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_interval_join_deals_one_files_trades(spark, broadcast):
+    """Trades that lie in one part, of one coin and within one interval, meet their listings in many tasks."""
+    listing = spark.createDataFrame([(f"e{i}", "A", 50_000 + i, None) for i in range(50)], "event_id string, symbol string, trigger_ms bigint, detected_ms bigint")
+    rows = trades(spark, [(None, "okx", "spot", "AUSDT", str(i), "1", "1", "buy", 41_000 + 30 * i, None) for i in range(600)]).drop("event_id", "trigger_ms").coalesce(1)
+    found = J.listing_trades(listing, rows, broadcast=broadcast).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in found) == 600 * 50
+    assert len(found) >= 6 and max(r["n"] for r in found) < 600 * 50 / 3
+
+
 def test_catalogue(spark):
     rows = spark.createDataFrame([("kucoin", "futures", "BTCUSDTM"), ("binance", "spot", "BTCUSDT"), ("okx", "spot", "ETH-USDT")], "exchange string, market_type string, symbol string")
     home = spark.createDataFrame([("BTC",)], "base string")
