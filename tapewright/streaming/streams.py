@@ -19,6 +19,8 @@ from tapewright.sources.writers import trade_rows
 
 #: How long a row may be late; state older than that is dropped.
 HISTORY = "20 minutes"
+#: Seconds of a bucket in which a listing waits for trades.
+BUCKET_S = 5
 
 
 def stream_trades(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -42,11 +44,16 @@ def stream_pumps(trades: DataFrame, *, pct: float = 3.0, width: str = "1 second"
 
 
 def stream_listing_trades(listings: DataFrame, trades: DataFrame, *, pre: str = "20 seconds", post: str = "20 seconds", late: str = HISTORY) -> DataFrame:
-    """Interval join of the two streams; both watermarks bound its state, rows come once the interval is complete."""
+    """Interval join of the two streams; both watermarks bound its state, rows come once the interval is complete.
+
+    A listing waits in each of the time buckets that its interval touches, so a trade looks at the listings near it, not at all of its coin.
+    """
     wanted = listings.select("event_id", F.col("symbol").alias("base"), "trigger_ms", F.timestamp_millis("trigger_ms").alias("trigger_ts")).withWatermark("trigger_ts", late)
     named = with_time(trades, late=late).withColumn("name", F.explode(match_bases(F.col("symbol"))))
-    near = F.expr(f"name = base and ts between trigger_ts - interval {pre} and trigger_ts + interval {post}")
-    return named.join(wanted, near).drop("name", "base", "ts", "trigger_ts")
+    bucket = lambda t: F.floor(F.unix_seconds(t) / BUCKET_S)
+    wanted = wanted.withColumn("near", F.explode(F.sequence(bucket(F.expr(f"trigger_ts - interval {pre}")), bucket(F.expr(f"trigger_ts + interval {post}")))))
+    within = F.expr(f"name = base and bucket = near and ts between trigger_ts - interval {pre} and trigger_ts + interval {post}")
+    return named.withColumn("bucket", bucket(F.col("ts"))).join(wanted, within).drop("name", "base", "bucket", "near", "ts", "trigger_ts")
 
 
 def stream_dedup_notices(notices: DataFrame, *, ttl: str = "24 hours") -> DataFrame:
