@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.functions.numbers import parse_notice_time
+from tapewright.functions.numbers import floor_window, parse_notice_time
+from tapewright.operators.ranges import range_pieces
 from tapewright.schemas import NOTICES_JSON
+from tapewright.sources.writers import ARCHIVE_BLOCK_MS
 
 
 def _day(ms: int) -> Column:
@@ -20,9 +22,28 @@ def read_trades(spark: SparkSession, path: str, from_ms: int, to_ms: int) -> Dat
     return spark.read.parquet(path).where(F.col("dt").between(_day(from_ms), _day(to_ms)) & F.col("ts_ms").between(from_ms, to_ms))
 
 
-def read_event_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Trades of archived events; event, exchange and market type come from the partition folders."""
-    return spark.read.option("basePath", path).json(f"{path}/event=*/exchange=*/market_type=*").withColumnRenamed("event", "event_key")
+ARCHIVED_EVENTS = "event_id string, event string, base string, trigger_ms bigint, from_ms bigint, to_ms bigint"
+ARCHIVED_TRADES = "exchange string, market_type string, symbol string, trade_id string, price string, quantity string, side string, ts_ms bigint, base string, block bigint"
+
+
+def read_event_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Archived events with their intervals, and the trades of their coins (``base``), each once; ``event_trades`` joins the two."""
+    return spark.read.schema(ARCHIVED_EVENTS).json(f"{path}/events"), spark.read.schema(ARCHIVED_TRADES).json(f"{path}/raw")
+
+
+def event_trades(events: DataFrame, trades: DataFrame) -> DataFrame:
+    """Each archived event's own trades: those of its coin within its interval, of the blocks that it touches."""
+    touched = F.sequence(floor_window(F.col("from_ms"), ARCHIVE_BLOCK_MS), floor_window(F.col("to_ms"), ARCHIVE_BLOCK_MS), F.lit(ARCHIVE_BLOCK_MS).cast("bigint"))
+    near = events.withColumn("block", F.explode(touched))
+    return trades.join(near, ["base", "block"]).where(F.col("ts_ms").between(F.col("from_ms"), F.col("to_ms"))).drop("base", "block", "from_ms", "to_ms")
+
+
+def archived_counts(events: DataFrame, trades: DataFrame) -> DataFrame:
+    """Trades and first time of each event, exchange and market type, without a row for each pair of event and trade."""
+    keys = ["base", "exchange", "market_type"]
+    ticks = trades.groupBy(*keys, "ts_ms").agg(F.count(F.lit(1)).alias("n")).withColumn("first_ms", F.col("ts_ms"))
+    pieces = range_pieces(events.select("event_id", "base", "from_ms", "to_ms"), ticks, on="base", keys=keys, totals={"n": F.sum, "first_ms": F.min})
+    return pieces.groupBy("event_id", "exchange", "market_type").agg(F.sum("n").alias("trades"), F.min("first_ms").alias("first_ms"))
 
 
 def read_event_files(spark: SparkSession, path: str) -> DataFrame:

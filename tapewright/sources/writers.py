@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.functions.numbers import event_key, strict_double
+from tapewright.functions.numbers import event_key, floor_window, strict_double
+from tapewright.functions.symbols import match_bases
 from tapewright.operators.pumps import MARKET
 
+#: Milliseconds of the blocks in which an archive stores a coin's trades.
+ARCHIVE_BLOCK_MS = 10_000
+
 
 def _day(ms: Column) -> Column:
     return F.to_date(F.timestamp_millis(ms))
@@ -57,16 +61,20 @@ def write_metrics(metrics: DataFrame, path: str, *, mode: str = "append") -> Non
     metrics.withColumn("dt", _day(F.col("ts_ms"))).write.mode(mode).partitionBy("dt").parquet(path)
 
 
-def write_event_archive(found: DataFrame, reports: dict[str, DataFrame], path: str) -> None:
-    """Trades of events as JSON by event, exchange and market type under raw/, and each report as its own dataset.
+def write_event_archive(listings: DataFrame, trades: DataFrame, reports: dict[str, DataFrame], path: str, *, pre_ms: int = 20_000, post_ms: int = 20_000) -> None:
+    """Events with their intervals under events/, the trades around them as JSON by coin and block of time under raw/, and each report as its own dataset.
 
-    Rows of one folder meet in few tasks, else every task would write a file to every folder; adaptive execution splits large ones.
+    Events of one coin overlap: a trade is stored once a coin, not once an event, so the archive grows with trades and events and not
+    with their pairs. Rows of one folder meet in few tasks, else every task would write a file to every folder.
     """
-    rows = found.withColumn("event", event_key(F.regexp_replace("symbol", "USDT$", ""), F.col("trigger_ms")))
-    folders = ("event", "exchange", "market_type")
-    rows.hint("rebalance", *folders).write.mode("overwrite").partitionBy(*folders).json(f"{path}/raw")
-    for name, report in reports.items():
-        report.write.mode("overwrite").json(f"{path}/{name}")
+    at, second = F.col("trigger_ms"), F.col("ts_ms")
+    events = listings.select("event_id", event_key(F.regexp_replace("symbol", "USDT$", ""), at).alias("event"), F.col("symbol").alias("base"), "trigger_ms", (at - pre_ms).alias("from_ms"), (at + post_ms).alias("to_ms"))
+    block = lambda t: floor_window(t, ARCHIVE_BLOCK_MS)
+    wanted = events.select("base", F.explode(F.sequence(block(F.col("from_ms")), block(F.col("to_ms")), F.lit(ARCHIVE_BLOCK_MS).cast("bigint"))).alias("block")).distinct()
+    rows = trades.withColumns({"base": F.explode(match_bases(F.col("symbol"))), "block": block(second)}).join(wanted, ["base", "block"], "left_semi")
+    rows.hint("rebalance", "base", "block").write.mode("overwrite").option("compression", "gzip").partitionBy("base", "block").json(f"{path}/raw")
+    for name, report in {"events": events, **reports}.items():
+        report.write.mode("overwrite").option("compression", "gzip").json(f"{path}/{name}")
 
 
 def export_tables_csv(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> DataFrame:
