@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from tapewright.functions.numbers import event_key
+from tapewright.functions.numbers import event_key, floor_window
+from tapewright.functions.symbols import match_bases
 from tapewright.operators.actors import actor_behaviour, exchange_comparison, exchange_insights, rank_actors
 from tapewright.operators.pumps import pump_summary
 from tapewright.schemas import MARKET_TYPES, VENUES
@@ -237,6 +238,35 @@ def event_names(listings: DataFrame) -> DataFrame:
     return listings.select("event_id", event_key(numbered, F.col("trigger_ms")).alias("event"))
 
 
+def shared_rows(listings: DataFrame, trades: DataFrame, *, pre_ms: int = 20_000, post_ms: int = 20_000, block_ms: int = 10_000) -> DataFrame:
+    """An archive's rows where events overlap: raw trades in a folder for each coin and block of time, not once for each event.
+
+    An event's folder has its interval and the folders of its blocks in ``metadata.json``; ``read_event`` reads them.
+    """
+    block = lambda t: floor_window(t, block_ms)
+    folder = lambda base, at: event_key(F.concat(base, F.lit("~"), at.cast("string")), at)
+    step = F.lit(block_ms).cast("bigint")
+    spans = listings.select("event_id", F.col("symbol").alias("base"), (F.col("trigger_ms") - pre_ms).alias("from_ms"), (F.col("trigger_ms") + post_ms).alias("to_ms"))
+    spans = spans.withColumn("at", F.sequence(block(F.col("from_ms")), block(F.col("to_ms")), step))
+    base = F.col("base")
+    body = F.to_json(F.struct("event_id", base.alias("symbol"), "from_ms", "to_ms", F.transform("at", lambda t: folder(base, t)).alias("blocks")))
+    meta = spans.join(event_names(listings), "event_id").select("event", F.lit("metadata.json").alias("file"), F.lit(None).cast("bigint").alias("nth"), body.alias("body"))
+    wanted = spans.select("base", F.explode("at").alias("at")).distinct()
+    found = trades.withColumns({"base": F.explode(match_bases(F.col("symbol"))), "at": block(F.col("ts_ms"))}).join(wanted, ["base", "at"], "left_semi")
+    trade = F.to_json(F.struct("exchange", "market_type", "symbol", "trade_id", "price", "quantity", "side", F.col("ts_ms").alias("timestamp")))
+    return meta.unionByName(found.select(folder(base, F.col("at")).alias("event"), F.format_string("raw/%s/%s.json", "exchange", "market_type").alias("file"), F.col("ts_ms").alias("nth"), trade.alias("body")))
+
+
+def read_event(spark: SparkSession, path: str, event: str, *, market_type: str | None = None) -> DataFrame:
+    """Trades (file, body) of one event of an archive of ``shared_rows``; with pushed filters only its blocks' files are opened."""
+    file = F.col("file")
+    meta = json.loads(read_archive(spark, path).where((F.col("event") == event) & (file == "metadata.json")).first()["body"])
+    kind = file.endswith(f"/{market_type}.json") if market_type else F.lit(True)
+    rows = read_archive(spark, path).where(F.col("event").isin(meta["blocks"]) & file.startswith("raw/") & (F.col("nth") >= 0) & kind)
+    at = F.get_json_object("body", "$.timestamp").cast("bigint")
+    return rows.where(at.between(meta["from_ms"], meta["to_ms"])).select(F.lit(event).alias("event"), "file", "body")
+
+
 def _time(ms: str | Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
 

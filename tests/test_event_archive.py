@@ -4,8 +4,12 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from tapewright.operators.collect import listing_trades
+from tapewright.plans import stored
 from tapewright.sources import event_archive as EA
+from tapewright.sources import readers, writers
 
 A, B = "TIA_20240904_143052", "SUI-2_20240101_000000"
 
@@ -87,3 +91,49 @@ def test_filters_choose_folders_and_files(tmp_path):
 def test_listings_of_one_second_get_folders_of_their_own(spark):
     listings = spark.createDataFrame([("1", "SYMUSDT", 1725460252100), ("2", "SYM", 1725460252900), ("3", "SYM", 1725460253000)], "event_id string, symbol string, trigger_ms bigint")
     assert {tuple(r) for r in EA.event_names(listings).collect()} == {("1", "SYM_20240904_143052"), ("2", "SYM-2_20240904_143052"), ("3", "SYM_20240904_143053")}
+
+
+@pytest.fixture()
+def overlapping(spark):
+    """Fifty listings of one coin within half a second, one with no trades, and two that share an id."""
+    marks = [(f"e{i}", "A", 53_000 + 10 * i) for i in range(50)] + [("none", "C", 53_000), ("twice", "A", 53_000), ("twice", "A", 61_000), ("later", "A", None)]
+    rows = [("okx" if i % 3 else "gate", "spot" if i % 2 else "futures", "AUSDT", str(i), "1", "2", "buy", 30_000 + 97 * i) for i in range(600)]
+    listings = spark.createDataFrame(marks, "event_id string, symbol string, trigger_ms bigint")
+    return listings, spark.createDataFrame(rows, "exchange string, market_type string, symbol string, trade_id string, price string, quantity string, side string, ts_ms bigint")
+
+
+def test_overlapping_events_store_a_trade_once(spark, tmp_path, overlapping):
+    listings, trades = overlapping
+    writers.write_event_archive(listings, trades, {}, str(tmp_path))
+    events, stored = readers.read_event_archive(spark, str(tmp_path))
+    assert stored.count() == stored.select("trade_id").distinct().count() <= 600
+    joined = listing_trades(listings, trades)
+    pairs = lambda rows: sorted(map(tuple, rows.select("event_id", "trade_id", "price", "side", "trigger_ms").collect()))
+    assert pairs(readers.event_trades(events, stored)) == pairs(joined) and joined.count() > 15_000
+    want = joined.groupBy("event_id", "exchange", "market_type").agg(F.count("*").alias("trades"), F.min("ts_ms").alias("first_ms"))
+    got = readers.archived_counts(events, stored)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_one_event_is_read_from_shared_blocks(spark, tmp_path, overlapping):
+    listings, trades = overlapping
+    listings = listings.where("event_id <> 'twice' and trigger_ms is not null")
+    rows = EA.shared_rows(listings, trades)
+    assert rows.where("file like 'raw/%'").count() <= 600
+    EA.write_archive(rows, str(tmp_path))
+    names = {r["event_id"]: r["event"] for r in EA.event_names(listings).collect()}
+    for event_id in ("e0", "e49", "none"):
+        got = EA.read_event(spark, str(tmp_path), names[event_id], market_type="spot").select(F.get_json_object("body", "$.trade_id")).collect()
+        want = listing_trades(listings, trades).where(f"event_id = '{event_id}' and market_type = 'spot'").select("trade_id").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and (len(want) > 150 or event_id == "none")
+
+
+def test_archive_queries_do_not_join_listings_with_trades(spark, data, monkeypatch):
+    """k05_s09, k05_archive_reports and s09 read ranges of shared trades; the pairs of events and trades are never made."""
+
+    def never(*_, **__):
+        raise AssertionError("all trades of all listings were joined")
+
+    monkeypatch.setattr(stored, "listing_trades", never)
+    for query in (stored.archive_round_trip, stored.archive_reports, stored.pruned_event_files):
+        assert query(spark, data).columns
