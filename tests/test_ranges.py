@@ -55,6 +55,32 @@ def test_actors_of_coins(tables):
     same(A.event_exchange_report(pumps, found, spans), A.per_exchange_report(pumps, want))
 
 
+def test_pumps_and_actors_of_one_reading(tables):
+    """What events have of pumps and of each exchange's actors, from one table of a market's trades by time."""
+    listings, trades = tables
+    cut = {"pre_ms": 1_234, "post_ms": 2_567}
+    joined = J.listing_trades(listings, trades, **cut)
+    ticks = W.market_ticks(trades).cache()
+    want_pumps = W.detect_pumps(joined, keys=KEYS, min_trades=3).cache()
+    pumps = W.event_pumps(listings, ticks, min_trades=3, **cut).cache()
+    assert pumps.columns == want_pumps.columns and same(pumps, want_pumps) > 20
+    want = A.actors(A.actor_window_trades(joined, want_pumps, span_ms=1_500)).cache()
+    totals = A.pump_totals(pumps).cache()
+    spans = A.actor_spans(listings, totals, span_ms=1_500, **cut).cache()
+    actors = A.exchange_ticks(A.coin_totals(listings, ticks)).cache()
+    own = A.event_exchanges(actors, spans).cache()
+    assert same(A.insights_of(totals, own.drop("nth")), A.exchange_insights(want_pumps, want)) > 10
+    same(A.behaviour_of(actors, own), A.actor_behaviour(want))
+    same(A.report_of(totals, actors, own, 3), A.per_exchange_report(want_pumps, want, 3))
+
+
+@pytest.mark.parametrize("name", ["a06_exchange_insights", "a07_actor_behaviour", "a08_exchange_comparison", "a09_per_exchange_report"])
+def test_exchange_reports_read_trades_once(spark, data, monkeypatch, name):
+    calls, trades = [], registered.X.trades
+    monkeypatch.setattr(registered.X, "trades", lambda s, d: calls.append(d) or trades(s, d))
+    assert "event_id" in registered.queries()[name](spark, data).columns and len(calls) == 1
+
+
 def test_listings_that_share_an_id_are_joined(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet")
     events.unionByName(events.where("event_id % 400 = 0")).write.parquet(f"{tmp_path}/events.parquet")
