@@ -8,12 +8,13 @@
                            refined/<exchange>/analysis.json, top_users.json, metadata.json
 
 Rows are (event, file, nth, body): one for each element of a list, ``nth`` from 0; one with nth -1 and no body where a list is
-empty; one without nth for a file that is an object. ``archive_rows`` makes them from the analytics' tables, ``write_archive``
+empty; one without nth for a file that is an object. A row that is written may hold several elements of a list, joined by commas; with
+``whole``, a row that is read is a file's text as it is. ``archive_rows`` makes them from the analytics' tables, ``write_archive``
 writes them, and ``spark.read.format("event_archive")`` reads them back, also from archives that other programs wrote.
 
-Tasks write below ``_temporary`` and name their files to the driver, which moves them into place once all have
+Tasks write below ``_temporary`` and name their files to the driver, which moves them into place, new events as one folder, once all have
 ended well; a task that fails removes what it wrote, and a failed job the rest. A file is a list in one piece, so its
-rows meet in one task, which holds one element at a time. A reader's task takes a group of event folders; filters
+rows meet in one task (those of an event do), which holds one row at a time. A reader's task takes a group of event folders; filters
 on event and file choose folders and files before any is opened, if ``spark.sql.python.filterPushdown.enabled`` is set.
 """
 
@@ -25,6 +26,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from tapewright.functions.numbers import event_key, floor_window
 from tapewright.functions.symbols import match_bases
-from tapewright.operators.actors import actor_behaviour, exchange_comparison, exchange_insights, rank_actors
+from tapewright.operators.actors import actor_behaviour, exchange_comparison, exchange_insights
 from tapewright.operators.pumps import pump_summary
 from tapewright.schemas import MARKET_TYPES, VENUES
 
@@ -45,6 +47,10 @@ _EVENT = re.compile(r".+_\d{8}_\d{6}$")
 _STAGED = "_temporary"
 #: Rows of one batch that a reader hands over.
 _BATCH = 1000
+#: Characters of whole files after which a batch is handed over.
+_BATCH_TEXT = 8 << 20
+#: Moves that a commit has under way at a time.
+_MOVES = 16
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -61,7 +67,7 @@ class _Events(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.path, self.per_task = options["path"], int(options.get("eventsPerTask", "16"))
+        self.path, self.per_task, self.whole = options["path"], int(options.get("eventsPerTask", "16")), options.get("whole") == "true"
         self.events: set[str] | None = None
         self.files: set[str] | None = None
         self.below = ""
@@ -75,6 +81,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Events) -> Iterator[pa.RecordBatch]:
         files, top = _open(self.path)
         rows: list[tuple] = []
+        held = 0
         for event in partition.names:
             listed = files.get_file_info(fs.FileSelector(f"{top}/{event}", recursive=True))
             names = sorted(i.path.split(f"/{event}/", 1)[1] for i in listed if i.type == fs.FileType.File and i.extension == "json")
@@ -82,16 +89,19 @@ class _Reader(DataSourceReader):
                 if name.startswith(self.below) and (self.files is None or name in self.files):
                     for row in self._rows(files, top, event, name):
                         rows.append(row)
-                        if len(rows) == _BATCH:
+                        held += len(row[3] or "")
+                        if len(rows) == _BATCH or held >= _BATCH_TEXT:
                             yield _batch(rows)
-                            rows = []
+                            rows, held = [], 0
         if rows:
             yield _batch(rows)
 
-    @staticmethod
-    def _rows(files: fs.FileSystem, top: str, event: str, name: str) -> Iterator[tuple]:
+    def _rows(self, files: fs.FileSystem, top: str, event: str, name: str) -> Iterator[tuple]:
         with files.open_input_stream(f"{top}/{event}/{name}") as stream:
             raw = stream.read()
+        if self.whole:
+            yield event, name, None, raw.decode(errors="replace")
+            return
         try:
             found = json.loads(raw)
         except ValueError:
@@ -181,16 +191,28 @@ class _Writer(DataSourceArrowWriter):
         if twice:
             self.abort(messages)
             raise ValueError(f"several tasks wrote {twice[0]}; rows of a file must be in one task, in order")
+        there = {i.base_name for i in files.get_file_info(fs.FileSelector(top, allow_not_found=True)) if i.type == fs.FileType.Directory}
         if self.overwrite:
-            for old in files.get_file_info(fs.FileSelector(top, allow_not_found=True)):
-                if old.type == fs.FileType.Directory and _EVENT.match(old.base_name):
-                    files.delete_dir(old.path)
-        for message in done:
-            for name in message.files:
+            for old in sorted(name for name in there if _EVENT.match(name)):
+                files.delete_dir(f"{top}/{old}")
+                there.discard(old)
+        # An event that is new and one task's is a folder to move; object stores have no folders.
+        events = [(m, sorted({name.split("/", 1)[0] for name in m.files})) for m in done]
+        tasks = Counter(event for _, names in events for event in names)
+        new = {event for event, n in tasks.items() if n == 1 and event not in there} if files.type_name in ("local", "hdfs") else set()
+        moves = [(m.folder, event) for m, names in events for event in names if event in new]
+        moves += [(m.folder, name) for m in done for name in m.files if name.split("/", 1)[0] not in new]
+
+        def move(one: tuple[str, str]) -> None:
+            folder, name = one
+            if "/" in name:
                 files.create_dir(f"{top}/{name}".rsplit("/", 1)[0], recursive=True)
                 if files.get_file_info(f"{top}/{name}").type == fs.FileType.File:
                     files.delete_file(f"{top}/{name}")
-                files.move(f"{top}/{message.folder}/{name}", f"{top}/{name}")
+            files.move(f"{top}/{folder}/{name}", f"{top}/{name}")
+
+        with ThreadPoolExecutor(_MOVES) as pool:
+            list(pool.map(move, moves))
         self.abort(messages)
 
     def abort(self, messages: list[_Written | None]) -> None:
@@ -218,15 +240,16 @@ class EventArchive(DataSource):
         return _Writer(self.options, overwrite)
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, *, whole: bool = False) -> DataFrame:
+    """Rows of an archive, one for each element of a list; ``whole``: one for each file, with its text, which Spark may then read."""
     spark.dataSource.register(EventArchive)
-    return spark.read.format("event_archive").option("prune", spark.conf.get("spark.sql.python.filterPushdown.enabled")).load(path)
+    return spark.read.format("event_archive").option("prune", spark.conf.get("spark.sql.python.filterPushdown.enabled")).option("whole", str(whole).lower()).load(path)
 
 
 def write_archive(rows: DataFrame, path: str, *, mode: str = "append") -> None:
-    """Rows of a file meet in one task, in order; a file that exists is replaced, with ``overwrite`` all events are."""
+    """Rows of an event meet in one task, those of a file in order; a file that exists is replaced, with ``overwrite`` all events are."""
     rows.sparkSession.dataSource.register(EventArchive)
-    ordered = rows.select("event", "file", "nth", "body").repartition("event", "file").sortWithinPartitions("event", "file", "nth")
+    ordered = rows.select("event", "file", "nth", "body").repartition("event").sortWithinPartitions("event", "file", "nth")
     ordered.write.format("event_archive").mode(mode).save(path)
 
 
@@ -283,14 +306,62 @@ def _pump(pumps: DataFrame) -> Column:
     )
 
 
+def described_pumps(pumps: DataFrame) -> DataFrame:
+    """Pumps with ``pump``, their text in the reports; save them, since several reports have it."""
+    return pumps.withColumn("pump", _pump(pumps))
+
+
+def described_actors(found: DataFrame) -> DataFrame:
+    """Actors, of coins or of events, with ``told``, their text in the reports as far as no event plays a part; save them, too."""
+    return found.withColumn("told", F.struct(
+        _time("first_ms").alias("first"), _time("last_ms").alias("last"), _text("start_price", 8).alias("start"), _text("end_price", 8).alias("end"), _text("vwap", 4).alias("average"), _text("notional", 2).alias("volume"), _text("quantity", 4).alias("quantity"),
+    ))
+
+
 def _user() -> Column:
     return F.struct(
-        F.col("actor_id").alias("user_id"), _time("first_ms").alias("first_trade_time"), _time("last_ms").alias("last_trade_time"), F.col("duration_ms").alias("trading_duration_ms"), _text("start_price", 8).alias("start_price"),
-        _text("end_price", 8).alias("end_price"), _text("vwap", 4).alias("average_price"), _text("notional", 2).alias("total_usdt_volume"), _text("quantity", 4).alias("total_quantity"), "trade_count", "exchange_trades",
+        F.col("actor_id").alias("user_id"), F.col("told.first").alias("first_trade_time"), F.col("told.last").alias("last_trade_time"), F.col("duration_ms").alias("trading_duration_ms"), F.col("told.start").alias("start_price"),
+        F.col("told.end").alias("end_price"), F.col("told.average").alias("average_price"), F.col("told.volume").alias("total_usdt_volume"), F.col("told.quantity").alias("total_quantity"), "trade_count", "exchange_trades",
         F.col("relative_ms").alias("relative_time_ms"), F.col("rank").alias("user_rank"),
     )
 
 
+def _raw() -> tuple[Column, Column, Column]:
+    """File, place in it and body of a trade."""
+    body = F.to_json(F.struct("exchange", "market_type", "symbol", "trade_id", "price", "quantity", "side", F.col("ts_ms").alias("timestamp")))
+    # Order in the file is by time; the file's number of a trade follows from the sort of the writer, so no window numbers them.
+    nth = F.col("ts_ms") * 1024 + F.abs(F.xxhash64("trade_id") % 1024)
+    return F.concat(F.lit("raw/"), F.col("exchange"), F.lit("/"), F.col("market_type"), F.lit(".json")).alias("file"), nth.alias("nth"), body.alias("body")
+
+
+def raw_rows(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (event_id, file, nth, body) of trades around listings, and what there is in each event's markets."""
+    info = found.groupBy("event_id", "exchange", "market_type").agg(F.count(F.lit(1)).alias("total_trades"), F.min("ts_ms").alias("first_trade_time"), F.max("ts_ms").alias("last_trade_time"))
+    return found.select("event_id", *_raw()), info
+
+
+def raw_blocks(listings: DataFrame, trades: DataFrame, windows: DataFrame, *, pre_ms: int = 20_000, post_ms: int = 20_000, block_ms: int = 2_000) -> tuple[DataFrame, DataFrame]:
+    """``raw_rows`` without the join of listings and trades: a row has an event's trades of one file and block of time.
+
+    A trade's body is made once, not once an event, and an event takes its part of each block's list. ``windows`` are ``event_windows``.
+    """
+    start = lambda t: floor_window(t, block_ms)
+    t = F.col("trigger_ms")
+    spans = listings.select("event_id", F.col("symbol").alias("base"), (t - pre_ms).alias("from_ms"), (t + post_ms).alias("to_ms"))
+    spans = spans.withColumn("at", F.explode(F.sequence(start(F.col("from_ms")), start(F.col("to_ms")), F.lit(block_ms).cast("bigint"))))
+    key, spark = ["base", "at"], trades.sparkSession
+    named = trades.withColumns({"base": F.explode(match_bases(F.col("symbol"))), "at": start(F.col("ts_ms"))}).join(spans.select(*key).distinct(), key, "left_semi")
+    file, nth, body = _raw()
+    # A list holds a market's trades of one block.
+    blocks = named.select(*key, "ts_ms", file, nth, body).groupBy(*key, "file").agg(F.sort_array(F.collect_list(F.struct("nth", "ts_ms", "body"))).alias("trades"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    near = F.filter("trades", lambda t: t["ts_ms"].between(F.col("from_ms"), F.col("to_ms")))
+    rows = blocks.repartition(tasks, *key).join(spans.repartition(tasks, *key), key)
+    rows = rows.select("event_id", "file", (F.col("at") * 1024).alias("nth"), F.array_join(F.transform(near, lambda t: t["body"]), ",\n").alias("body")).where("body <> ''")
+    info = windows.groupBy("event_id", "exchange", "market_type").agg(F.sum("trade_count").alias("total_trades"), F.min("first_ms").alias("first_trade_time"), F.max("last_ms").alias("last_trade_time"))
+    return rows, info
+
+
 def _in_order(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """An ordered list of values a key; used for pumps and actors of one event, which its short window bounds."""
     before = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
@@ -298,21 +369,16 @@ def _in_order(rows: DataFrame, keys: list[str], order: list[str], value: Column,
     return rows.groupBy(*keys).agg(F.transform(listed, lambda r: r["v"]).alias(name))
 
 
-def archive_rows(listings: DataFrame, found: DataFrame, pumps: DataFrame, actors: DataFrame, *, analyzed_ms: int, venues: tuple[str, ...] = VENUES, top: int = 10) -> DataFrame:
+def archive_rows(listings: DataFrame, raw: DataFrame, info: DataFrame, pumps: DataFrame, ranked: DataFrame, *, analyzed_ms: int, venues: tuple[str, ...] = VENUES, top: int = 10) -> DataFrame:
     """All files of all listings as rows (event, file, nth, body).
 
-    ``found`` has the trades around the listings, ``pumps`` theirs by event and market and ``actors`` those of the pumps. Every
-    listing gets its metadata and a raw file for each market of ``venues``, those with pumps their reports.
+    ``raw`` and ``info`` are those of ``raw_rows`` or ``raw_blocks``, ``pumps`` are ``described_pumps`` by event and market and ``ranked`` the
+    ``described_actors`` of the pumps with their rank. Every listing gets its metadata and a raw file for each market of ``venues``, those with pumps their reports.
     """
     names = event_names(listings)
     analyzed = _time(F.lit(analyzed_ms))
     one = lambda rows, file, *body: rows.select("event_id", (F.lit(file) if isinstance(file, str) else file).alias("file"), F.lit(None).cast("bigint").alias("nth"), F.to_json(F.struct(*body)).alias("body"))
 
-    trade = F.to_json(F.struct("exchange", "market_type", "symbol", "trade_id", "price", "quantity", "side", F.col("ts_ms").alias("timestamp")))
-    market = F.concat(F.lit("raw/"), F.col("exchange"), F.lit("/"), F.col("market_type"), F.lit(".json"))
-    # Order in the file is by time; the file's number of a trade follows from the sort of the writer, so no window numbers them.
-    order = F.xxhash64("trade_id") % 1024
-    raw = found.select("event_id", market.alias("file"), (F.col("ts_ms") * 1024 + F.abs(order)).alias("nth"), trade.alias("body"))
     every = F.array(*[F.lit(f"raw/{v}/{m}.json") for v in venues for m in MARKET_TYPES])
     empty = listings.select("event_id", F.explode(every).alias("file"), F.lit(-1).cast("bigint").alias("nth"), F.lit(None).cast("string").alias("body"))
     base = F.regexp_replace("symbol", "USDT$", "")
@@ -322,9 +388,8 @@ def archive_rows(listings: DataFrame, found: DataFrame, pumps: DataFrame, actors
     def numbered(rows: DataFrame, column: str, file: str | Column) -> DataFrame:
         return rows.select("event_id", *(["exchange"] if "exchange" in rows.columns else []), F.posexplode(column).alias("k", "v")).select("event_id", (F.lit(file) if isinstance(file, str) else file).alias("file"), F.col("k").cast("bigint").alias("nth"), F.to_json("v").alias("body"))
 
-    pump = _pump(pumps)
+    pump = F.col("pump")
     by_event = _in_order(pumps, ["event_id"], ["start_ms", "exchange", "market_type", "symbol"], pump, "pump_events")
-    ranked = rank_actors(actors)
     user = _user()
     users = _in_order(ranked, ["event_id"], ["rank"], user, "user_analysis").withColumn("top_users", F.slice("user_analysis", 1, top))
     totals = pump_summary(pumps)
@@ -333,8 +398,8 @@ def archive_rows(listings: DataFrame, found: DataFrame, pumps: DataFrame, actors
         F.col("pump_exchanges").alias("total_exchanges"), F.col("max_change").alias("max_price_change"), F.substring_index("first_market", "_", 1).alias("first_pump_exchange"), F.col("duration_ms").alias("pump_duration_ms"), _text("total_volume", 4).alias("total_volume")
     )
     window = F.struct(_time("from_ms").alias("start_time"), _time(F.col("from_ms") + 10_000).alias("end_time"), F.lit(10_000).alias("duration_ms"))
-    insights = exchange_insights(pumps, actors)
-    insight_rows = _in_order(insights.join(actor_behaviour(actors), ["event_id", "exchange"], "left"), ["event_id"], ["exchange"], F.struct(
+    insights = exchange_insights(pumps, ranked)
+    insight_rows = _in_order(insights.join(actor_behaviour(ranked), ["event_id", "exchange"], "left"), ["event_id"], ["exchange"], F.struct(
         F.col("exchange").alias("exchange_name"), _time("first_pump_ms").alias("first_pump_time"), F.col("first_relative_ms").alias("relative_pump_time_ms"), F.col("pump_count").alias("pump_event_count"), F.col("max_change").alias("max_price_change"),
         F.col("avg_change").alias("average_price_change"), F.col("actor_count").alias("user_count"), _text("actor_volume", 2).alias("total_volume"), _text("volume_per_actor", 1).alias("average_user_volume"),
         F.struct(F.col("avg_trades").alias("average_trades_per_user"), F.col("median_entry_ms").alias("median_entry_time_ms"), F.col("early").alias("early_traders"), F.col("regular").alias("regular_traders"), F.col("late").alias("late_traders"), F.col("large").alias("high_volume_traders")).alias("user_behavior"),
@@ -355,7 +420,6 @@ def archive_rows(listings: DataFrame, found: DataFrame, pumps: DataFrame, actors
 
     # A market's pumps, and what the trades around the listing say of it.
     key = ["event_id", "exchange", "market_type"]
-    info = found.groupBy(*key).agg(F.count(F.lit(1)).alias("total_trades"), F.min("ts_ms").alias("first_trade_time"), F.max("ts_ms").alias("last_trade_time"))
     market_pumps = _in_order(pumps, key, ["start_ms", "symbol"], pump, "pump_events").join(info, key)
     about = F.struct("exchange", "market_type", "total_trades", F.size("pump_events").alias("pump_events_count"), "first_trade_time", "last_trade_time")
     reports.append(one(market_pumps, F.concat(F.lit("refined/"), F.col("exchange"), F.lit("_"), F.col("market_type"), F.lit("_pumps.json")), about.alias("exchange_info"), "pump_events"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.operators.collect import listing_trades
+from tapewright.operators.pumps import event_windows
 from tapewright.plans import stored
 from tapewright.sources import event_archive as EA
 from tapewright.sources import readers, writers
@@ -137,3 +138,30 @@ def test_archive_queries_do_not_join_listings_with_trades(spark, data, monkeypat
     monkeypatch.setattr(stored, "listing_trades", never)
     for query in (stored.archive_round_trip, stored.archive_reports, stored.pruned_event_files):
         assert query(spark, data).columns
+
+
+def test_event_files_do_not_join_listings_with_trades(spark, data, monkeypatch):
+    """k05_event_files writes each event with all its trades, from bodies made once a trade."""
+
+    def never(*_, **__):
+        raise AssertionError("all trades of all listings were joined")
+
+    monkeypatch.setattr(stored, "listing_trades", never)
+    assert stored.event_files(spark, data).where("trades > 0").count() > 0
+
+
+def test_blocks_of_trades_give_the_files_of_single_trades(spark, tmp_path, overlapping):
+    listings, trades = overlapping
+    listings = listings.where("event_id <> 'twice' and trigger_ms is not null")
+    names = EA.event_names(listings)
+    blocks, info = EA.raw_blocks(listings, trades, event_windows(listings, trades), pre_ms=20_000, post_ms=20_000)
+    single, want_info = EA.raw_rows(listing_trades(listings, trades))
+    assert blocks.count() * 4 < single.count()
+    assert sorted(map(tuple, info.collect())) == sorted(map(tuple, want_info.collect()))
+    for what, rows in (("blocks", blocks), ("single", single)):
+        EA.write_archive(rows.join(names, "event_id"), str(tmp_path / what))
+    text = lambda what: {name: (tmp_path / what / name).read_text() for name in files_of(tmp_path / what)}
+    assert text("blocks") == text("single") and len(text("blocks")) == 50 * 4
+    whole = EA.read_archive(spark, str(tmp_path / "blocks"), whole=True)
+    assert {f"{r['event']}/{r['file']}": r["body"] for r in whole.collect()} == text("single")
+    assert whole.agg(F.sum(F.json_array_length("body"))).first()[0] == EA.read_archive(spark, str(tmp_path / "blocks")).count() == single.count()
