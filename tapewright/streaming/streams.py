@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tapewright.functions.numbers import strict_double
-from tapewright.functions.symbols import match_bases, normalize_symbol
+from tapewright.functions.symbols import normalize_symbol, symbols_of
 from tapewright.schemas import RAW_MESSAGES
 from tapewright.sources.venues import REJECTS, decode_all, ingest_trades
 from tapewright.sources.writers import trade_rows
@@ -21,6 +22,8 @@ from tapewright.sources.writers import trade_rows
 HISTORY = "20 minutes"
 #: Seconds of a bucket in which a listing waits for trades.
 BUCKET_S = 5
+#: Rows of which a task makes lists at a time, and lists that it hands over at a time.
+LIST_ROWS, LIST_BATCH = 100_000, 200
 
 
 def stream_trades(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -43,17 +46,52 @@ def stream_pumps(trades: DataFrame, *, pct: float = 3.0, width: str = "1 second"
     return found.select("exchange", "market_type", "symbol", F.unix_millis("window.start").alias("start_ms"), "start_price", "peak_price", "price_change", "volume", "trade_count")
 
 
+def in_lists(rows: DataFrame, keys: Sequence[str], *, time: str, rest: Sequence[str], name: str, at_most: int = LIST_ROWS) -> DataFrame:
+    """Rows of a batch in lists: ``name`` has the ``rest`` and ``time`` of the rows of one key, ``time`` is their greatest.
+
+    A task makes the lists of what it reads, without state, of at most ``at_most`` rows at a time; so a key may have several.
+    """
+    fields = [*rest, time]
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= at_most:
+                yield from listed(held)
+                held = []
+        if held:
+            yield from listed(held)
+
+    def listed(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        found = pa.Table.from_batches(held).group_by(list(keys), use_threads=False).aggregate([*((c, "list") for c in fields), (time, "max")]).combine_chunks()
+        column = lambda c: found[c].combine_chunks()
+        parts = [column(f"{c}_list") for c in fields]
+        items = pa.ListArray.from_arrays(parts[0].offsets, pa.StructArray.from_arrays([p.values for p in parts], names=fields))
+        return pa.Table.from_arrays([*map(column, keys), column(f"{time}_max"), items], names=[*keys, time, name]).to_batches(max_chunksize=LIST_BATCH)
+
+    of = dict(rows.dtypes)
+    item = ", ".join(f"{c}: {of[c]}" for c in fields)
+    return rows.select(*keys, *fields).mapInArrow(lists, ", ".join([*(f"{c} {of[c]}" for c in (*keys, time)), f"{name} array<struct<{item}>>"]))
+
+
 def stream_listing_trades(listings: DataFrame, trades: DataFrame, *, pre: str = "20 seconds", post: str = "20 seconds", late: str = HISTORY) -> DataFrame:
     """Interval join of the two streams; both watermarks bound its state, rows come once the interval is complete.
 
-    A listing waits in each of the time buckets that its interval touches, so a trade looks at the listings near it, not at all of its coin.
+    A listing waits under each symbol it may have, in each of the time buckets that its interval touches, so a trade is kept once and looks at the
+    listings near it, not at all of its coin. Those of one batch wait as lists: the join looks lists up, not pairs of a listing and a trade.
     """
-    wanted = listings.select("event_id", F.col("symbol").alias("base"), "trigger_ms", F.timestamp_millis("trigger_ms").alias("trigger_ts")).withWatermark("trigger_ts", late)
-    named = with_time(trades, late=late).withColumn("name", F.explode(match_bases(F.col("symbol"))))
+    wanted = listings.select("event_id", F.explode(symbols_of(F.col("symbol"))).alias("listed"), "trigger_ms", F.timestamp_millis("trigger_ms").alias("trigger_ts"))
     bucket = lambda t: F.floor(F.unix_seconds(t) / BUCKET_S)
     wanted = wanted.withColumn("near", F.explode(F.sequence(bucket(F.expr(f"trigger_ts - interval {pre}")), bucket(F.expr(f"trigger_ts + interval {post}")))))
-    within = F.expr(f"name = base and bucket = near and ts between trigger_ts - interval {pre} and trigger_ts + interval {post}")
-    return named.withColumn("bucket", bucket(F.col("ts"))).join(wanted, within).drop("name", "base", "bucket", "near", "ts", "trigger_ts")
+    wanted = in_lists(wanted.repartition("listed", "near"), ["listed", "near"], time="trigger_ms", rest=["event_id"], name="waiting")
+    wanted = wanted.select("listed", "near", "waiting", F.timestamp_millis("trigger_ms").alias("newest_ts")).withWatermark("newest_ts", late)
+    named = with_time(trades, late=late).withColumns({"name": F.upper("symbol"), "bucket": bucket(F.col("ts"))})
+    # Of a bucket, listings and trades are as far apart as an interval and a bucket at most; this bounds the state.
+    within = F.expr(f"name = listed and bucket = near and ts between newest_ts - interval {pre} - interval {BUCKET_S} seconds and newest_ts + interval {post} + interval {BUCKET_S} seconds")
+    pairs = named.join(wanted, within).select(*trades.columns, "ts", F.inline("waiting"))
+    trigger = F.timestamp_millis("trigger_ms")
+    return pairs.where(F.col("ts").between(trigger - F.expr(f"interval {pre}"), trigger + F.expr(f"interval {post}"))).select(*trades.columns, "event_id", "trigger_ms")
 
 
 def stream_dedup_notices(notices: DataFrame, *, ttl: str = "24 hours") -> DataFrame:
