@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions import symbols as S
+from tapewright.operators import collect as J
+from tapewright.operators import ranges as R
 from tapewright.streaming import streams as Z
 
 TRADE = "exchange string, market_type string, symbol string, trade_id string, ts_ms bigint"
@@ -39,6 +41,30 @@ def test_symbols_of_turns_match_bases_round(spark):
         assert x.where(forth).count() > 20
 
 
+@pytest.mark.parametrize("broadcast", [True, False, None])
+def test_joins_of_lists_give_every_pair(spark, crowded, broadcast, monkeypatch):
+    listings, trades = crowded
+    want = by_hand(listings, trades)
+    assert len(want) > 20_000
+    found = J.listing_trades(listings, trades, broadcast=broadcast)
+    assert found.columns == [*trades.columns, "event_id", "trigger_ms"] and pairs(found) == want
+    # Long lists are split, and where names are too many to be broadcast all trades are shuffled.
+    monkeypatch.setattr(R, "LISTED", 7)
+    monkeypatch.setattr(R, "BROADCAST_RANGES", 3)
+    assert pairs(J.listing_trades(listings, trades, broadcast=broadcast)) == want
+
+
+def test_a_trade_meets_lists_not_listings(spark, crowded):
+    """The join puts out a row for each trade and list; the listings of a list are gone through in place."""
+    listings, trades = crowded
+    ranges = listings.selectExpr("event_id", "symbol base", "trigger_ms - 20000 from_ms", "trigger_ms + 20000 to_ms")
+    lists = R.listed_ranges(ranges, on="base", width_ms=5_000)
+    assert lists.where("base = 'A'").count() <= 16 and lists.select(F.sum(F.size("near"))).first()[0] > 60 * 8
+    for broadcast in (True, False):
+        plan = J.listing_trades(listings, trades, broadcast=broadcast)._jdf.queryExecution().executedPlan().toString()
+        assert "Generate inline(near" in plan
+
+
 def test_stream_keeps_a_trade_once_and_listings_in_lists(spark, crowded, tmp_path):
     listings, trades = crowded
     streams = []
