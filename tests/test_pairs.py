@@ -65,6 +65,13 @@ def test_a_trade_meets_lists_not_listings(spark, crowded):
         assert "Generate inline(near" in plan
 
 
+def test_shuffled_trades_are_those_of_listed_names_and_not_sorted(spark, crowded):
+    """Each trade has up to three names, of which mostly one is listed: the others must not be written to disk."""
+    listings, trades = crowded
+    plan = J.listing_trades(listings, trades, broadcast=False)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_stream_keeps_a_trade_once_and_listings_in_lists(spark, crowded, tmp_path):
     listings, trades = crowded
     streams = []
