@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions import symbols as S
+from tapewright.operators import actors as A
 from tapewright.operators import collect as J
 from tapewright.operators import ranges as R
 from tapewright.streaming import streams as Z
@@ -72,6 +73,15 @@ def test_shuffled_trades_are_those_of_listed_names_and_not_sorted(spark, crowded
     assert "LeftSemi" in plan and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_spans_of_actors_are_lists_too(spark, crowded):
+    listings, trades = crowded
+    spans = listings.selectExpr("event_id", "symbol base", "trigger_ms", "trigger_ms from_ms", "trigger_ms + 10000 to_ms", "trigger_ms first_pump_ms")
+    found = A.span_trades(trades, spans)
+    assert found.columns == [*trades.columns, "event_id", "trigger_ms", "first_pump_ms"]
+    assert "Generate inline(near" in found._jdf.queryExecution().executedPlan().toString()
+    assert pairs(found) == [p for p in by_hand(listings, trades) if p[3] <= p[2] <= p[3] + 10_000]
+
+
 def test_stream_keeps_a_trade_once_and_listings_in_lists(spark, crowded, tmp_path):
     listings, trades = crowded
     streams = []
