@@ -9,7 +9,8 @@
 
 Rows are (event, file, nth, body): one for each element of a list, ``nth`` from 0; one with nth -1 and no body where a list is
 empty; one without nth for a file that is an object. A row that is written may hold several elements of a list, joined by commas; with
-``whole``, a row that is read is a file's text as it is. ``archive_rows`` makes them from the analytics' tables, ``write_archive``
+``whole``, a row that is read is a file's text as it is. Rows that are ``packed`` become files ``.json.gz`` of the same text, which
+are read, named and chosen as those without ``.gz``. ``archive_rows`` makes them from the analytics' tables, ``write_archive``
 writes them, and ``spark.read.format("event_archive")`` reads them back, also from archives that other programs wrote.
 
 Tasks write below ``_temporary`` and name their files to the driver, which moves them into place, new events as one folder, once all have
@@ -21,9 +22,11 @@ on event and file choose folders and files before any is opened, if ``spark.sql.
 from __future__ import annotations
 
 import contextlib
+import gzip
 import json
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -51,6 +54,8 @@ _BATCH = 1000
 _BATCH_TEXT = 8 << 20
 #: Moves that a commit has under way at a time.
 _MOVES = 16
+#: Packed files: end of their names, level of compression, and zlib's number for gzip.
+_GZ, _LEVEL, _MEMBER = ".gz", 6, 31
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -84,10 +89,11 @@ class _Reader(DataSourceReader):
         held = 0
         for event in partition.names:
             listed = files.get_file_info(fs.FileSelector(f"{top}/{event}", recursive=True))
-            names = sorted(i.path.split(f"/{event}/", 1)[1] for i in listed if i.type == fs.FileType.File and i.extension == "json")
-            for name in names:
+            names = sorted(i.path.split(f"/{event}/", 1)[1] for i in listed if i.type == fs.FileType.File and i.base_name.removesuffix(_GZ).endswith(".json"))
+            for stored in names:
+                name = stored.removesuffix(_GZ)
                 if name.startswith(self.below) and (self.files is None or name in self.files):
-                    for row in self._rows(files, top, event, name):
+                    for row in self._rows(files, top, event, name, stored):
                         rows.append(row)
                         held += len(row[3] or "")
                         if len(rows) == _BATCH or held >= _BATCH_TEXT:
@@ -96,9 +102,15 @@ class _Reader(DataSourceReader):
         if rows:
             yield _batch(rows)
 
-    def _rows(self, files: fs.FileSystem, top: str, event: str, name: str) -> Iterator[tuple]:
-        with files.open_input_stream(f"{top}/{event}/{name}") as stream:
+    def _rows(self, files: fs.FileSystem, top: str, event: str, name: str, stored: str) -> Iterator[tuple]:
+        with files.open_input_stream(f"{top}/{event}/{stored}", compression=None) as stream:
             raw = stream.read()
+        if stored != name:
+            try:
+                raw = gzip.decompress(raw)
+            except (OSError, EOFError, zlib.error):
+                yield event, name, None, None
+                return
         if self.whole:
             yield event, name, None, raw.decode(errors="replace")
             return
@@ -145,9 +157,36 @@ class _Written(WriterCommitMessage):
     files: tuple[str, ...]
 
 
+class _Text:
+    """A file that is written. Packed bodies of a list become one compressed text, since they may be short; an object's is written as it is."""
+
+    def __init__(self, stream: pa.NativeFile, *, packed: bool, listed: bool) -> None:
+        self._stream, self._packed = stream, packed
+        self._press = zlib.compressobj(_LEVEL, wbits=_MEMBER) if packed and listed else None
+
+    def text(self, text: bytes) -> None:
+        self._stream.write(self._press.compress(text) if self._press else _pack(text) if self._packed else text)
+
+    def body(self, body: str | bytes) -> None:
+        if self._press:
+            self.text(zlib.decompress(body, _MEMBER))
+        else:
+            self._stream.write(body if self._packed else body.encode())
+
+    def close(self) -> None:
+        if self._press:
+            self._stream.write(self._press.flush())
+        self._stream.close()
+
+
+def _pack(text: bytes) -> bytes:
+    return gzip.compress(text, _LEVEL, mtime=0)
+
+
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        self.end = _GZ if options.get("packed") == "true" else ""
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         files, top = _open(self.path)
@@ -158,23 +197,26 @@ class _Writer(DataSourceArrowWriter):
             last, listed, nth = None, False, 0
             for batch in iterator:
                 for event, file, number, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    name = f"{event}/{file}"
+                    name = f"{event}/{file}{self.end}"
                     if name != last:
                         if stream is not None:
-                            stream.write(b"]\n" if listed else b"\n")
+                            stream.text(b"]\n" if listed else b"\n")
                             stream.close()
                         files.create_dir(f"{top}/{folder}/{name}".rsplit("/", 1)[0], recursive=True)
-                        stream = files.open_output_stream(f"{top}/{folder}/{name}")
-                        written.append(name)
                         last, listed, nth = name, number is not None, 0
-                        stream.write(b"[" if listed else b"")
+                        stream = _Text(files.open_output_stream(f"{top}/{folder}/{name}", compression=None), packed=bool(self.end), listed=listed)
+                        written.append(name)
+                        if listed:
+                            stream.text(b"[")
                     if number is None and nth:
                         raise ValueError(f"{name} has two objects")
                     if body is not None:
-                        stream.write((",\n" if nth else "").encode() + body.encode())
+                        if nth:
+                            stream.text(b",\n")
+                        stream.body(body)
                         nth += 1
             if stream is not None:
-                stream.write(b"]\n" if listed else b"\n")
+                stream.text(b"]\n" if listed else b"\n")
                 stream.close()
         except BaseException:
             if stream is not None:
@@ -207,8 +249,10 @@ class _Writer(DataSourceArrowWriter):
             folder, name = one
             if "/" in name:
                 files.create_dir(f"{top}/{name}".rsplit("/", 1)[0], recursive=True)
-                if files.get_file_info(f"{top}/{name}").type == fs.FileType.File:
-                    files.delete_file(f"{top}/{name}")
+                # The file of that name goes, packed or not.
+                for old in (name.removesuffix(_GZ), name.removesuffix(_GZ) + _GZ):
+                    if files.get_file_info(f"{top}/{old}").type == fs.FileType.File:
+                        files.delete_file(f"{top}/{old}")
             files.move(f"{top}/{folder}/{name}", f"{top}/{name}")
 
         with ThreadPoolExecutor(_MOVES) as pool:
@@ -250,7 +294,19 @@ def write_archive(rows: DataFrame, path: str, *, mode: str = "append") -> None:
     """Rows of an event meet in one task, those of a file in order; a file that exists is replaced, with ``overwrite`` all events are."""
     rows.sparkSession.dataSource.register(EventArchive)
     ordered = rows.select("event", "file", "nth", "body").repartition("event").sortWithinPartitions("event", "file", "nth")
-    ordered.write.format("event_archive").mode(mode).save(path)
+    ordered.write.format("event_archive").option("packed", str(dict(rows.dtypes)["body"] == "binary").lower()).mode(mode).save(path)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows whose body is compressed, before it is dealt and sorted; ``write_archive`` makes compressed files of them."""
+    bodies = [c == "body" for c in rows.columns]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [pa.array([None if v is None else _pack(v.encode()) for v in c.to_pylist()], pa.binary()) if is_body else c for c, is_body in zip(batch.columns, bodies, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(pack, ", ".join(f"`{c}` {'binary' if c == 'body' else kind}" for c, kind in rows.dtypes))
 
 
 def event_names(listings: DataFrame) -> DataFrame:
@@ -369,8 +425,8 @@ def _in_order(rows: DataFrame, keys: list[str], order: list[str], value: Column,
     return rows.groupBy(*keys).agg(F.transform(listed, lambda r: r["v"]).alias(name))
 
 
-def archive_rows(listings: DataFrame, raw: DataFrame, info: DataFrame, pumps: DataFrame, ranked: DataFrame, *, analyzed_ms: int, venues: tuple[str, ...] = VENUES, top: int = 10) -> DataFrame:
-    """All files of all listings as rows (event, file, nth, body).
+def archive_rows(listings: DataFrame, raw: DataFrame, info: DataFrame, pumps: DataFrame, ranked: DataFrame, *, analyzed_ms: int, venues: tuple[str, ...] = VENUES, top: int = 10, pack: bool = False) -> DataFrame:
+    """All files of all listings as rows (event, file, nth, body), ``packed`` if asked for, before they are joined with anything.
 
     ``raw`` and ``info`` are those of ``raw_rows`` or ``raw_blocks``, ``pumps`` are ``described_pumps`` by event and market and ``ranked`` the
     ``described_actors`` of the pumps with their rank. Every listing gets its metadata and a raw file for each market of ``venues``, those with pumps their reports.
@@ -385,8 +441,10 @@ def archive_rows(listings: DataFrame, raw: DataFrame, info: DataFrame, pumps: Da
     meta = one(listings, "metadata.json", base.alias("symbol"), "title", "markets", _time("announced_ms").alias("announced_at"), _time("detected_ms").alias("detected_at"), _time("trigger_ms").alias("trigger_time"),
                F.array_contains("markets", "KRW").alias("is_krw_listing"), analyzed.alias("stored_at"))
 
-    def numbered(rows: DataFrame, column: str, file: str | Column) -> DataFrame:
-        return rows.select("event_id", *(["exchange"] if "exchange" in rows.columns else []), F.posexplode(column).alias("k", "v")).select("event_id", (F.lit(file) if isinstance(file, str) else file).alias("file"), F.col("k").cast("bigint").alias("nth"), F.to_json("v").alias("body"))
+    def elements(rows: DataFrame, column: str, file: str | Column) -> DataFrame:
+        """A list's elements in one row, which is packed as one."""
+        body = F.array_join(F.transform(column, lambda v: F.to_json(v)), ",\n")
+        return rows.where(F.size(column) > 0).select("event_id", (F.lit(file) if isinstance(file, str) else file).alias("file"), F.lit(0).cast("bigint").alias("nth"), body.alias("body"))
 
     pump = F.col("pump")
     by_event = _in_order(pumps, ["event_id"], ["start_ms", "exchange", "market_type", "symbol"], pump, "pump_events")
@@ -414,8 +472,8 @@ def archive_rows(listings: DataFrame, raw: DataFrame, info: DataFrame, pumps: Da
         one(whole, "refined/summary.json", summary["total_exchanges"].alias("total_exchanges"), summary["max_price_change"].alias("max_price_change"), summary["first_pump_exchange"].alias("first_pump_exchange"), summary["pump_duration_ms"].alias("pump_duration_ms"), summary["total_volume"].alias("total_volume")),
         one(whole, "refined/analysis_metadata.json", *metadata(F.col("symbol"), F.col("pump_exchanges"), "2.1")),
         one(whole, "refined/refined_analysis.json", "pump_events", "user_analysis", summary.alias("summary"), "top_users", "exchange_insights", "exchange_comparison", window.alias("analysis_window")),
-        numbered(whole, "pump_events", "refined/pump_events.json"),
-        numbered(whole, "top_users", "refined/top_users.json"),
+        elements(whole, "pump_events", "refined/pump_events.json"),
+        elements(whole, "top_users", "refined/top_users.json"),
     ]
 
     # A market's pumps, and what the trades around the listing say of it.
@@ -436,9 +494,9 @@ def archive_rows(listings: DataFrame, raw: DataFrame, info: DataFrame, pumps: Da
     reports += [
         one(own, file("analysis"), "pump_events", "user_analysis", own_summary.alias("summary"), "top_users", window.alias("analysis_window")),
         one(own, file("metadata"), *metadata(F.col("exchange"), F.lit(1), "2.1-exchange")),
-        numbered(own, "top_users", file("top_users")),
+        elements(own, "top_users", file("top_users")),
     ]
     rows = raw.unionByName(empty).unionByName(meta)
     for report in reports:
         rows = rows.unionByName(report)
-    return rows.join(names, "event_id").select("event", "file", "nth", "body")
+    return (packed(rows) if pack else rows).join(names, "event_id").select("event", "file", "nth", "body")

@@ -1,5 +1,6 @@
 """The event archive as a data source: layout, foreign and broken files, failed jobs, pruning."""
 
+import gzip
 import json
 import os
 
@@ -165,3 +166,41 @@ def test_blocks_of_trades_give_the_files_of_single_trades(spark, tmp_path, overl
     whole = EA.read_archive(spark, str(tmp_path / "blocks"), whole=True)
     assert {f"{r['event']}/{r['file']}": r["body"] for r in whole.collect()} == text("single")
     assert whole.agg(F.sum(F.json_array_length("body"))).first()[0] == EA.read_archive(spark, str(tmp_path / "blocks")).count() == single.count()
+
+
+def test_packed_files_hold_the_same_text(spark, tmp_path, overlapping):
+    """An archive whose files are compressed, before they are dealt: a fifth of the bytes at most, and nothing else differs."""
+    listings, trades = overlapping
+    listings = listings.where("event_id <> 'twice' and trigger_ms is not null")
+    names = EA.event_names(listings)
+    raw, _ = EA.raw_blocks(listings, trades, event_windows(listings, trades))
+    given = raw.unionByName(listings.selectExpr("event_id", "'metadata.json' file", "cast(null as bigint) nth", "concat('{\"title\":\"티아\",\"at\":', trigger_ms, '}') body"))
+    given = given.unionByName(listings.selectExpr("event_id", "'raw/phemex/spot.json' file", "-1L nth", "cast(null as string) body"))
+    plain, small = str(tmp_path / "plain"), str(tmp_path / "small")
+    EA.write_archive(given.join(names, "event_id"), plain)
+    EA.write_archive(EA.packed(given).join(names, "event_id"), small)
+    assert [f"{name}.gz" for name in files_of(plain)] == files_of(small)
+    size = lambda path: sum(os.path.getsize(f"{path}/{name}") for name in files_of(path))
+    assert size(small) * 5 < size(plain)
+    for name in files_of(plain):
+        assert gzip.open(f"{small}/{name}.gz").read() == open(f"{plain}/{name}", "rb").read()
+    for whole in (True, False):
+        assert sorted(map(repr, EA.read_archive(spark, small, whole=whole).collect())) == sorted(map(repr, EA.read_archive(spark, plain, whole=whole).collect()))
+    # A file takes the place of the one of its name, packed or not; one that is cut off is told.
+    one = names.where("event_id = 'e7'").first()["event"]
+    EA.write_archive(rows(spark, [(one, "metadata.json", None, "{}")]), small)
+    assert f"{one}/metadata.json" in files_of(small) and f"{one}/metadata.json.gz" not in files_of(small) and len(files_of(small)) == len(files_of(plain))
+    cut = f"{small}/{one}/raw/okx/spot.json.gz"
+    text = open(cut, "rb").read()
+    open(cut, "wb").write(text[:-9])
+    assert [tuple(r) for r in EA.read_archive(spark, small).where(f"event = '{one}' and file = 'raw/okx/spot.json'").collect()] == [(one, "raw/okx/spot.json", None, None)]
+
+
+def test_event_files_are_packed(spark, data, monkeypatch):
+    """k05_event_files: every file that it writes is compressed, and none of it is dealt as plain text."""
+    seen = []
+    real = EA.write_archive
+    monkeypatch.setattr(EA, "write_archive", lambda rows, path, **options: (seen.append((dict(rows.dtypes)["body"], path)), real(rows, path, **options)))
+    assert stored.event_files(spark, data).columns
+    [(kind, path)] = seen
+    assert kind == "binary" and {os.path.splitext(name)[1] for name in files_of(path)} == {".gz"}
