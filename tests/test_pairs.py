@@ -53,6 +53,8 @@ def test_joins_of_lists_give_every_pair(spark, crowded, broadcast, monkeypatch):
     monkeypatch.setattr(R, "LISTED", 7)
     monkeypatch.setattr(R, "BROADCAST_RANGES", 3)
     assert pairs(J.listing_trades(listings, trades, broadcast=broadcast)) == want
+    ranges = listings.selectExpr("event_id", "symbol base", "trigger_ms - 20000 from_ms", "trigger_ms + 20000 to_ms")
+    assert R.listed_ranges(ranges, on="base", width_ms=5_000).select(F.max(F.size("near"))).first()[0] < 30
 
 
 def test_a_trade_meets_lists_not_listings(spark, crowded):
